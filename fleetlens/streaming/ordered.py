@@ -1,0 +1,70 @@
+"""Event-time order for operators that need it: hold rows back until the watermark passes.
+
+Late and pending rows are kept, not lost: pending rows wait in a versioned table and rows that
+arrive behind the watermark go to the ``late`` output.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.streaming.versions import VersionedTable
+
+Step = Callable[[DataFrame, int, object], None]
+
+
+class OrderedBatches:
+    """Calls ``step(rows, batch_id, watermark)`` with the rows that became final in this batch.
+
+    ``schema`` holds a timestamp column ``ts``. The watermark is the largest ``ts`` seen so far
+    minus ``delay_seconds``; rows up to it are final.
+    """
+
+    def __init__(self, path: str, schema: str, delay_seconds: int, step: Step):
+        self.pending = VersionedTable(f"{path}/pending", schema)
+        self.clock = VersionedTable(f"{path}/clock", "seen timestamp")
+        self.late_path = f"{path}/late"
+        self.delay = F.make_dt_interval(secs=F.lit(delay_seconds))
+        self.step = step
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self._advance(batch, batch_id, flush=False)
+
+    def flush(self, spark: SparkSession, last_batch_id: int) -> None:
+        """End of input: all pending rows become final in a batch of their own."""
+        empty = spark.createDataFrame([], self.pending.schema)
+        self._advance(empty, last_batch_id + 1, flush=True)
+
+    def _advance(self, batch: DataFrame, batch_id: int, flush: bool) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            before = self.clock.read(spark, batch_id - 1).first()
+            seen_before = before.seen if before else None
+            newest = batch.agg(F.max("ts").alias("seen")).first().seen
+            seen = max((t for t in (seen_before, newest) if t is not None), default=None)
+            fresh = batch
+            if seen_before is not None:
+                passed = F.lit(seen_before) - self.delay
+                late = batch.filter(F.col("ts") <= passed)
+                late.write.mode("overwrite").parquet(f"{self.late_path}/batch={batch_id}")
+                fresh = batch.filter(F.col("ts") > passed)
+            rows = self.pending.read(spark, batch_id - 1).unionByName(fresh)
+            if flush:
+                final, waiting, watermark = rows, rows.limit(0), None
+            elif seen is None:
+                final, waiting, watermark = rows.limit(0), rows, None
+            else:
+                watermark = F.lit(seen) - self.delay
+                final, waiting = rows.filter(F.col("ts") <= watermark), rows.filter(F.col("ts") > watermark)
+            self.pending.write(batch_id, waiting)
+            self.step(final, batch_id, watermark)
+            clock = [(seen,)] if seen is not None else []
+            self.clock.write(batch_id, spark.createDataFrame(clock, self.clock.schema))
+            self.pending.drop(spark, batch_id - 2)
+            self.clock.drop(spark, batch_id - 2)
+        finally:
+            batch.unpersist()
