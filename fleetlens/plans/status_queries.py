@@ -214,9 +214,9 @@ def has_plugin(f: Fleet) -> DataFrame:
 @query(
     "sc3_kv_last_token",
     rf"""SELECT doc_id, coalesce(list_filter(list_transform(
-              list_filter(string_split(text, chr(10)), line -> contains(lower(line), 'the')),
-              line -> string_split_regex(trim(line, '{fv.WHITESPACE}'), '{fv.WHITESPACE_CLASS.replace("{", "{{").replace("}", "}}")}+')),
-              tokens -> len(tokens) >= 2)[1][-1], 'none') AS token
+              list_filter(string_split(text, chr(10)), lambda line: contains(lower(line), 'the')),
+              lambda line: string_split_regex(trim(line, '{fv.WHITESPACE}'), '{fv.WHITESPACE_CLASS.replace("{", "{{").replace("}", "}}")}+')),
+              lambda tokens: len(tokens) >= 2)[1][-1], 'none') AS token
          FROM {{documents}}""",
 )
 def kv_last_token(f: Fleet) -> DataFrame:

@@ -20,8 +20,8 @@ DELAY_SECONDS = 3600
 
 
 def stream_of(f: Fleet, table: str) -> DataFrame:
-    """The files of a table as a stream."""
-    path = f"{f.folder}/{table}.parquet"
+    """The files of a table as a stream; the pattern matches a folder of files or a single file."""
+    path = f"{f.folder}/{table}[.]parquet"
     return f.spark.readStream.schema(getattr(f, table).schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ def duckdb_on(folder: str):
 def difference(frame, connection, sql: str) -> str | None:
     """None if both give the same columns, types and rows, else what differs."""
     ours = frame.toArrow()
-    theirs = connection.execute(sql).to_arrow_table()
+    theirs = connection.sql(sql).to_arrow_table()
     if sorted(ours.column_names) != sorted(theirs.column_names):
         return f"columns {sorted(ours.column_names)} != {sorted(theirs.column_names)}"
     names = sorted(ours.column_names)
@@ -49,7 +49,7 @@ if __name__ == "__main__":
     folder = sys.argv[1]
     wanted = sys.argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     connection = duckdb_on(folder)
     sqls = entry.oracle_sql()
     bad = 0
