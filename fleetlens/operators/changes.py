@@ -43,6 +43,13 @@ def as_snapshot(base: DataFrame) -> DataFrame:
     )
 
 
+def latest_changes(changes: DataFrame, key: str) -> DataFrame:
+    """The change with the highest ``seq`` per key; the rank test runs before the shuffle, too."""
+    tie = [F.col(c).desc() for c in changes.columns if c not in (key, "seq")]
+    newest = Window.partitionBy(key).orderBy(F.col("seq").desc(), *tie)
+    return changes.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+
+
 def apply_changes(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Snapshot after the changes: the latest full row per key wins, a delete leaves a tombstone.
 
@@ -51,14 +58,7 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFram
     applying the same changes again alters nothing.
     """
     values = [c for c in snapshot.columns if c not in (key, "last_seq", "deleted")]
-    tie = [F.col(c).desc() for c in ("op", *values)]
-    newest = Window.partitionBy(key).orderBy(F.col("seq").desc(), *tie)
-    latest = (
-        changes.select(key, "seq", "op", *values)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter("_rank = 1")
-    )
-    incoming = latest.select(
+    incoming = latest_changes(changes.select(key, "seq", "op", *values), key).select(
         key,
         F.col("seq").alias("_seq"),
         (F.col("op") == "delete").alias("_gone"),

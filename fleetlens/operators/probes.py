@@ -77,9 +77,12 @@ def with_streaks(
 
     ``probes`` holds ``node_id, ts, seq, ok``. ``carry`` (``node_id, streak, oks``) continues an
     earlier history. Chunks are scanned on their own; what flows from chunk to chunk is one small
-    row per chunk.
+    row per chunk. A probe without node or time belongs to no history and is left out; the filter
+    is explicit so that both uses of ``local`` plan alike and share one shuffle.
     """
-    rows = probes.select(KEY, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK))
+    rows = probes.select(
+        KEY, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
+    ).filter(F.col(KEY).isNotNull() & F.col(CHUNK).isNotNull())
     inside = Window.partitionBy(KEY, CHUNK).orderBy("ts", "seq")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns(
@@ -122,7 +125,7 @@ def with_streaks(
     ).filter(F.col(CHUNK).isNotNull())
     streak_before = F.col("_before") + F.when(F.col("_oks") == 0, F.col("_streak_in")).otherwise(0)
     return (
-        local.join(offsets, [KEY, CHUNK])
+        local.join(offsets, [KEY, CHUNK], "left")
         .withColumn("streak_before", streak_before)
         .select(
             KEY,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,20 +124,21 @@ def failed_remote_nodes(results: DataFrame) -> DataFrame:
     )
 
 
-def budget_table(spark) -> DataFrame:
-    """The built-in seconds per command kind."""
-    return spark.createDataFrame(
-        list(fv.COMMAND_BUDGETS.items()), "kind string, budget_seconds int"
-    )
-
-
-def timeout_budget(steps: DataFrame, budgets: DataFrame) -> DataFrame:
+def timeout_budget(
+    steps: DataFrame, budgets: Mapping[str, int] | DataFrame = fv.COMMAND_BUDGETS
+) -> DataFrame:
     """Step durations against the budget of their kind: within, timed_out, or no_budget.
 
-    No broadcast is forced: Spark broadcasts the budgets when their size allows it.
+    A mapping is looked up in each row. A table (``kind, budget_seconds``) is joined without a
+    forced broadcast, so Spark decides by its size.
     """
+    if isinstance(budgets, DataFrame):
+        known = steps.join(budgets, "kind", "left")
+    else:
+        table = F.create_map(*[F.lit(part) for item in budgets.items() for part in item])
+        known = steps.withColumn("budget_seconds", F.try_element_at(table, F.col("kind")))
     spent = F.col("duration_seconds") > F.col("budget_seconds")
-    return steps.join(budgets, "kind", "left").withColumn(
+    return known.withColumn(
         "verdict",
         F.when(F.col("budget_seconds").isNull(), "no_budget")
         .when(spent, "timed_out")

@@ -121,9 +121,7 @@ def failed_steps(f: Fleet) -> DataFrame:
              FROM {v_step})""",
 )
 def timeout_budget(f: Fleet) -> DataFrame:
-    return runs.timeout_budget(f.v_step, runs.budget_table(f.spark)).select(
-        "seq", "kind", "budget_seconds", "verdict"
-    )
+    return runs.timeout_budget(f.v_step).select("seq", "kind", "budget_seconds", "verdict")
 
 
 @query(

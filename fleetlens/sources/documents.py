@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from fleetlens import fixed_values as fv
 
 
-def _text_schema(keys: list[str], *more: str) -> str:
-    return ", ".join([*[f"{key} string" for key in keys], *more])
+def _parsed(text: Column, keys: list[str]) -> Column:
+    """Struct of the text, its keys and its values as text.
+
+    It is exploded, not projected: filters are not pushed below an explode, so each text is
+    parsed once however many columns and filters use it.
+    """
+    schema = ", ".join(f"{key} string" for key in keys)
+    return F.struct(
+        text.alias("_text"),
+        F.json_object_keys(text).alias("_keys"),
+        F.from_json(text, schema).alias("_d"),
+    )
 
 
 def _secret_hash(secret: Column, salt: str) -> Column:
@@ -36,18 +46,8 @@ def decode_documents(raw: DataFrame, engine: str, salt: str) -> DataFrame:
     primary gives none, missing secondaries give an empty list. ``reject_reason`` is set for text
     that is no JSON object and for secondaries that are null or no list.
     """
-    keys = F.json_object_keys("doc")
-    parsed = raw.withColumns(
-        {
-            "_keys": keys,
-            "_d": F.from_json(
-                "doc",
-                _text_schema(
-                    [*fv.DOCUMENT_KEYS, fv.DOCUMENT_SECRET_KEY, "primary", "secondaries"]
-                ),
-            ),
-        }
-    )
+    keys = [*fv.DOCUMENT_KEYS, fv.DOCUMENT_SECRET_KEY, "primary", "secondaries"]
+    parsed = raw.select("cluster_id", F.inline(F.array(_parsed(F.col("doc"), keys))))
     defaults = fv.document_defaults(engine)
 
     def present(key: str) -> Column:
@@ -93,17 +93,16 @@ def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
         docs.filter(F.col("reject_reason").isNull())
         .select(
             "cluster_id",
-            F.posexplode(F.concat(F.array("primary_json"), F.col("secondary_jsons"))).alias(
-                "pos", "node_json"
-            ),
+            F.posexplode(
+                F.transform(
+                    F.concat(F.array("primary_json"), F.col("secondary_jsons")),
+                    lambda text: _parsed(text, fv.NODE_KEYS),
+                )
+            ).alias("pos", "_node"),
         )
+        .select("cluster_id", "pos", "_node.*")
+        .withColumnsRenamed({"_text": "node_json", "_d": "_n"})
         .filter((F.col("pos") > 0) | F.col("node_json").isNotNull())
-        .withColumns(
-            {
-                "_keys": F.json_object_keys("node_json"),
-                "_n": F.from_json("node_json", _text_schema(fv.NODE_KEYS)),
-            }
-        )
     )
 
     def value(key: str) -> Column:

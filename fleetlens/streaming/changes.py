@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from fleetlens.operators.changes import apply_changes, as_snapshot
+from fleetlens.operators.changes import apply_changes, as_snapshot, latest_changes
 from fleetlens.streaming.versions import VersionedTable
 
 
@@ -17,22 +18,30 @@ def stream_dedup_changes(changes: DataFrame, delay: str) -> DataFrame:
 
 
 class SnapshotSink:
-    """``foreachBatch`` sink that applies each batch of changes to the last snapshot version.
+    """``foreachBatch`` sink that keeps a table current from a stream of changes.
 
-    A batch that runs again starts from the same version and overwrites its own, so nothing is
-    applied twice. Old versions are dropped when two newer ones exist.
+    Only the latest change per key is rewritten by a batch; the base stays as it is, and
+    ``snapshot`` merges both. A batch that runs again starts from the same version and overwrites
+    its own, so nothing is applied twice. To fold a large delta into the base, write ``snapshot``
+    to a table and start a new sink from it: its ``last_seq`` keeps replayed changes harmless.
     """
 
     def __init__(self, path: str, base: DataFrame, key: str):
-        self.base = as_snapshot(base)
+        self.base = base if "last_seq" in base.columns else as_snapshot(base)
         self.key = key
-        self.table = VersionedTable(path, self.base.schema)
+        values = [f for f in self.base.schema if f.name not in (key, "last_seq", "deleted")]
+        fields = [self.base.schema[key], *values]
+        schema = T.StructType(fields).add("seq", "long").add("op", "string")
+        self.delta = VersionedTable(path, schema)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = self.base if batch_id == 0 else self.table.read(spark, batch_id - 1)
-        self.table.write(batch_id, apply_changes(last, batch, self.key))
-        self.table.drop(spark, batch_id - 2)
+        changes = self.delta.read(spark, batch_id - 1).unionByName(
+            batch.select(*self.delta.schema.names)
+        )
+        self.delta.write(batch_id, latest_changes(changes, self.key))
+        self.delta.drop(spark, batch_id - 2)
 
     def snapshot(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return self.table.read(spark, batch_id)
+        """The table after batch ``batch_id``, with tombstones."""
+        return apply_changes(self.base, self.delta.read(spark, batch_id), self.key)

@@ -1,32 +1,36 @@
 """Event-time order for operators that need it: hold rows back until the watermark passes.
 
-Late and pending rows are kept, not lost: pending rows wait in a versioned table and rows that
-arrive behind the watermark go to the ``late`` output.
+No row is lost: rows ahead of the watermark wait for a later batch, and rows that arrive behind
+it are kept apart as late. A batch labels its rows in one pass and writes them to the shared
+folder, so its later steps read them from there and survive lost executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.streaming.versions import VersionedTable
+from fleetlens.streaming.versions import VersionedTable, delete_folder
 
-Step = Callable[[DataFrame, int, object], None]
+Step = Callable[[DataFrame, int, Column | None], None]
+
+FINAL, PENDING, LATE = "final", "pending", "late"
 
 
 class OrderedBatches:
-    """Calls ``step(rows, batch_id, watermark)`` with the rows that became final in this batch.
+    """``foreachBatch`` sink that calls ``step(rows, batch_id, watermark)`` with final rows only.
 
     ``schema`` holds a timestamp column ``ts``. The watermark is the largest ``ts`` seen so far
-    minus ``delay_seconds``; rows up to it are final.
+    minus ``delay_seconds``; rows up to it are final. It is null (``None``) for the last call,
+    made by ``flush``.
     """
 
     def __init__(self, path: str, schema: str, delay_seconds: int, step: Step):
-        self.pending = VersionedTable(f"{path}/pending", schema)
+        self.rows = VersionedTable(f"{path}/rows", f"{schema}, label string")
         self.clock = VersionedTable(f"{path}/clock", "seen timestamp")
-        self.late_path = f"{path}/late"
+        self.schema = schema
         self.delay = F.make_dt_interval(secs=F.lit(delay_seconds))
         self.step = step
 
@@ -35,36 +39,36 @@ class OrderedBatches:
 
     def flush(self, spark: SparkSession, last_batch_id: int) -> None:
         """End of input: all pending rows become final in a batch of their own."""
-        empty = spark.createDataFrame([], self.pending.schema)
+        empty = spark.createDataFrame([], self.schema)
         self._advance(empty, last_batch_id + 1, flush=True)
 
+    def late_rows(self, spark: SparkSession) -> DataFrame:
+        """Rows that came behind the watermark, of all batches."""
+        late = spark.read.schema(self.schema).option("basePath", self.rows.path)
+        return late.parquet(f"{self.rows.path}/v*").filter(F.col("label") == LATE).drop("label")
+
+    def _labelled(self, spark: SparkSession, batch_id: int, label: str) -> DataFrame:
+        return self.rows.read(spark, batch_id).filter(F.col("label") == label).drop("label")
+
     def _advance(self, batch: DataFrame, batch_id: int, flush: bool) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            before = self.clock.read(spark, batch_id - 1).first()
-            seen_before = before.seen if before else None
-            newest = batch.agg(F.max("ts").alias("seen")).first().seen
-            seen = max((t for t in (seen_before, newest) if t is not None), default=None)
-            fresh = batch
-            if seen_before is not None:
-                passed = F.lit(seen_before) - self.delay
-                late = batch.filter(F.col("ts") <= passed)
-                late.write.mode("overwrite").parquet(f"{self.late_path}/batch={batch_id}")
-                fresh = batch.filter(F.col("ts") > passed)
-            rows = self.pending.read(spark, batch_id - 1).unionByName(fresh)
-            if flush:
-                final, waiting, watermark = rows, rows.limit(0), None
-            elif seen is None:
-                final, waiting, watermark = rows.limit(0), rows, None
-            else:
-                watermark = F.lit(seen) - self.delay
-                final, waiting = rows.filter(F.col("ts") <= watermark), rows.filter(F.col("ts") > watermark)
-            self.pending.write(batch_id, waiting)
-            self.step(final, batch_id, watermark)
-            clock = [(seen,)] if seen is not None else []
-            self.clock.write(batch_id, spark.createDataFrame(clock, self.clock.schema))
-            self.pending.drop(spark, batch_id - 2)
-            self.clock.drop(spark, batch_id - 2)
-        finally:
-            batch.unpersist()
+        before = self.clock.read(spark, batch_id - 1).first()
+        newest = batch.agg(F.max("ts").alias("seen")).first()
+        seen_before = before.seen if before else None
+        seen = max((t for t in (seen_before, newest.seen) if t is not None), default=None)
+        watermark = None if flush or seen is None else F.lit(seen) - self.delay
+        late = F.lit(False)
+        if seen_before is not None:
+            late = F.col("ts") <= F.lit(seen_before) - self.delay
+        final = F.lit(True) if watermark is None else F.col("ts") <= watermark
+        arrived = batch.withColumn("_late", late)
+        waited = self._labelled(spark, batch_id - 1, PENDING).withColumn("_late", F.lit(False))
+        label = F.when(F.col("_late"), LATE).when(final, FINAL).otherwise(PENDING)
+        rows = waited.unionByName(arrived).withColumn("label", label).drop("_late")
+        rows.write.mode("overwrite").partitionBy("label").parquet(self.rows.folder(batch_id))
+        self.step(self._labelled(spark, batch_id, FINAL), batch_id, watermark)
+        clock = [(seen,)] if seen is not None else []
+        self.clock.write(batch_id, spark.createDataFrame(clock, self.clock.schema))
+        self.clock.drop(spark, batch_id - 2)
+        for done in (FINAL, PENDING):
+            delete_folder(spark, f"{self.rows.folder(batch_id - 2)}/label={done}")

@@ -8,10 +8,17 @@ checkpoint rise by one, so no listing and no pointer file is needed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 class VersionedTable:
-    def __init__(self, path: str, schema: str):
+    def __init__(self, path: str, schema: str | T.StructType):
         self.path = path
         self.schema = schema
 
@@ -30,6 +37,4 @@ class VersionedTable:
     def drop(self, spark: SparkSession, version: int) -> None:
         """Delete a version that no later batch can read."""
         if version >= 0:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.folder(version))
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, self.folder(version))
