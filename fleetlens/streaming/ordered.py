@@ -44,8 +44,9 @@ class OrderedBatches:
 
     def late_rows(self, spark: SparkSession) -> DataFrame:
         """Rows that came behind the watermark, of all batches."""
-        late = spark.read.schema(self.schema).option("basePath", self.rows.path)
-        return late.parquet(f"{self.rows.path}/v*").filter(F.col("label") == LATE).drop("label")
+        rows = spark.read.schema(f"{self.schema}, version long, label string")
+        late = rows.parquet(self.rows.path).filter(F.col("label") == LATE)
+        return late.drop("version", "label")
 
     def _labelled(self, spark: SparkSession, batch_id: int, label: str) -> DataFrame:
         return self.rows.read(spark, batch_id).filter(F.col("label") == label).drop("label")

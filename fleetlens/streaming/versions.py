@@ -23,7 +23,7 @@ class VersionedTable:
         self.schema = schema
 
     def folder(self, version: int) -> str:
-        return f"{self.path}/v{version}"
+        return f"{self.path}/version={version}"
 
     def read(self, spark: SparkSession, version: int) -> DataFrame:
         """Version ``version``; before the first batch, an empty table."""
