@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.scalars import truthy_coalesce
+from fleetlens.functions.skew import join_per_group
 
 
 def identities(nodes: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def duplicate_identities(nodes: DataFrame) -> DataFrame:
 
 def duplicate_members(nodes: DataFrame) -> DataFrame:
     """The nodes behind ``duplicate_identities``, one row each, however many share a value."""
-    return identities(nodes).join(
-        duplicate_identities(nodes), ["cluster_id", "field", "value"], "left_semi"
-    )
+    shared = duplicate_identities(nodes).select("cluster_id", "field", "value")
+    keys = ["cluster_id", "field", "value"]
+    return join_per_group(identities(nodes), shared, keys, ["pos"], "left_semi")
 
 
 def octet_overflows(nodes: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def credential_mismatches(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Nodes whose credential hash differs from that of their cluster."""
     expected = clusters.select("cluster_id", F.col("credential_hash").alias("_expected"))
     return (
-        nodes.join(expected, "cluster_id")
+        join_per_group(nodes, expected, ["cluster_id"], ["pos"])
         .filter(~F.col("credential_hash").eqNullSafe(F.col("_expected")))
         .select(
             "cluster_id",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.scalars import is_true
+from fleetlens.functions.skew import join_per_group
 
 
 def all_passed(counted: Column, success: Column, when_none: bool) -> Column:
@@ -129,11 +130,11 @@ def timeout_budget(
 ) -> DataFrame:
     """Step durations against the budget of their kind: within, timed_out, or no_budget.
 
-    A mapping is looked up in each row. A table (``kind, budget_seconds``) is joined without a
-    forced broadcast, so Spark decides by its size.
+    A mapping is looked up in each row. A table (``kind, budget_seconds``) is joined; no broadcast
+    is forced, and the join is salted since a few kinds make up most steps.
     """
     if isinstance(budgets, DataFrame):
-        known = steps.join(budgets, "kind", "left")
+        known = join_per_group(steps, budgets, ["kind"], steps.columns, "left")
     else:
         table = F.create_map(*[F.lit(part) for item in budgets.items() for part in item])
         known = steps.withColumn("budget_seconds", F.try_element_at(table, F.col("kind")))

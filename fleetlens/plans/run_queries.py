@@ -21,16 +21,22 @@ ENGINE = "engine"
     """SELECT run_id,
               coalesce(bool_and(coalesce(success, FALSE)) FILTER (WHERE setup_name <> 'save_config'),
                        TRUE) AS success,
-              bool_and(coalesce(success, FALSE)) AS strict_success, count(*) AS step_count,
+              count(*) AS step_count,
               count(*) FILTER (WHERE NOT coalesce(success, FALSE)) AS failed_steps
        FROM {v_step} GROUP BY run_id""",
 )
 def setup_rollup(f: Fleet) -> DataFrame:
-    steps = f.v_step.withColumnRenamed("setup_name", "name")
-    strict = runs.setup_rollup(steps, strict=True).select(
-        "run_id", F.col("success").alias("strict_success")
-    )
-    return runs.setup_rollup(steps).join(strict, "run_id")
+    return runs.setup_rollup(f.v_step.withColumnRenamed("setup_name", "name"))
+
+
+@query(
+    "ag3_setup_rollup_strict",
+    """SELECT run_id, bool_and(coalesce(success, FALSE)) AS success, count(*) AS step_count,
+              count(*) FILTER (WHERE NOT coalesce(success, FALSE)) AS failed_steps
+       FROM {v_step} GROUP BY run_id""",
+)
+def strict_setup_rollup(f: Fleet) -> DataFrame:
+    return runs.setup_rollup(f.v_step.withColumnRenamed("setup_name", "name"), strict=True)
 
 
 @query(

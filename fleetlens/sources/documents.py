@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
+from fleetlens.functions.ranking import number_chunk
 
 
 def _parsed(text: Column, keys: list[str]) -> Column:
@@ -154,34 +155,41 @@ def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
     return good, rejected
 
 
-def encode_cluster_docs(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+def encode_cluster_docs(clusters: DataFrame, nodes: DataFrame, width: int = 4096) -> DataFrame:
     """One JSON text per cluster with its nodes in order and nulls written out.
 
-    A document is one record by definition, so its nodes meet in the row that holds it.
+    Nodes become text row by row, are joined to pieces per chunk of positions, and the pieces to
+    the document. Only the finished text of one document meets in a task, and that is the record
+    to be written.
     """
-    node_keys = [key for key in fv.NODE_KEYS if key in nodes.columns]
-    node = F.struct(*[F.col(key) for key in node_keys])
-    secondary = F.when(F.col("role") == fv.ROLE_SECONDARY, F.struct("pos", node.alias("node")))
-    grouped = nodes.groupBy("cluster_id").agg(
-        F.max(F.when(F.col("role") == fv.ROLE_PRIMARY, node)).alias("primary"),
-        F.transform(F.sort_array(F.collect_list(secondary)), lambda s: s["node"]).alias(
-            "secondaries"
-        ),
+    options = {"ignoreNullFields": "false"}
+    node = F.to_json(F.struct(*[key for key in fv.NODE_KEYS if key in nodes.columns]), options)
+    texts = nodes.select("cluster_id", "pos", "role", node.alias("node"))
+    pieces = (
+        texts.groupBy("cluster_id", "role", number_chunk("pos", width).alias("piece"))
+        .agg(F.expr("listagg(node, ',') WITHIN GROUP (ORDER BY pos)").alias("node"))
+        .groupBy("cluster_id")
+        .agg(
+            F.max(F.when(F.col("role") == fv.ROLE_PRIMARY, F.col("node"))).alias("primary"),
+            F.expr(
+                f"listagg(node, ',') WITHIN GROUP (ORDER BY piece) "
+                f"FILTER (WHERE role = '{fv.ROLE_SECONDARY}')"
+            ).alias("secondaries"),
+        )
     )
-    shape = grouped.schema["secondaries"].dataType.simpleString()
-    keys = [key for key in fv.DOCUMENT_KEYS if key in clusters.columns]
+    head = F.to_json(F.struct(*[key for key in fv.DOCUMENT_KEYS if key in clusters.columns]), options)
     return (
-        clusters.select("cluster_id", *keys)
-        .join(grouped, "cluster_id", "left")
+        clusters.withColumn("_head", F.rtrim(head, F.lit("}")))
+        .join(pieces, "cluster_id", "left")
         .select(
             "cluster_id",
-            F.to_json(
-                F.struct(
-                    *keys,
-                    "primary",
-                    F.coalesce("secondaries", F.array().cast(shape)).alias("secondaries"),
-                ),
-                {"ignoreNullFields": "false"},
+            F.concat(
+                "_head",
+                F.lit(',"primary":'),
+                F.coalesce("primary", F.lit("null")),
+                F.lit(',"secondaries":['),
+                F.coalesce("secondaries", F.lit("")),
+                F.lit("]}"),
             ).alias("doc"),
         )
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import expand_slots, group_position, number_chunk
+from fleetlens.functions.skew import join_per_group
 from fleetlens.operators import audit
 from fleetlens.operators import nodes as ops
 
@@ -39,6 +40,16 @@ def test_group_position_keeps_rows_without_key(spark):
     assert {(r.k, r["rank"]) for r in ranked.collect()} == {(None, None), (1, 1)}
 
 
+def test_join_per_group_equals_plain_join(spark):
+    seeded = random.Random(4)
+    rows = [(0 if seeded.random() < 0.5 else seeded.randrange(30), i) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k long, i long")
+    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 30, 2)], "k long, v string")
+    for how in ("inner", "left", "left_semi"):
+        salted = join_per_group(frame, lookup, ["k"], ["i"], how, salts=8)
+        assert sorted(map(str, salted.collect())) == sorted(map(str, frame.join(lookup, "k", how).collect()))
+
+
 def test_expand_slots_gives_exact_counts(spark):
     counts = {1: 0, 2: -3, 3: 1, 4: 64, 5: 65, 6: 200}
     frame = spark.createDataFrame(list(counts.items()), "k long, n int")
