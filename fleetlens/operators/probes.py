@@ -1,6 +1,6 @@
 """Probe histories: readiness after a start, streaks of failed probes, health changes.
 
-All three are single linear passes. A node's history is cut into time chunks, so a node with
+All three are linear passes. The history of a busy node is cut into time chunks, so a node with
 most of all probes is spread over many tasks; no operator pairs rows of a group.
 """
 
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import CHUNK, time_chunk
 from fleetlens.functions.scalars import is_true
+from fleetlens.functions.skew import split_by_weight
 
 KEY = "node_id"
+HOT_ROWS = 1_000_000
 
 
 def readiness(
@@ -70,32 +72,26 @@ def readiness(
     )
 
 
-def with_streaks(
-    probes: DataFrame, chunk: Column, carry: DataFrame | None = None
-) -> DataFrame:
-    """Add ``streak_before``, ``streak`` (failures in a row) and ``oks_before`` to each probe.
-
-    ``probes`` holds ``node_id, ts, seq, ok``. ``carry`` (``node_id, streak, oks``) continues an
-    earlier history. Chunks are scanned on their own; what flows from chunk to chunk is one small
-    row per chunk. A probe without node or time belongs to no history and is left out; the filter
-    is explicit so that both uses of ``local`` plan alike and share one shuffle.
-    """
-    rows = probes.select(
-        KEY, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
-    ).filter(F.col(KEY).isNotNull() & F.col(CHUNK).isNotNull())
-    inside = Window.partitionBy(KEY, CHUNK).orderBy("ts", "seq")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumns(
+def _scan_history(rows: DataFrame, *keys: str) -> DataFrame:
+    """Within ``keys``: failures and good probes before each row, and failures in a row before it."""
+    earlier = (
+        Window.partitionBy(*keys)
+        .orderBy("ts", "seq")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counted = rows.withColumns(
         {
             "_fails": F.count_if(~F.col("ok")).over(earlier),
             "_oks": F.count_if("ok").over(earlier),
         }
-    ).withColumn(
-        "_before",
-        F.col("_fails")
-        - F.coalesce(F.max(F.when(F.col("ok"), F.col("_fails"))).over(earlier), F.lit(0)),
     )
-    parts = local.groupBy(KEY, CHUNK).agg(
+    at_last_ok = F.max(F.when(F.col("ok"), F.col("_fails"))).over(earlier)
+    return counted.withColumn("_before", F.col("_fails") - F.coalesce(at_last_ok, F.lit(0)))
+
+
+def _chunk_offsets(scanned: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Per chunk, what the chunks before it bring in: failures in a row and good probes."""
+    parts = scanned.groupBy(KEY, CHUNK).agg(
         F.count_if("ok").alias("_n_ok"),
         F.count_if(~F.col("ok")).alias("_n_fail"),
         F.max(F.when(F.col("ok"), F.col("_fails"))).alias("_fails_at_ok"),
@@ -112,21 +108,50 @@ def with_streaks(
         )
     before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.withColumn("_fails_in", F.coalesce(F.sum("_n_fail").over(before), F.lit(0)))
-    offsets = totals.select(
+    at_last_ok = F.max(F.col("_fails_in") + F.col("_fails_at_ok")).over(before)
+    return totals.select(
         KEY,
         CHUNK,
-        (
-            F.col("_fails_in")
-            - F.coalesce(
-                F.max(F.col("_fails_in") + F.col("_fails_at_ok")).over(before), F.lit(0)
-            )
-        ).alias("_streak_in"),
+        (F.col("_fails_in") - F.coalesce(at_last_ok, F.lit(0))).alias("_streak_in"),
         F.coalesce(F.sum("_n_ok").over(before), F.lit(0)).alias("_oks_in"),
     ).filter(F.col(CHUNK).isNotNull())
-    streak_before = F.col("_before") + F.when(F.col("_oks") == 0, F.col("_streak_in")).otherwise(0)
+
+
+def with_streaks(
+    probes: DataFrame,
+    chunk: Column,
+    carry: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``streak_before``, ``streak`` (failures in a row) and ``oks_before`` to each probe.
+
+    ``probes`` holds ``node_id, ts, seq, ok``. ``carry`` (``node_id, streak, oks``) continues an
+    earlier history. A probe without node or time belongs to no history and is left out.
+
+    Nodes with fewer than ``hot_rows`` probes are scanned whole. The history of a busier node is
+    cut into chunks that are scanned on their own; one small row per chunk tells the next chunks
+    what came before.
+    """
+    rows = probes.select(
+        KEY, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
+    ).filter(F.col(KEY).isNotNull() & F.col(CHUNK).isNotNull())
+    light, heavy, heavy_nodes = split_by_weight(rows, [KEY], hot_rows)
+
+    whole = _scan_history(light, KEY)
+    if carry is None:
+        whole = whole.withColumns({"_streak_in": F.lit(0), "_oks_in": F.lit(0)})
+        heavy_carry = None
+    else:
+        known = carry.select(KEY, F.col("streak").alias("_streak_in"), F.col("oks").alias("_oks_in"))
+        whole = whole.join(known, KEY, "left").fillna(0, ["_streak_in", "_oks_in"])
+        heavy_carry = carry.join(heavy_nodes, KEY, "left_semi")
+    scanned = _scan_history(heavy, KEY, CHUNK)
+    chunked = scanned.join(_chunk_offsets(scanned, heavy_carry), [KEY, CHUNK], "left")
+
+    came_in = F.when(F.col("_oks") == 0, F.col("_streak_in")).otherwise(0)
     return (
-        local.join(offsets, [KEY, CHUNK], "left")
-        .withColumn("streak_before", streak_before)
+        whole.unionByName(chunked)
+        .withColumn("streak_before", F.col("_before") + came_in)
         .select(
             KEY,
             "ts",
@@ -140,10 +165,13 @@ def with_streaks(
 
 
 def unhealthy_streaks(
-    probes: DataFrame, retries: int = fv.HEALTH_RETRIES, chunk_seconds: int = 3600
+    probes: DataFrame,
+    retries: int = fv.HEALTH_RETRIES,
+    chunk_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Runs of at least ``retries`` failed probes: start, length, unhealthy moment, recovery."""
-    marked = with_streaks(probes, time_chunk("ts", chunk_seconds))
+    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), hot_rows=hot_rows)
     failed = ~F.col("ok")
     return (
         marked.filter(failed | (F.col("streak_before") >= retries))
@@ -180,6 +208,10 @@ def changes_of_health(marked: DataFrame, retries: int = fv.HEALTH_RETRIES) -> Da
 
 
 def health_changes(
-    probes: DataFrame, retries: int = fv.HEALTH_RETRIES, chunk_seconds: int = 3600
+    probes: DataFrame,
+    retries: int = fv.HEALTH_RETRIES,
+    chunk_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    return changes_of_health(with_streaks(probes, time_chunk("ts", chunk_seconds)), retries)
+    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), hot_rows=hot_rows)
+    return changes_of_health(marked, retries)

@@ -236,12 +236,12 @@ CHANGES = """
 
 @query("wn3_unhealthy_streaks", STREAKS)
 def unhealthy_streaks(f: Fleet) -> DataFrame:
-    return probes.unhealthy_streaks(f.v_probe, chunk_seconds=7 * 24 * 3600)
+    return probes.unhealthy_streaks(f.v_probe)
 
 
 @query("wn3_health_changes", CHANGES)
 def health_changes(f: Fleet) -> DataFrame:
-    return probes.health_changes(f.v_probe, chunk_seconds=7 * 24 * 3600)
+    return probes.health_changes(f.v_probe, chunk_seconds=24 * 3600, hot_rows=70)
 
 
 @query(

@@ -72,7 +72,7 @@ def health(f: Fleet) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.col("event_type").isin("signup", "view").alias("ok"),
     )
-    sink = stream_health(folder, DELAY_SECONDS, chunk_seconds=7 * 24 * 3600)
+    sink = stream_health(folder, DELAY_SECONDS)
     sink.flush(f.spark, run_batches(events, sink, folder))
     schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
     return outputs(f, f"{folder}/changes", schema)

@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import strip
 
 
+def _entries(text: Column) -> Column:
+    """Array of (section, key, no, value), sorted; ``no`` is the order in the file.
+
+    The text is cut before each section head, so every piece knows its section by itself.
+    """
+
+    def piece(text: Column) -> Column:
+        lines = F.filter(
+            F.transform(F.split(text, "\n"), strip),
+            lambda line: (line != "") & ~line.startswith("#") & ~line.startswith("["),
+        )
+        section = F.regexp_extract(text, r"^\s*\[([^\]\n]*)\]", 1)
+        return F.struct(section.alias("section"), lines.alias("lines"))
+
+    def entry(section: Column, line: Column) -> Column:
+        return F.struct(
+            section.alias("section"),
+            strip(F.substring_index(line, "=", 1)).alias("key"),
+            F.when(
+                line.contains("="), strip(F.substring(line, F.instr(line, "=") + 1, F.length(line)))
+            ).alias("value"),
+        )
+
+    pieces = F.transform(F.split(text, r"\n(?=[ \t]*\[)"), piece)
+    entries = F.flatten(
+        F.transform(
+            pieces, lambda p: F.transform(p["lines"], lambda line: entry(p["section"], line))
+        )
+    )
+    return F.sort_array(
+        F.transform(
+            entries,
+            lambda e, i: F.struct(
+                e["section"].alias("section"), e["key"].alias("key"), i.alias("no"), e["value"].alias("value")
+            ),
+        )
+    )
+
+
 def parse_settings(files: DataFrame, *keys: str, column: str = "text") -> DataFrame:
     """One row per (file, section, key); the last line of a key wins. ``keys`` identify a file.
 
-    A text is cut before each section head, so every piece knows its section by itself.
+    All lines of a key come from one row, so the last one is found in that row and nothing is
+    shuffled.
     """
-    sections = files.select(
-        *keys, F.posexplode(F.split(column, r"\n(?=[ \t]*\[)")).alias("_section_no", "_piece")
-    ).withColumn("section", F.regexp_extract("_piece", r"^\s*\[([^\]\n]*)\]", 1))
-    lines = sections.select(
-        *keys, "section", "_section_no", F.posexplode(F.split("_piece", "\n")).alias("_no", "_line")
-    ).withColumn("_line", strip(F.col("_line")))
-    pairs = lines.filter(
-        (F.col("_line") != "") & ~F.col("_line").startswith("#") & ~F.col("_line").startswith("[")
-    )
-    equals = F.instr("_line", "=")
-    split = pairs.withColumns(
-        {
-            "key": strip(F.when(equals > 0, F.substring_index("_line", "=", 1)).otherwise(F.col("_line"))),
-            "value": F.when(
-                equals > 0, strip(F.expr("substring(_line, instr(_line, '=') + 1)"))
-            ),
-        }
+    listed = files.select(
+        *keys, F.inline(F.array(F.struct(_entries(F.col(column)).alias("_entries"))))
+    )
+    with_next = F.zip_with(
+        "_entries",
+        F.slice("_entries", 2, F.size("_entries")),
+        lambda e, after: F.struct(e.alias("entry"), after.alias("after")),
+    )
+    last = F.filter(
+        with_next,
+        lambda pair: ~(
+            pair["entry"]["section"].eqNullSafe(pair["after"]["section"])
+            & pair["entry"]["key"].eqNullSafe(pair["after"]["key"])
+        ),
     )
-    return split.groupBy(*keys, "section", "key").agg(
-        F.max_by("value", F.struct("_section_no", "_no")).alias("value")
+    kept = F.transform(
+        last,
+        lambda pair: F.struct(*[pair["entry"][c].alias(c) for c in ("section", "key", "value")]),
     )
+    return listed.filter(F.size("_entries") > 0).select(*keys, F.inline(kept))
 
 
 def settings_of_files(files: DataFrame, *keys: str) -> DataFrame:

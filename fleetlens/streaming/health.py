@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import time_chunk
-from fleetlens.operators.probes import changes_of_health, readiness, with_streaks
+from fleetlens.operators.probes import HOT_ROWS, changes_of_health, readiness, with_streaks
 from fleetlens.streaming.ordered import OrderedBatches
 from fleetlens.streaming.versions import VersionedTable
 
@@ -25,6 +25,7 @@ def stream_health(
     delay_seconds: int,
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> OrderedBatches:
     """Sink for probes (``PROBE_SCHEMA``): writes every health change to ``{path}/changes``.
 
@@ -35,7 +36,7 @@ def stream_health(
     def step(final: DataFrame, batch_id: int, watermark) -> None:
         spark = final.sparkSession
         carry = state.read(spark, batch_id - 1)
-        marked = with_streaks(final, time_chunk("ts", chunk_seconds), carry)
+        marked = with_streaks(final, time_chunk("ts", chunk_seconds), carry, hot_rows)
         changes_of_health(marked, retries).write.mode("overwrite").parquet(
             f"{path}/changes/batch={batch_id}"
         )

@@ -61,17 +61,18 @@ def python_streaks(rows, retries):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("chunk_seconds", [7, 300, 10**6])
-def test_streaks_and_changes(spark, seed, chunk_seconds):
+@pytest.mark.parametrize(("chunk_seconds", "hot_rows"), [(7, 100), (300, 30), (10**6, 1), (60, 10**6)])
+def test_streaks_and_changes(spark, seed, chunk_seconds, hot_rows):
     rows = history(seed)
     frame = spark.createDataFrame(rows, SCHEMA)
-    streaks = probes.unhealthy_streaks(frame, 5, chunk_seconds)
+    streaks = probes.unhealthy_streaks(frame, 5, chunk_seconds, hot_rows)
     assert sorted((tuple(r) for r in streaks.collect()), key=str) == python_streaks(rows, 5)
-    changes = probes.health_changes(frame, 5, chunk_seconds)
+    changes = probes.health_changes(frame, 5, chunk_seconds, hot_rows)
     assert sorted(tuple(r) for r in changes.collect()) == python_changes(rows, 5)
 
 
-def test_streaks_continue_from_carry(spark):
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
+def test_streaks_continue_from_carry(spark, hot_rows):
     rows = sorted(history(9), key=lambda r: (r[1], r[2]))
     cut = rows[len(rows) // 2][1]
     whole = probes.with_streaks(spark.createDataFrame(rows, SCHEMA), time_chunk("ts", 100))
@@ -86,6 +87,7 @@ def test_streaks_continue_from_carry(spark):
         spark.createDataFrame([r for r in rows if r[1] > cut], SCHEMA),
         time_chunk("ts", 100),
         spark.createDataFrame(carry, "node_id long, streak long, oks long"),
+        hot_rows,
     )
     expected = {tuple(r) for r in whole.collect() if r.ts > cut}
     assert {tuple(r) for r in late.collect()} == expected

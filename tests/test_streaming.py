@@ -57,7 +57,7 @@ def test_health_equals_batch(spark, tmp_path, files):
     rows = timeline(1)
     folder = str(tmp_path / "out")
     stream = write_files(spark, rows, PROBE_SCHEMA, str(tmp_path / "in"), files)
-    sink = stream_health(folder, DELAY, chunk_seconds=60)
+    sink = stream_health(folder, DELAY, chunk_seconds=60, hot_rows=50)
     sink.flush(spark, run(stream, sink, folder))
     schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
     got = spark.read.schema(schema).parquet(f"{folder}/changes/batch=*")
