@@ -80,26 +80,32 @@ def availability(nodes: DataFrame, checks: DataFrame, label: str) -> DataFrame:
     """Every node with its plugin check.
 
     ``nodes`` holds ``cluster_id, pos, node_id, role, reachable``; ``checks`` holds
-    ``cluster_id, pos, found, error``. The primary is not tested for reachability.
+    ``cluster_id, pos, found, error``. The primary is not tested for reachability, has its own
+    wording, and does not pass on an error text.
     """
-    unreachable = (F.col("role") != fv.ROLE_PRIMARY) & ~is_true(F.col("reachable"))
+    primary = F.col("role") == fv.ROLE_PRIMARY
+    unreachable = ~primary & ~is_true(F.col("reachable"))
     failed = F.col("error").isNotNull()
-    found = is_true(F.col("found"))
+    available = ~unreachable & ~failed & is_true(F.col("found"))
     return (
         nodes.join(checks, ["cluster_id", "pos"], "left")
-        .withColumn("available", ~unreachable & ~failed & found)
+        .withColumn("available", available)
         .withColumn(
             "message",
-            F.when(unreachable, fv.MSG_UNREACHABLE)
+            F.when(primary & available, f"{label} plugin is available")
+            .when(primary, f"{label} plugin is not installed")
+            .when(unreachable, fv.MSG_UNREACHABLE)
             .when(failed, F.col("error"))
-            .when(found, f"{label} available")
+            .when(available, f"{label} available")
             .otherwise(f"{label} not installed"),
         )
         .select("cluster_id", "pos", "node_id", "available", "message")
     )
 
 
-def program_path(explicit: Column, bin_dir: Column, found: Column, program: str, default: str) -> Column:
+def program_path(
+    explicit: Column, bin_dir: Column, found: Column, program: str, default: str
+) -> Column:
     """Path of a program: configured path, then the bin directory, then lookup, then default."""
     return truthy_coalesce(
         explicit,

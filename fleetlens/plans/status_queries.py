@@ -124,7 +124,10 @@ def gate_remote_probe(f: Fleet) -> DataFrame:
     """SELECT n.cluster_id, n.pos, n.node_id,
               (n.role = 'primary' OR n.reachable) AND c.error IS NULL AND coalesce(c.found, FALSE)
                 AS available,
-              CASE WHEN n.role <> 'primary' AND NOT n.reachable THEN 'Node not reachable'
+              CASE WHEN n.role = 'primary' AND c.found AND c.error IS NULL
+                   THEN 'Engine plugin is available'
+                   WHEN n.role = 'primary' THEN 'Engine plugin is not installed'
+                   WHEN NOT n.reachable THEN 'Node not reachable'
                    WHEN c.error IS NOT NULL THEN c.error WHEN c.found THEN 'Engine available'
                    ELSE 'Engine not installed' END AS message
        FROM {v_node} n LEFT JOIN {v_check} c ON c.cluster_id = n.cluster_id AND c.pos = n.pos""",
@@ -133,6 +136,20 @@ def availability(f: Fleet) -> DataFrame:
     return ops.availability(f.v_node, f.v_check, "Engine")
 
 
+@query(
+    "jn7_program_path",
+    """SELECT command_id,
+              CASE WHEN ssh_user <> '' THEN ssh_user WHEN units <> '' THEN concat(units, '/mysqld')
+                   WHEN output <> '' THEN output ELSE '/usr/sbin/mysqld' END AS path
+       FROM {v_command}""",
+)
+def program_path(f: Fleet) -> DataFrame:
+    path = ops.program_path(
+        F.col("ssh_user"), F.col("units"), F.col("output"), "mysqld", "/usr/sbin/mysqld"
+    )
+    return f.v_command.select("command_id", path.alias("path"))
+
+
 @query(
     "src6_status_export",
     """SELECT cluster_id, pos, kind, to_json(struct_pack(

@@ -195,7 +195,11 @@ VIEWS = {
                CAST(1 + o_orderkey % 300 AS INT) AS pos,
                o_orderstatus = 'P' AS found,
                CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'timed out' END AS error
-        FROM {orders} AS o WHERE o_orderpriority <> '5-LOW'""",
+        FROM {orders} AS o WHERE o_orderpriority <> '5-LOW'
+        UNION ALL
+        SELECT s_suppkey AS cluster_id, 0 AS pos, s_nationkey % 2 = 0 AS found,
+               CASE WHEN s_nationkey % 5 = 0 THEN 'timed out' END AS error
+        FROM {supplier} AS s""",
     "v_install": """
         SELECT CAST(floor(o_orderkey / 300) AS BIGINT) AS cluster_id,
                CAST(1 + o_orderkey % 300 AS INT) AS pos,
