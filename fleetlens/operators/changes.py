@@ -43,23 +43,23 @@ def as_snapshot(base: DataFrame) -> DataFrame:
     )
 
 
-def latest_changes(changes: DataFrame, key: str) -> DataFrame:
+def latest_changes(changes: DataFrame, *keys: str) -> DataFrame:
     """The change with the highest ``seq`` per key; the rank test runs before the shuffle, too."""
-    tie = [F.col(c).desc() for c in changes.columns if c not in (key, "seq")]
-    newest = Window.partitionBy(key).orderBy(F.col("seq").desc(), *tie)
+    tie = [F.col(c).desc() for c in changes.columns if c not in (*keys, "seq")]
+    newest = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), *tie)
     return changes.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
-def apply_changes(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def apply_changes(snapshot: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
     """Snapshot after the changes: the latest full row per key wins, a delete leaves a tombstone.
 
-    ``changes`` holds the row columns, ``seq`` and ``op`` (insert, update, delete). ``last_seq``
-    and tombstones stay in the snapshot, so an older change that comes later cannot win, and
-    applying the same changes again alters nothing.
+    ``changes`` holds the row columns, ``seq`` and ``op`` (insert, update, delete); ``keys`` is
+    the primary key. ``last_seq`` and tombstones stay in the snapshot, so an older change that
+    comes later cannot win, and applying the same changes again alters nothing.
     """
-    values = [c for c in snapshot.columns if c not in (key, "last_seq", "deleted")]
-    incoming = latest_changes(changes.select(key, "seq", "op", *values), key).select(
-        key,
+    values = [c for c in snapshot.columns if c not in (*keys, "last_seq", "deleted")]
+    incoming = latest_changes(changes.select(*keys, "seq", "op", *values), *keys).select(
+        *keys,
         F.col("seq").alias("_seq"),
         (F.col("op") == "delete").alias("_gone"),
         *[F.col(c).alias(f"_new_{c}") for c in values],
@@ -67,8 +67,8 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFram
     wins = F.col("_seq").isNotNull() & (
         F.col("last_seq").isNull() | (F.col("_seq") > F.col("last_seq"))
     )
-    return snapshot.join(incoming, key, "full_outer").select(
-        key,
+    return snapshot.join(incoming, list(keys), "full_outer").select(
+        *keys,
         *[
             F.when(wins, F.when(~F.col("_gone"), F.col(f"_new_{c}"))).otherwise(F.col(c)).alias(c)
             for c in values

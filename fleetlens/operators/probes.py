@@ -1,11 +1,14 @@
 """Probe histories: readiness after a start, streaks of failed probes, health changes.
 
 All three are linear passes. The history of a busy node is cut into time chunks, so a node with
-most of all probes is spread over many tasks; no operator pairs rows of a group.
+most of all probes is spread over many tasks; no operator pairs rows of a group. ``keys`` are the
+columns that identify a node, such as ``("cluster_id", "node_id")``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from fleetlens.functions.ranking import CHUNK, time_chunk
 from fleetlens.functions.scalars import is_true
 from fleetlens.functions.skew import split_by_weight
 
-KEY = "node_id"
+NODE = ("node_id",)
 HOT_ROWS = 1_000_000
 
 
@@ -23,6 +26,7 @@ def readiness(
     polls: DataFrame,
     max_polls: int = fv.READY_POLLS,
     horizon_seconds: int = fv.READY_HORIZON_SECONDS,
+    keys: Sequence[str] = NODE,
 ) -> DataFrame:
     """For each start, the first good probe among the next ``max_polls`` within the horizon.
 
@@ -33,16 +37,16 @@ def readiness(
     """
     bucket = time_chunk("ts", horizon_seconds)
     timeline = starts.select(
-        KEY, "ts", F.col("start_id").alias("seq"), F.lit(1).alias("_kind"),
+        *keys, "ts", F.col("start_id").alias("seq"), F.lit(1).alias("_kind"),
         F.lit(False).alias("_ok"), bucket.alias(CHUNK),
     ).unionByName(
         polls.select(
-            KEY, "ts", "seq", F.lit(0).alias("_kind"), is_true(F.col("ok")).alias("_ok"),
+            *keys, "ts", "seq", F.lit(0).alias("_kind"), is_true(F.col("ok")).alias("_ok"),
             F.explode(F.array(bucket, bucket - 1)).alias(CHUNK),
         )
     )
     is_poll = F.col("_kind") == 0
-    cell = Window.partitionBy(KEY, CHUNK)
+    cell = Window.partitionBy(*keys, CHUNK)
     upward = cell.orderBy("ts", "_kind", "seq")
     downward = cell.orderBy(F.desc("ts"), F.desc("_kind"), F.desc("seq"))
     numbered = timeline.withColumn("_polls", F.count_if(is_poll).over(
@@ -61,7 +65,7 @@ def readiness(
     in_time = F.col("_next.ts") <= F.col("ts") + F.make_dt_interval(secs=F.lit(horizon_seconds))
     ready = is_true((used <= max_polls) & in_time)
     return settled.select(
-        KEY,
+        *keys,
         F.col("seq").alias("start_id"),
         "ts",
         ready.alias("ready"),
@@ -72,7 +76,7 @@ def readiness(
     )
 
 
-def _scan_history(rows: DataFrame, *keys: str) -> DataFrame:
+def _scan_history(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Within ``keys``: failures and good probes before each row, and failures in a row before it."""
     earlier = (
         Window.partitionBy(*keys)
@@ -89,9 +93,9 @@ def _scan_history(rows: DataFrame, *keys: str) -> DataFrame:
     return counted.withColumn("_before", F.col("_fails") - F.coalesce(at_last_ok, F.lit(0)))
 
 
-def _chunk_offsets(scanned: DataFrame, carry: DataFrame | None) -> DataFrame:
+def _chunk_offsets(scanned: DataFrame, carry: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Per chunk, what the chunks before it bring in: failures in a row and good probes."""
-    parts = scanned.groupBy(KEY, CHUNK).agg(
+    parts = scanned.groupBy(*keys, CHUNK).agg(
         F.count_if("ok").alias("_n_ok"),
         F.count_if(~F.col("ok")).alias("_n_fail"),
         F.max(F.when(F.col("ok"), F.col("_fails"))).alias("_fails_at_ok"),
@@ -99,18 +103,18 @@ def _chunk_offsets(scanned: DataFrame, carry: DataFrame | None) -> DataFrame:
     if carry is not None:
         parts = parts.unionByName(
             carry.select(
-                KEY,
+                *keys,
                 F.lit(None).cast("long").alias(CHUNK),
                 F.col("oks").alias("_n_ok"),
                 F.col("streak").alias("_n_fail"),
                 F.when(F.col("oks") > 0, F.lit(0)).alias("_fails_at_ok"),
             )
         )
-    before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.withColumn("_fails_in", F.coalesce(F.sum("_n_fail").over(before), F.lit(0)))
     at_last_ok = F.max(F.col("_fails_in") + F.col("_fails_at_ok")).over(before)
     return totals.select(
-        KEY,
+        *keys,
         CHUNK,
         (F.col("_fails_in") - F.coalesce(at_last_ok, F.lit(0))).alias("_streak_in"),
         F.coalesce(F.sum("_n_ok").over(before), F.lit(0)).alias("_oks_in"),
@@ -122,6 +126,7 @@ def with_streaks(
     chunk: Column,
     carry: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    keys: Sequence[str] = NODE,
 ) -> DataFrame:
     """Add ``streak_before``, ``streak`` (failures in a row) and ``oks_before`` to each probe.
 
@@ -132,28 +137,29 @@ def with_streaks(
     cut into chunks that are scanned on their own; one small row per chunk tells the next chunks
     what came before.
     """
+    keys = list(keys)
     rows = probes.select(
-        KEY, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
-    ).filter(F.col(KEY).isNotNull() & F.col(CHUNK).isNotNull())
-    light, heavy, heavy_nodes = split_by_weight(rows, [KEY], hot_rows)
+        *keys, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
+    ).dropna(subset=[*keys, CHUNK])
+    light, heavy, heavy_nodes = split_by_weight(rows, keys, hot_rows)
 
-    whole = _scan_history(light, KEY)
+    whole = _scan_history(light, keys)
     if carry is None:
         whole = whole.withColumns({"_streak_in": F.lit(0), "_oks_in": F.lit(0)})
         heavy_carry = None
     else:
-        known = carry.select(KEY, F.col("streak").alias("_streak_in"), F.col("oks").alias("_oks_in"))
-        whole = whole.join(known, KEY, "left").fillna(0, ["_streak_in", "_oks_in"])
-        heavy_carry = carry.join(heavy_nodes, KEY, "left_semi")
-    scanned = _scan_history(heavy, KEY, CHUNK)
-    chunked = scanned.join(_chunk_offsets(scanned, heavy_carry), [KEY, CHUNK], "left")
+        known = carry.withColumnsRenamed({"streak": "_streak_in", "oks": "_oks_in"})
+        whole = whole.join(known, keys, "left").fillna(0, ["_streak_in", "_oks_in"])
+        heavy_carry = carry.join(heavy_nodes, keys, "left_semi")
+    scanned = _scan_history(heavy, [*keys, CHUNK])
+    chunked = scanned.join(_chunk_offsets(scanned, heavy_carry, keys), [*keys, CHUNK], "left")
 
     came_in = F.when(F.col("_oks") == 0, F.col("_streak_in")).otherwise(0)
     return (
         whole.unionByName(chunked)
         .withColumn("streak_before", F.col("_before") + came_in)
         .select(
-            KEY,
+            *keys,
             "ts",
             "seq",
             "ok",
@@ -169,13 +175,14 @@ def unhealthy_streaks(
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
+    keys: Sequence[str] = NODE,
 ) -> DataFrame:
     """Runs of at least ``retries`` failed probes: start, length, unhealthy moment, recovery."""
-    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), hot_rows=hot_rows)
+    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), None, hot_rows, keys)
     failed = ~F.col("ok")
     return (
         marked.filter(failed | (F.col("streak_before") >= retries))
-        .groupBy(KEY, F.col("oks_before").alias("_island"))
+        .groupBy(*keys, F.col("oks_before").alias("_island"))
         .agg(
             F.max(F.when(failed & (F.col("streak") == 1), F.col("ts"))).alias("start_ts"),
             F.max("streak").alias("length"),
@@ -187,7 +194,9 @@ def unhealthy_streaks(
     )
 
 
-def changes_of_health(marked: DataFrame, retries: int = fv.HEALTH_RETRIES) -> DataFrame:
+def changes_of_health(
+    marked: DataFrame, retries: int = fv.HEALTH_RETRIES, keys: Sequence[str] = NODE
+) -> DataFrame:
     """Rows of ``with_streaks`` at which the health of a node changes.
 
     A node is starting until its first good probe (healthy) or its ``retries``-th failure in a
@@ -196,7 +205,7 @@ def changes_of_health(marked: DataFrame, retries: int = fv.HEALTH_RETRIES) -> Da
     recovers = F.col("ok") & ((F.col("oks_before") == 0) | (F.col("streak_before") >= retries))
     breaks = ~F.col("ok") & (F.col("streak") == retries)
     return marked.filter(recovers | breaks).select(
-        KEY,
+        *keys,
         "ts",
         "seq",
         F.when(F.col("streak_before") >= retries, "unhealthy")
@@ -212,6 +221,7 @@ def health_changes(
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
+    keys: Sequence[str] = NODE,
 ) -> DataFrame:
-    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), hot_rows=hot_rows)
-    return changes_of_health(marked, retries)
+    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), None, hot_rows, keys)
+    return changes_of_health(marked, retries, keys)

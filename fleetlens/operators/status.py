@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +41,12 @@ def status_rollup(status: DataFrame) -> DataFrame:
     )
 
 
-def latest_status(reports: DataFrame, key: str = "node_id") -> DataFrame:
+def latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
     """Newest report per node by ``ts``, then ``seq``.
 
     The rank test is applied per task before the shuffle, so a busy node sends one row per task.
     """
-    newest = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("seq").desc())
+    newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("seq").desc())
     return reports.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 

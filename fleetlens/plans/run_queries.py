@@ -384,9 +384,12 @@ def load_cluster_docs(f: Fleet) -> DataFrame:
 )
 def decode_nodes(f: Fleet) -> DataFrame:
     docs = documents.decode_documents(f.v_node_doc, ENGINE, SALT)
-    good, rejected = documents.decode_nodes(docs, SALT)
-    columns = ["cluster_id", "pos", "reject_reason", "hostname", "port", "ssh_port"]
-    return good.unionByName(rejected, allowMissingColumns=True).select(columns)
+    checked = documents.check_nodes(docs, SALT)
+    good = F.col("reject_reason").isNull()
+    return checked.select(
+        "cluster_id", "pos", "reject_reason",
+        *[F.when(good, F.col(c)).alias(c) for c in ("hostname", "port", "ssh_port")],
+    )
 
 
 @query(

@@ -85,10 +85,11 @@ def load_cluster_docs(
     return decode_documents(read_documents(spark, path, one_per_line), engine, salt)
 
 
-def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of decoded documents: (good rows, rejected rows with a reason).
+def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
+    """All node records of decoded documents, with a ``reject_reason`` for the bad ones.
 
-    ``pos`` is 0 for the primary and counts the secondaries from 1.
+    ``pos`` is 0 for the primary and counts the secondaries from 1. To store good and bad rows
+    from one pass, write this table partitioned by the reason.
     """
     listed = (
         docs.filter(F.col("reject_reason").isNull())
@@ -142,17 +143,22 @@ def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown "), F.array_join(unknown, ", ")))
         .when(F.size(bad_numbers) > 0, F.concat(F.lit("not a number "), F.array_join(bad_numbers, ", ")))
     )
-    checked = listed.withColumn("reject_reason", reason)
-    good = checked.filter(F.col("reject_reason").isNull()).select(
+    return listed.select(
         "cluster_id",
         "pos",
         *[value(key).alias(key) for key in fv.NODE_KEYS if key != fv.NODE_SECRET_KEY],
         _secret_hash(F.col(f"_n.{fv.NODE_SECRET_KEY}"), salt).alias("credential_hash"),
+        "node_json",
+        reason.alias("reject_reason"),
     )
-    rejected = checked.filter(F.col("reject_reason").isNotNull()).select(
-        "cluster_id", "pos", "node_json", "reject_reason"
-    )
-    return good, rejected
+
+
+def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of decoded documents: (good rows, rejected rows with their text and a reason)."""
+    checked = check_nodes(docs, salt)
+    good = checked.filter(F.col("reject_reason").isNull()).drop("node_json", "reject_reason")
+    rejected = checked.filter(F.col("reject_reason").isNotNull())
+    return good, rejected.select("cluster_id", "pos", "node_json", "reject_reason")
 
 
 def encode_cluster_docs(clusters: DataFrame, nodes: DataFrame, width: int = 4096) -> DataFrame:

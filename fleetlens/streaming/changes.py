@@ -26,11 +26,10 @@ class SnapshotSink:
     to a table and start a new sink from it: its ``last_seq`` keeps replayed changes harmless.
     """
 
-    def __init__(self, path: str, base: DataFrame, key: str):
+    def __init__(self, path: str, base: DataFrame, *keys: str):
         self.base = base if "last_seq" in base.columns else as_snapshot(base)
-        self.key = key
-        values = [f for f in self.base.schema if f.name not in (key, "last_seq", "deleted")]
-        fields = [self.base.schema[key], *values]
+        self.keys = keys
+        fields = [f for f in self.base.schema if f.name not in ("last_seq", "deleted")]
         schema = T.StructType(fields).add("seq", "long").add("op", "string")
         self.delta = VersionedTable(path, schema)
 
@@ -39,9 +38,9 @@ class SnapshotSink:
         changes = self.delta.read(spark, batch_id - 1).unionByName(
             batch.select(*self.delta.schema.names)
         )
-        self.delta.write(batch_id, latest_changes(changes, self.key))
+        self.delta.write(batch_id, latest_changes(changes, *self.keys))
         self.delta.drop(spark, batch_id - 2)
 
     def snapshot(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The table after batch ``batch_id``, with tombstones."""
-        return apply_changes(self.base, self.delta.read(spark, batch_id), self.key)
+        return apply_changes(self.base, self.delta.read(spark, batch_id), *self.keys)

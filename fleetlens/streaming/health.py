@@ -16,8 +16,19 @@ from fleetlens.operators.probes import HOT_ROWS, changes_of_health, readiness, w
 from fleetlens.streaming.ordered import OrderedBatches
 from fleetlens.streaming.versions import VersionedTable
 
-PROBE_SCHEMA = "node_id long, ts timestamp, seq long, ok boolean"
-TIMELINE_SCHEMA = "node_id long, ts timestamp, seq long, is_start boolean, ok boolean"
+NODE_SCHEMA = "node_id long"
+
+
+def probe_schema(node: str = NODE_SCHEMA) -> str:
+    return f"{node}, ts timestamp, seq long, ok boolean"
+
+
+def timeline_schema(node: str = NODE_SCHEMA) -> str:
+    return f"{node}, ts timestamp, seq long, is_start boolean, ok boolean"
+
+
+def _names(node: str) -> list[str]:
+    return [field.split()[0] for field in node.split(",")]
 
 
 def stream_health(
@@ -26,32 +37,35 @@ def stream_health(
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
+    node: str = NODE_SCHEMA,
 ) -> OrderedBatches:
-    """Sink for probes (``PROBE_SCHEMA``): writes every health change to ``{path}/changes``.
+    """Sink for probes (``probe_schema``): writes every health change to ``{path}/changes``.
 
-    The state is one row per node: its failures in a row and its count of good probes.
+    The state is one row per node: its failures in a row and its count of good probes. ``node``
+    declares the columns that identify a node.
     """
-    state = VersionedTable(f"{path}/state", "node_id long, streak long, oks long")
+    keys = _names(node)
+    state = VersionedTable(f"{path}/state", f"{node}, streak long, oks long")
 
     def step(final: DataFrame, batch_id: int, watermark) -> None:
         spark = final.sparkSession
         carry = state.read(spark, batch_id - 1)
-        marked = with_streaks(final, time_chunk("ts", chunk_seconds), carry, hot_rows)
-        changes_of_health(marked, retries).write.mode("overwrite").parquet(
+        marked = with_streaks(final, time_chunk("ts", chunk_seconds), carry, hot_rows, keys)
+        marked = marked.persist()
+        changes_of_health(marked, retries, keys).write.mode("overwrite").parquet(
             f"{path}/changes/batch={batch_id}"
         )
-        last = marked.groupBy("node_id").agg(
-            F.max(F.struct("ts", "seq", "streak", "oks_before", "ok")).alias("_l")
-        ).select(
-            "node_id",
+        newest = F.max(F.struct("ts", "seq", "streak", "oks_before", "ok")).alias("_l")
+        last = marked.groupBy(*keys).agg(newest).select(
+            *keys,
             F.col("_l.streak").cast("long").alias("streak"),
-            (F.col("_l.oks_before") + F.col("_l.ok").cast("long")).alias("oks"),
+            (F.col("_l.oks_before") + F.col("_l.ok").cast("int")).alias("oks"),
         )
-        kept = carry.join(last, "node_id", "left_anti")
-        state.write(batch_id, kept.unionByName(last))
+        state.write(batch_id, carry.join(last, keys, "left_anti").unionByName(last))
         state.drop(spark, batch_id - 2)
+        marked.unpersist()
 
-    return OrderedBatches(path, PROBE_SCHEMA, delay_seconds, step)
+    return OrderedBatches(path, probe_schema(node), delay_seconds, step)
 
 
 def stream_readiness(
@@ -59,32 +73,35 @@ def stream_readiness(
     delay_seconds: int,
     max_polls: int = fv.READY_POLLS,
     horizon_seconds: int = fv.READY_HORIZON_SECONDS,
+    node: str = NODE_SCHEMA,
 ) -> OrderedBatches:
-    """Sink for starts and polls (``TIMELINE_SCHEMA``): writes outcomes to ``{path}/outcomes``.
+    """Sink for starts and polls (``timeline_schema``): writes outcomes to ``{path}/outcomes``.
 
     A start is settled by a good poll, by ``max_polls`` polls, or when the watermark passes its
     horizon. Until then it stays in the state, with the polls that an open start can see.
     """
-    state = VersionedTable(f"{path}/state", TIMELINE_SCHEMA)
+    keys = _names(node)
+    state = VersionedTable(f"{path}/state", timeline_schema(node))
     horizon = F.make_dt_interval(secs=F.lit(horizon_seconds))
 
     def step(final: DataFrame, batch_id: int, watermark) -> None:
         spark = final.sparkSession
         rows = state.read(spark, batch_id - 1).unionByName(final)
         starts = rows.filter("is_start").withColumnRenamed("seq", "start_id")
-        outcome = readiness(starts, rows.filter("NOT is_start"), max_polls, horizon_seconds)
+        polls = rows.filter("NOT is_start")
+        outcome = readiness(starts, polls, max_polls, horizon_seconds, keys)
         over = F.lit(True) if watermark is None else F.col("ts") + horizon <= watermark
         settled = outcome.filter(F.col("ready") | (F.col("polls_after") >= max_polls) | over)
+        settled = settled.drop("polls_after")
         target = f"{path}/outcomes/batch={batch_id}"
-        settled.drop("polls_after").write.mode("overwrite").parquet(target)
-        done = spark.read.schema(settled.drop("polls_after").schema).parquet(target)
-        open_starts = starts.join(done, ["node_id", "start_id"], "left_anti").withColumnRenamed(
+        settled.write.mode("overwrite").parquet(target)
+        done = spark.read.schema(settled.schema).parquet(target)
+        still_open = starts.join(done, [*keys, "start_id"], "left_anti").withColumnRenamed(
             "start_id", "seq"
         )
-        polls = rows.filter("NOT is_start")
         if watermark is not None:
             polls = polls.filter(F.col("ts") + horizon > watermark)
-        state.write(batch_id, open_starts.unionByName(polls))
+        state.write(batch_id, still_open.unionByName(polls))
         state.drop(spark, batch_id - 2)
 
-    return OrderedBatches(path, TIMELINE_SCHEMA, delay_seconds, step)
+    return OrderedBatches(path, timeline_schema(node), delay_seconds, step)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stream_latest_status(reports: DataFrame, key: str = "node_id") -> DataFrame:
+def stream_latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
     """Newest report per node by ``ts``, then ``seq``; late reports cannot replace newer ones.
 
     The aggregate is combined before the shuffle and its state is one row per node. Run it in
     update mode.
     """
-    payload = [c for c in reports.columns if c not in (key, "ts", "seq")]
+    payload = [c for c in reports.columns if c not in (*keys, "ts", "seq")]
     newest = F.max(F.struct("ts", "seq", *payload)).alias("_newest")
-    return reports.groupBy(key).agg(newest).select(key, "_newest.*")
+    return reports.groupBy(*keys).agg(newest).select(*keys, "_newest.*")

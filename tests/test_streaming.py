@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from fleetlens.operators import changes, probes, status
 from fleetlens.sources import logs
 from fleetlens.streaming.changes import SnapshotSink, stream_dedup_changes
-from fleetlens.streaming.health import PROBE_SCHEMA, TIMELINE_SCHEMA, stream_health, stream_readiness
+from fleetlens.streaming.health import probe_schema, stream_health, stream_readiness, timeline_schema
 from fleetlens.streaming.ordered import OrderedBatches
 from fleetlens.streaming.status import stream_latest_status
 from tests.test_changes import CHANGE, frames, live, make, replay
 
 START = datetime(2024, 1, 1)
 DELAY = 120
+PROBE_SCHEMA = probe_schema()
+TIMELINE_SCHEMA = timeline_schema()
 
 
 def timeline(seed, count=1500):
