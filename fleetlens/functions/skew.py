@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int, top: int = 1000) -> DataFrame:
+def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int, top: int = 10_000) -> DataFrame:
     """The ``top`` most frequent keys among those with at least ``min_rows`` rows.
 
     The result has at most ``top`` rows, so it may be broadcast. Any other key is small: it has

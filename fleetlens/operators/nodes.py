@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import expand_slots, group_position, number_chunk
-from fleetlens.functions.scalars import truthy_coalesce
+from fleetlens.functions.scalars import is_true, truthy_coalesce
 
 
 def explode_nodes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -50,7 +50,12 @@ def drop_nodes(nodes: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
         .groupBy("cluster_id", "node_id")
         .agg(F.min("pos").alias("pos"))
     )
-    kept = nodes.join(first, ["cluster_id", "node_id", "pos"], "left_anti")
+    dropped = F.col("pos").eqNullSafe(F.col("_first")) & (F.col("role") == fv.ROLE_SECONDARY)
+    kept = (
+        nodes.join(first.withColumnRenamed("pos", "_first"), ["cluster_id", "node_id"], "left")
+        .filter(~is_true(dropped))
+        .select(*nodes.columns)
+    )
     not_found = wanted.join(first, ["cluster_id", "node_id"], "left_anti").withColumn(
         "message", F.format_string(fv.MESSAGES["node_not_found"], "node_id")
     )
@@ -227,8 +232,8 @@ def number_nodes(new_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     ).drop("_present", "_position")
 
 
-def tail_removal(nodes: DataFrame, limits: DataFrame) -> DataFrame:
-    """The last ``k`` container nodes of each cluster by position; ``limits`` holds ``cluster_id, k``."""
+def _mark_tail(nodes: DataFrame, limits: DataFrame) -> DataFrame:
+    """Container nodes with ``_tail``: is the node one of the last ``k`` of its cluster?"""
     ranked = group_position(
         nodes_by_type(nodes, fv.TYPE_CONTAINER),
         ["cluster_id"],
@@ -238,9 +243,13 @@ def tail_removal(nodes: DataFrame, limits: DataFrame) -> DataFrame:
         total="_all",
         per_group=limits.select("cluster_id", F.col("k").alias("_k")),
     )
-    return ranked.filter(F.col("_all") - F.col("_position") < F.col("_k")).drop(
-        "_all", "_position", "_k"
-    )
+    tail = F.coalesce(F.col("_all") - F.col("_position") < F.col("_k"), F.lit(False))
+    return ranked.withColumn("_tail", tail).drop("_all", "_position", "_k")
+
+
+def tail_removal(nodes: DataFrame, limits: DataFrame) -> DataFrame:
+    """The last ``k`` container nodes of each cluster by position; ``limits`` holds ``cluster_id, k``."""
+    return _mark_tail(nodes, limits).filter("_tail").drop("_tail")
 
 
 def allocate_remote_first(
@@ -316,16 +325,21 @@ def plan_additions(plan: DataFrame) -> DataFrame:
     return derive_container_nodes(slots).drop("previous_count", "add_count")
 
 
+def _removal_limits(plan: DataFrame) -> DataFrame:
+    return plan.select("cluster_id", F.col("remove_count").alias("k"))
+
+
 def plan_removals(plan: DataFrame, nodes: DataFrame) -> DataFrame:
     """Container nodes that a plan removes, taken from the end."""
-    return tail_removal(nodes, plan.select("cluster_id", F.col("remove_count").alias("k")))
+    return tail_removal(nodes, _removal_limits(plan))
 
 
 def apply_scale_plan(plan: DataFrame, nodes: DataFrame) -> DataFrame:
     """Secondaries after a plan: those kept, then the added ones behind the last position."""
     secondaries = nodes_by_role(nodes, fv.ROLE_SECONDARY)
-    removed = plan_removals(plan, nodes).select("cluster_id", "pos")
-    kept = secondaries.join(removed, ["cluster_id", "pos"], "left_anti")
+    containers = _mark_tail(nodes, _removal_limits(plan)).filter("NOT _tail").drop("_tail")
+    others = secondaries.filter(~F.col("node_type").eqNullSafe(fv.TYPE_CONTAINER))
+    kept = others.unionByName(containers)
     last = secondaries.groupBy("cluster_id").agg(F.max("pos").alias("_last"))
     placed = plan.join(last, "cluster_id", "left").withColumn(
         "_last", F.coalesce("_last", F.lit(0))

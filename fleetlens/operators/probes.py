@@ -20,6 +20,62 @@ from fleetlens.functions.skew import split_by_weight
 NODE = ("node_id",)
 HOT_ROWS = 1_000_000
 
+# Order of rows with the same time: a poll at the moment of a start comes before it.
+POLL, START = 0, 1
+
+
+def _scan_polls(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Within ``keys``: running poll number, next good poll (time and number), number of polls."""
+    cell = Window.partitionBy(*keys)
+    upward = cell.orderBy("ts", "_kind", "seq")
+    downward = cell.orderBy(F.desc("ts"), F.desc("_kind"), F.desc("seq"))
+    up_to_here = upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = timeline.withColumn("_no", F.count_if(F.col("_kind") == POLL).over(up_to_here))
+    good = F.when(F.col("_ok"), F.struct("ts", "_no"))
+    after = downward.rowsBetween(Window.unboundedPreceding, -1)
+    from_here = downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return numbered.withColumns(
+        {"_next": F.min(good).over(after), "_all": F.max("_no").over(from_here)}
+    )
+
+
+def _poll_offsets(scanned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per chunk: polls in the chunks before it, polls of the node, first good poll behind it."""
+    parts = scanned.groupBy(*keys, CHUNK).agg(
+        F.count_if(F.col("_kind") == POLL).alias("_n"),
+        F.min(F.when(F.col("_ok"), F.struct("ts", "_no"))).alias("_good"),
+    )
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    reverse = Window.partitionBy(*keys).orderBy(F.desc(CHUNK))
+    return (
+        parts.withColumns(
+            {
+                "_before": F.coalesce(
+                    F.sum("_n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                ),
+                "_total": F.sum("_n").over(Window.partitionBy(*keys)),
+            }
+        )
+        .withColumn("_good", _shifted("_good", "_before"))
+        .select(
+            *keys,
+            CHUNK,
+            "_before",
+            "_total",
+            F.min("_good")
+            .over(reverse.rowsBetween(Window.unboundedPreceding, -1))
+            .alias("_later"),
+        )
+    )
+
+
+def _shifted(good: str, offset: str) -> Column:
+    """A good poll with its number counted from the start of the node's history."""
+    number = F.col(f"{good}._no") + F.col(offset)
+    return F.when(
+        F.col(good).isNotNull(), F.struct(F.col(f"{good}.ts").alias("ts"), number.alias("_no"))
+    )
+
 
 def readiness(
     starts: DataFrame,
@@ -27,41 +83,44 @@ def readiness(
     max_polls: int = fv.READY_POLLS,
     horizon_seconds: int = fv.READY_HORIZON_SECONDS,
     keys: Sequence[str] = NODE,
+    chunk_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """For each start, the first good probe among the next ``max_polls`` within the horizon.
 
-    ``starts`` holds ``node_id, start_id, ts``; ``polls`` holds ``node_id, seq, ts, ok``. Time is
-    cut into buckets as wide as the horizon. Starts sit in their own bucket and polls also in the
-    one before, so each (node, bucket) holds all that its starts can see. There, running poll
-    numbers and the next good poll settle every start without a join.
+    ``starts`` holds ``node_id, start_id, ts``; ``polls`` holds ``node_id, seq, ts, ok``. Both form
+    one timeline per node. There, the number of polls so far and the next good poll with its
+    number settle each start, so starts are never paired with polls. Busy nodes are cut into time
+    chunks; one small row per chunk holds its poll count and its first good poll.
     """
-    bucket = time_chunk("ts", horizon_seconds)
+    keys = list(keys)
+    chunk = time_chunk("ts", chunk_seconds).alias(CHUNK)
     timeline = starts.select(
-        *keys, "ts", F.col("start_id").alias("seq"), F.lit(1).alias("_kind"),
-        F.lit(False).alias("_ok"), bucket.alias(CHUNK),
+        *keys, "ts", F.col("start_id").alias("seq"), F.lit(START).alias("_kind"),
+        F.lit(False).alias("_ok"), chunk,
     ).unionByName(
         polls.select(
-            *keys, "ts", "seq", F.lit(0).alias("_kind"), is_true(F.col("ok")).alias("_ok"),
-            F.explode(F.array(bucket, bucket - 1)).alias(CHUNK),
+            *keys, "ts", "seq", F.lit(POLL).alias("_kind"), is_true(F.col("ok")).alias("_ok"), chunk
         )
+    ).dropna(subset=[*keys, CHUNK])
+    light, heavy, _ = split_by_weight(timeline, keys, hot_rows)
+
+    whole = (
+        _scan_polls(light, keys)
+        .filter(F.col("_kind") == START)
+        .withColumnRenamed("_all", "_total")
     )
-    is_poll = F.col("_kind") == 0
-    cell = Window.partitionBy(*keys, CHUNK)
-    upward = cell.orderBy("ts", "_kind", "seq")
-    downward = cell.orderBy(F.desc("ts"), F.desc("_kind"), F.desc("seq"))
-    numbered = timeline.withColumn("_polls", F.count_if(is_poll).over(
-        upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ))
-    good = F.when(F.col("_ok"), F.struct("ts", "_polls"))
-    settled = numbered.withColumns(
-        {
-            "_next": F.min(good).over(downward.rowsBetween(Window.unboundedPreceding, -1)),
-            "_last": F.max(F.when(is_poll, F.col("_polls"))).over(
-                downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
-    ).filter(~is_poll)
-    used = F.col("_next._polls") - F.col("_polls")
+    scanned = _scan_polls(heavy, [*keys, CHUNK])
+    chunked = (
+        scanned.filter(F.col("_kind") == START)
+        .join(_poll_offsets(scanned, keys), [*keys, CHUNK], "left")
+        .withColumn("_next", F.coalesce(_shifted("_next", "_before"), "_later"))
+        .withColumn("_no", F.col("_no") + F.col("_before"))
+    )
+    columns = [*keys, "seq", "ts", "_no", "_next", "_total"]
+    settled = whole.select(columns).unionByName(chunked.select(columns))
+
+    used = F.col("_next._no") - F.col("_no")
     in_time = F.col("_next.ts") <= F.col("ts") + F.make_dt_interval(secs=F.lit(horizon_seconds))
     ready = is_true((used <= max_polls) & in_time)
     return settled.select(
@@ -72,7 +131,7 @@ def readiness(
         F.when(ready, F.col("_next.ts")).alias("ready_ts"),
         F.when(ready, used).alias("polls_used"),
         F.when(ready, fv.MSG_STARTED).otherwise(fv.MSG_NOT_RESPONDING).alias("message"),
-        (F.coalesce("_last", "_polls") - F.col("_polls")).alias("polls_after"),
+        (F.col("_total") - F.col("_no")).alias("polls_after"),
     )
 
 

@@ -198,7 +198,10 @@ READINESS = """
 
 @query("jn3_readiness", READINESS)
 def readiness(f: Fleet) -> DataFrame:
-    return probes.readiness(f.v_start, f.v_poll, POLLS, HORIZON).drop("polls_after")
+    settled = probes.readiness(
+        f.v_start, f.v_poll, POLLS, HORIZON, chunk_seconds=24 * 3600, hot_rows=70
+    )
+    return settled.drop("polls_after")
 
 
 STREAKS = """

@@ -73,6 +73,8 @@ def stream_readiness(
     delay_seconds: int,
     max_polls: int = fv.READY_POLLS,
     horizon_seconds: int = fv.READY_HORIZON_SECONDS,
+    chunk_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
     node: str = NODE_SCHEMA,
 ) -> OrderedBatches:
     """Sink for starts and polls (``timeline_schema``): writes outcomes to ``{path}/outcomes``.
@@ -89,7 +91,9 @@ def stream_readiness(
         rows = state.read(spark, batch_id - 1).unionByName(final)
         starts = rows.filter("is_start").withColumnRenamed("seq", "start_id")
         polls = rows.filter("NOT is_start")
-        outcome = readiness(starts, polls, max_polls, horizon_seconds, keys)
+        outcome = readiness(
+            starts, polls, max_polls, horizon_seconds, keys, chunk_seconds, hot_rows
+        )
         over = F.lit(True) if watermark is None else F.col("ts") + horizon <= watermark
         settled = outcome.filter(F.col("ready") | (F.col("polls_after") >= max_polls) | over)
         settled = settled.drop("polls_after")

@@ -107,8 +107,11 @@ def python_readiness(starts, polls, max_polls, horizon):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize(("max_polls", "horizon"), [(3, 50), (30, 180), (1, 7), (1000, 5)])
-def test_readiness(spark, seed, max_polls, horizon):
+@pytest.mark.parametrize(
+    ("max_polls", "horizon", "chunk_seconds", "hot_rows"),
+    [(3, 50, 20, 100), (30, 180, 7, 1), (1, 7, 500, 100), (1000, 5, 60, 10**6), (200, 10**5, 30, 10)],
+)
+def test_readiness(spark, seed, max_polls, horizon, chunk_seconds, hot_rows):
     polls = history(seed, ok_rate=0.05)
     seeded = random.Random(seed + 100)
     starts = [
@@ -120,6 +123,8 @@ def test_readiness(spark, seed, max_polls, horizon):
         spark.createDataFrame(polls, SCHEMA),
         max_polls,
         horizon,
+        chunk_seconds=chunk_seconds,
+        hot_rows=hot_rows,
     )
     rows = sorted(
         (r.start_id, r.node_id, r.ts, r.ready, r.ready_ts, r.polls_used) for r in got.collect()

@@ -55,9 +55,12 @@ def test_rows_of_a_node_are_spread_over_chunks(spark, name):
     assert re.search(r"Exchange hashpartitioning\(node_id#\d+L, _chunk#\d+L", plan)
 
 
-def test_readiness_needs_one_shuffle_and_no_join(spark):
-    plan = plan_of(entry.queries()["jn3_readiness"](spark, FOLDER))
-    assert plan.count("Exchange ") == 1 and "Join" not in plan
+@pytest.mark.parametrize("name", ["wn3_unhealthy_streaks", "jn3_readiness"])
+def test_rows_of_a_node_are_never_paired(spark, name):
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    joins = re.findall(r"Join \[.*?\], \[.*?\], (\w+)", plan)
+    assert joins and set(joins) <= {"LeftAnti", "LeftSemi", "LeftOuter"}
+    assert all("_chunk" in line for line in plan.split("\n") if "Join" in line and "LeftOuter" in line)
 
 
 def test_scan_reads_only_needed_columns_and_pushes_filters(spark):

@@ -73,7 +73,7 @@ def test_readiness_equals_batch(spark, tmp_path, files):
     rows = [(n, ts, seq, seq % 11 == 0, ok and seq % 4 == 0) for n, ts, seq, ok in timeline(2)]
     folder = str(tmp_path / "out")
     stream = write_files(spark, rows, TIMELINE_SCHEMA, str(tmp_path / "in"), files)
-    sink = stream_readiness(folder, DELAY, max_polls=6, horizon_seconds=90)
+    sink = stream_readiness(folder, DELAY, max_polls=6, horizon_seconds=90, chunk_seconds=30, hot_rows=40)
     sink.flush(spark, run(stream, sink, folder))
     frame = spark.createDataFrame(rows, TIMELINE_SCHEMA)
     expected = probes.readiness(
