@@ -149,11 +149,20 @@ MESSAGES = {
     "installed": "Installed on %d/%d nodes",
     "node_not_found": "Node %d not found",
     "node_removed": "Removed node %d",
+    "host_added": "Successfully added %s as secondary node",
+    "host_unreachable": "Cannot reach %s",
+    "host_not_started": "Cannot start MySQL on %s: %s",
+    "host_not_configured": "Cannot configure MySQL on %s: %s",
+    "host_not_joined": "Cannot add %s to cluster: %s",
 }
 MSG_UNKNOWN_ERROR = "Unknown error"
 MSG_UNREACHABLE = "Node not reachable"
-MSG_STARTED = "MySQL started successfully"
-MSG_NOT_RESPONDING = "MySQL started but not responding"
+# action: (message when the awaited state was seen, message when it was not)
+POLL_MESSAGES = {
+    "start": ("MySQL started successfully", "MySQL started but not responding"),
+    "restart": ("MySQL restarted successfully", "MySQL restarted but not responding"),
+    "stop": ("MySQL stopped successfully", "MySQL still running after stop command"),
+}
 MSG_BAD_REMOTE_HOST = "Invalid remote host format: %s"
 
 GLYPH_YES = "✓"

@@ -85,22 +85,26 @@ def readiness(
     keys: Sequence[str] = NODE,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
+    action: str = "start",
 ) -> DataFrame:
     """For each start, the first good probe among the next ``max_polls`` within the horizon.
 
     ``starts`` holds ``node_id, start_id, ts``; ``polls`` holds ``node_id, seq, ts, ok``. Both form
     one timeline per node. There, the number of polls so far and the next good poll with its
     number settle each start, so starts are never paired with polls. Busy nodes are cut into time
-    chunks; one small row per chunk holds its poll count and its first good poll.
+    chunks; one small row per chunk holds its poll count and its first good poll. ``action`` is
+    start, restart or stop; after a stop, a probe is good when the node does not answer.
     """
     keys = list(keys)
+    good_poll = is_true(~F.col("ok") if action == "stop" else F.col("ok"))
+    seen, not_seen = fv.POLL_MESSAGES[action]
     chunk = time_chunk("ts", chunk_seconds).alias(CHUNK)
     timeline = starts.select(
         *keys, "ts", F.col("start_id").alias("seq"), F.lit(START).alias("_kind"),
         F.lit(False).alias("_ok"), chunk,
     ).unionByName(
         polls.select(
-            *keys, "ts", "seq", F.lit(POLL).alias("_kind"), is_true(F.col("ok")).alias("_ok"), chunk
+            *keys, "ts", "seq", F.lit(POLL).alias("_kind"), good_poll.alias("_ok"), chunk
         )
     ).dropna(subset=[*keys, CHUNK])
     light, heavy, _ = split_by_weight(timeline, keys, hot_rows)
@@ -130,7 +134,7 @@ def readiness(
         ready.alias("ready"),
         F.when(ready, F.col("_next.ts")).alias("ready_ts"),
         F.when(ready, used).alias("polls_used"),
-        F.when(ready, fv.MSG_STARTED).otherwise(fv.MSG_NOT_RESPONDING).alias("message"),
+        F.when(ready, seen).otherwise(not_seen).alias("message"),
         (F.col("_total") - F.col("_no")).alias("polls_after"),
     )
 

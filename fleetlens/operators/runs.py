@@ -118,11 +118,15 @@ def failed_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def failed_remote_nodes(results: DataFrame) -> DataFrame:
-    """Failed remote machines as ``Remote host: message``."""
-    return results.filter(~is_true(F.col("success"))).withColumn(
-        "line", F.concat(F.lit("Remote "), F.col("host"), F.lit(": "), F.col("message"))
+def failed_parts(parts: DataFrame) -> DataFrame:
+    """Failed parts of start runs as ``Primary: …``, ``Docker: …`` or ``Remote host: …``."""
+    who = (
+        F.when(F.col("part") == "primary", "Primary")
+        .when(F.col("part") == "docker", "Docker")
+        .when(F.col("part") == "remote", F.concat(F.lit("Remote "), F.col("host")))
     )
+    failed = parts.filter(~is_true(F.col("success")) & who.isNotNull())
+    return failed.withColumn("line", F.concat(who, F.lit(": "), F.col("message")))
 
 
 def timeout_budget(

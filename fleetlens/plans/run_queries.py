@@ -104,16 +104,15 @@ def install_summary(f: Fleet) -> DataFrame:
     """SELECT run_id, seq, concat(setup_name, ': ', coalesce(error, 'Unknown error')) AS line
        FROM {v_step} WHERE success IS NULL OR NOT success
        UNION ALL
-       SELECT run_id, seq, concat('Remote ', host, ': ', coalesce(error, 'none')) FROM {v_step}
-       WHERE part = 'remote' AND (success IS NULL OR NOT success)""",
+       SELECT run_id, seq, concat(CASE part WHEN 'primary' THEN 'Primary' WHEN 'docker' THEN 'Docker'
+                                  ELSE concat('Remote ', host) END, ': ', coalesce(error, 'none'))
+       FROM {v_step} WHERE part <> 'replication' AND (success IS NULL OR NOT success)""",
 )
 def failed_steps(f: Fleet) -> DataFrame:
     steps = runs.failed_steps(f.v_step.withColumnRenamed("setup_name", "name"))
-    remote = f.v_step.filter("part = 'remote'").withColumn(
-        "message", F.coalesce("error", F.lit("none"))
-    )
+    parts = f.v_step.withColumn("message", F.coalesce("error", F.lit("none")))
     columns = ["run_id", "seq", "line"]
-    return steps.select(columns).unionByName(runs.failed_remote_nodes(remote).select(columns))
+    return steps.select(columns).unionByName(runs.failed_parts(parts).select(columns))
 
 
 @query(
@@ -204,6 +203,17 @@ def readiness(f: Fleet) -> DataFrame:
     return settled.drop("polls_after")
 
 
+@query(
+    "jn3_stopped",
+    READINESS.replace("WHERE ok AND rn", "WHERE NOT ok AND rn")
+    .replace("MySQL started but not responding", "MySQL still running after stop command")
+    .replace("MySQL started successfully", "MySQL stopped successfully"),
+)
+def stopped(f: Fleet) -> DataFrame:
+    settled = probes.readiness(f.v_start, f.v_poll, POLLS, HORIZON, action="stop")
+    return settled.drop("polls_after")
+
+
 STREAKS = """
     WITH marked AS (
         SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END)

@@ -9,7 +9,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "fleetlens", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_PARTITION_BYTES = 200 * 1024 * 1024
+
+
+def build_session(
+    app: str = "fleetlens",
+    master: str | None = None,
+    shuffle_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
+    """A session with the settings the operators need.
+
+    ``shuffle_bytes`` is the size of the largest table to be shuffled. It sets the number of
+    shuffle partitions, which AQE merges where they turn out small.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -20,6 +33,9 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
         "spark.ui.enabled": "false",
         **conf,
     }
+    if shuffle_bytes:
+        partitions = max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES))
+        settings.setdefault("spark.sql.shuffle.partitions", str(partitions))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

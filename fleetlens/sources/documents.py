@@ -95,16 +95,15 @@ def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
         docs.filter(F.col("reject_reason").isNull())
         .select(
             "cluster_id",
-            F.posexplode(
-                F.transform(
-                    F.concat(F.array("primary_json"), F.col("secondary_jsons")),
-                    lambda text: _parsed(text, fv.NODE_KEYS),
-                )
-            ).alias("pos", "_node"),
+            F.posexplode(F.concat(F.array("primary_json"), F.col("secondary_jsons"))).alias(
+                "pos", "node_json"
+            ),
         )
-        .select("cluster_id", "pos", "_node.*")
-        .withColumnsRenamed({"_text": "node_json", "_d": "_n"})
         .filter((F.col("pos") > 0) | F.col("node_json").isNotNull())
+        .select(
+            "cluster_id", "pos", F.inline(F.array(_parsed(F.col("node_json"), fv.NODE_KEYS)))
+        )
+        .withColumnsRenamed({"_text": "node_json", "_d": "_n"})
     )
 
     def value(key: str) -> Column:

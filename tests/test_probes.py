@@ -130,3 +130,21 @@ def test_readiness(spark, seed, max_polls, horizon, chunk_seconds, hot_rows):
         (r.start_id, r.node_id, r.ts, r.ready, r.ready_ts, r.polls_used) for r in got.collect()
     )
     assert rows == python_readiness(starts, polls, max_polls, horizon)
+
+
+def test_stop_waits_for_a_node_that_does_not_answer(spark):
+    starts = spark.createDataFrame([(1, 100, START), (2, 101, START)], "node_id long, start_id long, ts timestamp")
+    polls = [(1, START + timedelta(seconds=i + 1), i, i < 3) for i in range(6)]
+    polls += [(2, START + timedelta(seconds=i + 1), 10 + i, None if i else True) for i in range(6)]
+    got = probes.readiness(starts, spark.createDataFrame(polls, SCHEMA), action="stop")
+    rows = {r.node_id: r for r in got.collect()}
+    assert (rows[1].polls_used, rows[1].message) == (4, "MySQL stopped successfully")
+    assert (rows[2].ready, rows[2].message) == (False, "MySQL still running after stop command")
+
+
+def test_node_may_be_named_by_several_columns(spark):
+    rows = [(r[0] % 3, *r) for r in history(11)]
+    frame = spark.createDataFrame(rows, f"cluster_id long, {SCHEMA}").withColumnRenamed("node_id", "id")
+    keys = ["cluster_id", "id"]
+    changes = probes.health_changes(frame, 5, 60, 100, keys)
+    assert sorted(tuple(r)[1:] for r in changes.collect()) == python_changes([r[1:] for r in rows], 5)

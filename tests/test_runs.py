@@ -52,6 +52,17 @@ def test_start_and_stop(spark):
     assert only(runs.stop_rollup(parts, strict=True), "success")["one"] is False
 
 
+def test_failed_parts_of_a_start(spark):
+    parts = spark.createDataFrame(
+        [("primary", None, False, "dead"), ("docker", None, None, "m"), ("remote", "h1", False, "no ssh"),
+         ("remote", "h2", True, "fine"), ("replication", None, False, "x")],
+        "part string, host string, success boolean, message string",
+    )
+    assert {r.line for r in runs.failed_parts(parts).collect()} == {
+        "Primary: dead", "Docker: m", "Remote h1: no ssh",
+    }
+
+
 def test_install_counts_silent_nodes(spark):
     nodes = spark.createDataFrame(
         [(1, 0, "primary"), (1, 1, "secondary"), (1, 2, "secondary")], "cluster_id long, pos int, role string"
