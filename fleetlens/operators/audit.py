@@ -96,7 +96,10 @@ def identity_audit(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def expected_settings(nodes: DataFrame) -> DataFrame:
-    """Settings each node should have: those of its file and, for containers, of its command line."""
+    """Settings each node should have: those of its file and, for containers, of its command line.
+
+    Command-line entries repeat file keys with equal values; ``source = 'file'`` has each key once.
+    """
 
     def entries(source: str, values: dict[str, Column]) -> Column:
         return F.array(

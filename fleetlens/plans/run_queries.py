@@ -338,6 +338,39 @@ def settings_drift(f: Fleet) -> DataFrame:
     return audit.settings_drift(f.v_expected, f.v_observed, "node")
 
 
+@query(
+    "jn4_settings_drift_of_files",
+    """WITH shared(key, value) AS (VALUES ('bind-address', '0.0.0.0'), ('log-bin', 'mysql-bin'),
+              ('binlog-format', 'ROW'), ('gtid-mode', 'ON'), ('enforce-gtid-consistency', 'ON'),
+              ('relay-log', 'mysql-relay-bin'), ('relay-log-recovery', '1'),
+              ('default-storage-engine', 'InnoDB'), ('innodb-buffer-pool-size', '1G'),
+              ('innodb-log-file-size', '256M'), ('max-allowed-packet', '256M')),
+         n AS (SELECT *, CAST(CASE WHEN coalesce(server_id, 0) = 0 THEN node_id ELSE server_id END
+                              AS VARCHAR) AS sid FROM {v_secondary}),
+         pairs AS (
+           SELECT cluster_id, pos, key, value AS expected, NULL AS observed, 'missing' AS drift
+           FROM n, shared
+           UNION ALL
+           SELECT cluster_id, pos, 'server-id', sid, CAST(node_id AS VARCHAR),
+                  CASE WHEN sid = CAST(node_id AS VARCHAR) THEN 'ok' ELSE 'changed' END FROM n
+           UNION ALL
+           SELECT cluster_id, pos, 'port', '3306', CAST(port AS VARCHAR),
+                  CASE WHEN port = 3306 THEN 'ok' ELSE 'changed' END FROM n
+           UNION ALL
+           SELECT cluster_id, pos, 'max-connections', '200', CAST(pos AS VARCHAR),
+                  CASE WHEN pos = 200 THEN 'ok' ELSE 'changed' END FROM n
+           UNION ALL
+           SELECT cluster_id, pos, 'skip-name-resolve', NULL, NULL, 'extra' FROM n)
+       SELECT * FROM pairs""",
+)
+def settings_drift_of_files(f: Fleet) -> DataFrame:
+    expected = audit.expected_settings(f.v_secondary).filter("source = 'file'")
+    observed = settings.parse_settings(f.v_settings_text, "cluster_id", "pos").filter(
+        "section = 'mysqld'"
+    )
+    return audit.settings_drift(expected, observed, "cluster_id", "pos")
+
+
 @query(
     "jn5_reconcile_members",
     """WITH w AS (SELECT DISTINCT * FROM {v_member_desired}),

@@ -18,6 +18,9 @@ from fleetlens.streaming.status import stream_latest_status
 
 DELAY_SECONDS = 3600
 
+# The copies of a line in the given table lie up to seven years apart.
+REPLAY_DELAY = "4000 days"
+
 
 def stream_of(f: Fleet, table: str) -> DataFrame:
     """The files of a table as a stream; the pattern matches a folder of files or a single file."""
@@ -108,7 +111,7 @@ def dedup(f: Fleet) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("ts"),
     )
     stream = (
-        stream_dedup_changes(replayed, "4000 days")
+        stream_dedup_changes(replayed, REPLAY_DELAY)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)

@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.changes import apply_changes, as_snapshot, latest_changes
 from fleetlens.streaming.versions import VersionedTable
 
 
-def stream_dedup_changes(changes: DataFrame, delay: str) -> DataFrame:
+def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 32) -> DataFrame:
     """First arrival of each (``source``, ``seq``); replays within ``delay`` of it are dropped.
 
-    The state holds the ids inside the watermark. Run it in append mode.
+    Copies are dropped in two steps, first among the input partitions that share a salt. So at
+    most ``salts`` copies of an id reach one task, even if most rows are copies of a single
+    change. The state holds the ids inside the watermark. Run it in append mode.
     """
-    return changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source", "seq"])
+    salted = changes.withWatermark("ts", delay).withColumn(
+        "_salt", F.spark_partition_id() % F.lit(salts)
+    )
+    return (
+        salted.dropDuplicatesWithinWatermark(["source", "seq", "_salt"])
+        .dropDuplicatesWithinWatermark(["source", "seq"])
+        .drop("_salt")
+    )
 
 
 class SnapshotSink:

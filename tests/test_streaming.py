@@ -97,6 +97,22 @@ def test_repeated_batch_gives_the_same_result(spark, tmp_path):
     assert rows_of(got) == rows_of(expected)
 
 
+def test_stream_continues_after_a_restart(spark, tmp_path):
+    rows = timeline(8)
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    sizes = (rows[:600], rows[600:900], rows[900:])
+    last = None
+    for part in sizes:
+        stream = write_files(spark, part, PROBE_SCHEMA, source, 2)
+        sink = stream_health(folder, DELAY, chunk_seconds=60, hot_rows=50)
+        last = run(stream, sink, folder)
+    sink.flush(spark, last)
+    schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
+    got = spark.read.schema(schema).parquet(f"{folder}/changes/batch=*")
+    expected = probes.health_changes(spark.createDataFrame(rows, PROBE_SCHEMA))
+    assert rows_of(got) == rows_of(expected)
+
+
 def test_late_rows_are_kept_apart(spark, tmp_path):
     seen = []
     sink = OrderedBatches(str(tmp_path), PROBE_SCHEMA, 10, lambda rows, i, w: seen.append(rows.count()))
@@ -130,6 +146,8 @@ def test_latest_status_ignores_late_reports(spark, tmp_path):
 def test_dedup_over_several_batches(spark, tmp_path):
     seeded = random.Random(5)
     rows = [(seeded.randrange(3), seeded.randrange(200), START + timedelta(seconds=i)) for i in range(900)]
+    rows += [(9, 9, START)] * 600
+    seeded.shuffle(rows)
     stream = write_files(spark, rows, "source long, seq long, ts timestamp", str(tmp_path / "in"), 6)
     query = (
         stream_dedup_changes(stream, "1 hour")
