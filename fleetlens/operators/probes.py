@@ -8,6 +8,8 @@ columns that identify a node, such as ``("cluster_id", "node_id")``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,20 +95,22 @@ def readiness(
     one timeline per node. There, the number of polls so far and the next good poll with its
     number settle each start, so starts are never paired with polls. Busy nodes are cut into time
     chunks; one small row per chunk holds its poll count and its first good poll. ``action`` is
-    start, restart or stop; after a stop, a probe is good when the node does not answer.
+    start, restart or stop; after a stop, a probe is good when the node does not answer. A start
+    without node or time is not ready.
     """
     keys = list(keys)
     good_poll = is_true(~F.col("ok") if action == "stop" else F.col("ok"))
     seen, not_seen = fv.POLL_MESSAGES[action]
     chunk = time_chunk("ts", chunk_seconds).alias(CHUNK)
-    timeline = starts.select(
+    placed = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "ts"]])
+    timeline = starts.filter(placed).select(
         *keys, "ts", F.col("start_id").alias("seq"), F.lit(START).alias("_kind"),
         F.lit(False).alias("_ok"), chunk,
     ).unionByName(
-        polls.select(
+        polls.filter(placed).select(
             *keys, "ts", "seq", F.lit(POLL).alias("_kind"), good_poll.alias("_ok"), chunk
         )
-    ).dropna(subset=[*keys, CHUNK])
+    )
     light, heavy, _ = split_by_weight(timeline, keys, hot_rows)
 
     whole = (
@@ -122,7 +126,12 @@ def readiness(
         .withColumn("_no", F.col("_no") + F.col("_before"))
     )
     columns = [*keys, "seq", "ts", "_no", "_next", "_total"]
-    settled = whole.select(columns).unionByName(chunked.select(columns))
+    unplaced = starts.filter(~placed).select(*keys, F.col("start_id").alias("seq"), "ts")
+    settled = (
+        whole.select(columns)
+        .unionByName(chunked.select(columns))
+        .unionByName(unplaced, allowMissingColumns=True)
+    )
 
     used = F.col("_next._no") - F.col("_no")
     in_time = F.col("_next.ts") <= F.col("ts") + F.make_dt_interval(secs=F.lit(horizon_seconds))

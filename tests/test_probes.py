@@ -148,3 +148,12 @@ def test_node_may_be_named_by_several_columns(spark):
     keys = ["cluster_id", "id"]
     changes = probes.health_changes(frame, 5, 60, 100, keys)
     assert sorted(tuple(r)[1:] for r in changes.collect()) == python_changes([r[1:] for r in rows], 5)
+
+
+def test_start_without_node_or_time_is_kept_as_not_ready(spark):
+    starts = spark.createDataFrame(
+        [(None, 1, START), (1, 2, None), (1, 3, START)], "node_id long, start_id long, ts timestamp"
+    )
+    polls = [(1, START + timedelta(seconds=1), 1, True), (None, START + timedelta(seconds=1), 2, True), (1, None, 3, True)]
+    got = probes.readiness(starts, spark.createDataFrame(polls, SCHEMA))
+    assert {r.start_id: r.ready for r in got.collect()} == {1: False, 2: False, 3: True}
