@@ -1,0 +1,51 @@
+"""Empty tables with the declared schemas pass through the operators."""
+
+from fleetlens import schemas
+from fleetlens.operators import audit, changes, nodes, probes, runs, status
+
+
+def test_operators_take_the_declared_tables(spark):
+    def table(schema):
+        return spark.createDataFrame([], schema)
+
+    node, cluster = table(schemas.NODE), table(schemas.CLUSTER)
+    plan = nodes.scale_plan(table(schemas.SCALE_TARGET), node)
+    members = table(schemas.MEMBER)
+    change = table(f"id long, {schemas.CHANGE_HEAD}, value string")
+    results = [
+        *nodes.drop_nodes(node, table(schemas.DROP_REQUEST)),
+        nodes.node_counts(node),
+        nodes.group_seeds(node),
+        nodes.node_defaults(node),
+        nodes.allocate_remote_first(table(schemas.NODE_REQUEST), table(schemas.REMOTE_HOST), node),
+        nodes.plan_additions(plan),
+        nodes.plan_removals(plan, node),
+        nodes.apply_scale_plan(plan, node),
+        status.status_rollup(
+            status.status_union(
+                table(schemas.STATUS_PRIMARY), table(schemas.STATUS_DOCKER), table(schemas.STATUS_REMOTE)
+            )
+        ),
+        status.plugin_rows(table(schemas.PLUGIN), "engine"),
+        runs.setup_rollup(table(schemas.STEP)),
+        runs.replication_rollup(table(schemas.STEP)),
+        runs.failed_steps(table(schemas.STEP)),
+        runs.start_rollup(table(schemas.RUN_PART)),
+        runs.failed_parts(table(schemas.RUN_PART)),
+        runs.install_summary(node, table(schemas.INSTALL_RESULT)),
+        runs.timeout_budget(table(schemas.TIMED_STEP), table(schemas.BUDGET)),
+        runs.resolve_candidate(
+            table(schemas.CANDIDATE_GROUP), table(schemas.EXISTING_FILE), runs.plugin_candidates("engine")
+        ),
+        probes.unhealthy_streaks(table(schemas.PROBE)),
+        probes.readiness(table(schemas.START), table(schemas.PROBE)),
+        audit.identity_audit(node, cluster),
+        audit.settings_drift(
+            audit.expected_settings(node).filter("source = 'file'"), table(schemas.SETTING), "cluster_id", "pos"
+        ),
+        audit.reconcile_members(members, members, "cluster_id", "uri"),
+        changes.dedup_changes(change),
+        changes.apply_changes(changes.as_snapshot(table("id long, value string")), change, "id"),
+    ]
+    for result in results:
+        assert result.collect() == []
