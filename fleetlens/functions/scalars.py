@@ -87,7 +87,10 @@ def size_mb(size_bytes: Column) -> Column:
 
 
 def json_or_raw(text: Column, available: Column) -> Column:
-    """Struct of ``parsed`` (VARIANT, null unless valid JSON) and ``raw`` (text that did not parse)."""
+    """Struct of ``parsed`` (VARIANT, null unless valid JSON) and ``raw`` (text that did not parse).
+
+    Text with ``NaN`` or with a key given twice does not count as valid.
+    """
     usable = F.when(is_true(available), text)
     parsed = F.try_parse_json(usable)
     return F.struct(parsed.alias("parsed"), F.when(parsed.isNull(), usable).alias("raw"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens import fixed_values as fv
 from fleetlens.functions.scalars import strip
 
 
@@ -14,6 +15,8 @@ def _entries(text: Column) -> Column:
     The text is cut before each section head, so every piece knows its section by itself.
     """
 
+    blanks = F.lit(fv.WHITESPACE)
+
     def piece(text: Column) -> Column:
         lines = F.filter(
             F.transform(F.split(text, "\n"), strip),
@@ -25,10 +28,10 @@ def _entries(text: Column) -> Column:
     def entry(section: Column, line: Column) -> Column:
         return F.struct(
             section.alias("section"),
-            strip(F.substring_index(line, "=", 1)).alias("key"),
-            F.when(
-                line.contains("="), strip(F.substring(line, F.instr(line, "=") + 1, F.length(line)))
-            ).alias("value"),
+            F.rtrim(F.substring_index(line, "=", 1), blanks).alias("key"),
+            F.when(line.contains("="), F.ltrim(F.regexp_replace(line, "^[^=]*=", ""), blanks)).alias(
+                "value"
+            ),
         )
 
     pieces = F.transform(F.split(text, r"\n(?=[ \t]*\[)"), piece)

@@ -17,14 +17,11 @@ def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 32) -> Dat
     most ``salts`` copies of an id reach one task, even if most rows are copies of a single
     change. The state holds the ids inside the watermark. Run it in append mode.
     """
-    salted = changes.withWatermark("ts", delay).withColumn(
-        "_salt", F.spark_partition_id() % F.lit(salts)
-    )
-    return (
-        salted.dropDuplicatesWithinWatermark(["source", "seq", "_salt"])
-        .dropDuplicatesWithinWatermark(["source", "seq"])
-        .drop("_salt")
-    )
+    marked = changes.withWatermark("ts", delay)
+    if salts > 1:
+        salted = marked.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
+        marked = salted.dropDuplicatesWithinWatermark(["source", "seq", "_salt"]).drop("_salt")
+    return marked.dropDuplicatesWithinWatermark(["source", "seq"])
 
 
 class SnapshotSink:
