@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, exact_dedup, simhash
+from fleetlens.llm import byte_bpe, decontaminate, exact_dedup, language_id, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,11 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_byte_bpe")
-def op1(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of every document and the bytes they decode to, as digests."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks)
+def held_out(key: str) -> Column:
+    """Rows that no model learns from: crc32 of the id as text is divisible by 5 (null: empty)."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
+
+
+def bpe_digests(rows: DataFrame, ranks: str) -> DataFrame:
+    ids = byte_bpe.encode(rows.select("doc_id", "text"), ranks)
     return byte_bpe.decode(ids.select("doc_id", "ids"), ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -41,6 +43,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_digests(table(spark, folder, "documents"), ranks)
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
@@ -51,6 +60,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held_out("doc_id")))
+    return language_id.predict(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query(
     "op8_exact_dedup",
     """
@@ -65,3 +84,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """The document that stays for every document."""
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark text, with that text."""
+    found = decontaminate.contaminations(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.drop("row")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document; learned from the labelled ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    flags = table(spark, folder, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    model = toxicity.fit_flags(docs.join(flags, "doc_id"), flag="toxic")
+    return toxicity.predict(docs, model).select(
+        "doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic")
+    )
