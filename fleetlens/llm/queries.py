@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, chat, decontaminate, exact_dedup, language_id, simhash, toxicity
+from fleetlens.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    simhash,
+    token_index,
+    toxicity,
+)
+from fleetlens.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +151,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "layout",
     )
+
+
+@query("op5_token_index")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document written to indexed shards and read back by key."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = work_folder(spark, "token-index")
+    token_index.write_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return token_index.read_documents(spark, out, kind).withColumnRenamed("key", "doc_id")
