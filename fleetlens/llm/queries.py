@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ranking import group_position, number_chunk
 from fleetlens.llm import (
     byte_bpe,
     chat,
     decontaminate,
     exact_dedup,
     language_id,
+    resharding,
+    revisits,
     simhash,
     token_index,
     toxicity,
@@ -161,3 +164,115 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     token_index.write_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return token_index.read_documents(spark, out, kind).withColumnRenamed("key", "doc_id")
+
+
+@query("op2_resharding")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of 32 uneven shards (by source) spread evenly over 40, and their places there."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    out = work_folder(spark, "reshard")
+    old_shard = F.crc32(F.coalesce("source", F.lit(""))) % 32
+    resharding.write_layout(docs, f"{out}/old", old_shard, size)
+    order = ["doc_id", "text_crc32"]
+    stored = resharding.reshard(
+        spark, f"{out}/old", f"{out}/new", 40, ["doc_id"], id_chunk("doc_id"), size
+    )
+    rows = stored.select(
+        "doc_id",
+        size.alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col(resharding.SHARD).cast("int").alias("shard"),
+    )
+    placed = group_position(rows, ["shard"], order, id_chunk("doc_id"), "_position")
+    return placed.select(
+        *rows.columns,
+        (F.col("_position") - 1).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def id_chunk(key: str) -> Column:
+    """Chunk of an integer id; null ids come first."""
+    return F.coalesce(number_chunk(key), F.lit(-(1 << 62)))
+
+
+@query(
+    "op4_revisits",
+    """
+    WITH visit AS (
+        SELECT page_id AS p, url, html, unnest(range(0, page_id % 4 + 2)) AS i FROM pages
+    ), marked AS (
+        SELECT *, (i = 0 AND p % 7 <> 0) OR (i = 3 AND p % 2 = 0) AS is_full,
+               1700000000 + p % 1000 * 60 AS first_s,
+               1700000000 + p % 1000 * 60 + i * 25200 AS s,
+               CASE WHEN i = 3 THEN html || '<!-- 2 -->' ELSE html END AS body,
+               regexp_replace(url, '#.*$', '') AS bare
+        FROM visit
+    ), split AS (
+        SELECT *, md5(CASE WHEN is_full THEN body ELSE html END) AS digest,
+               regexp_replace(regexp_replace(lower(regexp_extract(bare, '://([^/?]*)', 1)),
+                                             '^www\\.', ''), ':(80|443)$', '')
+               || regexp_replace(regexp_extract(bare, '://[^/?]*([^?]*)', 1), '/+$', '') AS place,
+               list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS f
+        FROM marked
+    ), record AS (
+        SELECT *, p * 8 + i AS record_id,
+               place || CASE WHEN len(f) > 0 THEN '?' || array_to_string(f, '&') ELSE '' END AS u,
+               CASE WHEN p % 3 = 0 THEN NULL
+                    WHEN NOT is_full AND p % 11 = 0 THEN '"stale"'
+                    WHEN NOT is_full AND p % 5 = 1 THEN 'W/"' || digest || '"'
+                    ELSE '"' || digest || '"' END AS etag,
+               CASE WHEN is_full THEN s WHEN p % 13 = 0 THEN NULL ELSE first_s END AS modified,
+               strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS date
+        FROM split
+    ), met AS (
+        SELECT a.*, b.record_id AS b_id, b.s AS b_s, b.etag AS b_etag, b.modified AS b_modified,
+               b.digest AS b_digest, strlen(b.body) AS b_length,
+               row_number() OVER (PARTITION BY a.record_id ORDER BY b.s DESC, b.record_id DESC) AS n
+        FROM record a LEFT JOIN record b ON b.u = a.u AND b.is_full AND b.s < a.s
+        WHERE NOT a.is_full
+    ), judged AS (
+        SELECT *, CASE WHEN b_id IS NULL THEN 'no_response'
+                       WHEN etag IS NOT NULL AND b_etag IS NOT NULL
+                       THEN CASE WHEN regexp_replace(etag, '^W/', '') = b_etag
+                                 THEN 'resolved' ELSE 'mismatch' END
+                       WHEN modified IS NULL OR b_modified IS NULL THEN 'unchecked'
+                       WHEN modified = b_modified THEN 'resolved' ELSE 'mismatch' END AS outcome
+        FROM met WHERE n = 1
+    )
+    SELECT record_id, p AS page_id, u AS canonical_url, outcome,
+           CASE WHEN outcome IN ('resolved', 'unchecked') THEN b_id END AS response_id,
+           CASE WHEN outcome IN ('resolved', 'unchecked') THEN b_s END AS response_s,
+           CASE WHEN outcome IN ('resolved', 'unchecked') THEN b_digest END AS digest,
+           CASE WHEN outcome IN ('resolved', 'unchecked') THEN b_length END AS length,
+           CASE WHEN outcome IN ('resolved', 'unchecked')
+                THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || b_length
+                     || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || date
+                     || chr(10) || 'etag: ' || coalesce(etag, b_etag, '') || chr(10) || 'server: a'
+                ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10)
+                     || 'date: ' || date || chr(10) || 'etag: ' || coalesce(etag, '') || chr(10)
+                     || 'server: b' END AS headers
+    FROM judged
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revisit derived from the pages with the response that it stands for."""
+    found = revisits.resolve_revisits(revisits.captures(table(spark, folder, "pages")))
+    lines = F.transform(
+        F.map_entries("headers"),
+        lambda e: F.concat(F.lower(e["key"]), F.lit(": "), F.coalesce(e["value"], F.lit(""))),
+    )
+    return found.select(
+        "record_id",
+        F.floor(F.col("record_id") / 8).alias("page_id"),
+        "canonical_url",
+        "outcome",
+        "response_id",
+        F.unix_seconds("response_ts").alias("response_s"),
+        "digest",
+        "length",
+        F.array_join(F.array_sort(lines), "\n").alias("headers"),
+    )
