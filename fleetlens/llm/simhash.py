@@ -17,7 +17,7 @@ Equal fingerprints are one node of the graph, so copies cost one row each and ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -100,12 +100,16 @@ def _cut(bits: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(mask if width < 64 else -1))
 
 
-def _ball(value: Column, width: int) -> Column:
-    """``value`` and all values that differ from it in one of ``width`` bits."""
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+def _ball(value: Column, bits: Sequence[int]) -> Column:
+    """``value`` and all values that differ from it in one of ``bits``."""
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in (0, *[1 << b for b in bits])])
     return F.transform(masks, lambda m: value.bitwiseXOR(m))
 
 
+def _tagged(values: Column, number: int, tag: str, name: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(number).alias(tag), v.alias(name)))
+
+
 def links(points: DataFrame, fp: str = "fp", radius: int = 3, dense: int = DENSE_BUCKET) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints in ``points`` that link."""
     segments = _segments(radius)
@@ -127,10 +131,7 @@ def links(points: DataFrame, fp: str = "fp", radius: int = 3, dense: int = DENSE
             F.flatten(
                 F.array(
                     *[
-                        F.transform(
-                            _ball(_cut(F.col("fp"), s, w), w),
-                            lambda v, i=i: F.struct(F.lit(i).alias("seg"), v.alias("part")),
-                        )
+                        _tagged(_ball(_cut(F.col("fp"), s, w), range(w)), i, "seg", "part")
                         for i, (s, w) in enumerate(segments)
                     ]
                 )
@@ -182,19 +183,8 @@ def _pieces(fp: str, segments: list[tuple[int, int]], ball: bool) -> Column:
             own = outside[len(outside) * p // count : len(outside) * (p + 1) // count]
             mask = _signed(sum(1 << b for b in own))
             value = rest.bitwiseAND(F.lit(mask))
-            values = (
-                F.transform(
-                    F.array(*[F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in own]]),
-                    lambda m, value=value: value.bitwiseXOR(m),
-                )
-                if ball
-                else F.array(value)
-            )
-            cells.append(
-                F.transform(
-                    values, lambda v, p=p: F.struct(F.lit(p).alias("at"), v.alias("rest"))
-                )
-            )
+            values = _ball(value, own) if ball else F.array(value)
+            cells.append(_tagged(values, p, "at", "rest"))
         options.append((i, F.flatten(F.array(*cells))))
     chosen = F.when(F.col("seg") == options[0][0], options[0][1])
     for i, cells in options[1:]:
