@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 CHUNK = "_chunk"
 
@@ -20,9 +21,18 @@ def number_chunk(column: str, width: int = 65536) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
-def time_chunk(column: str, seconds: int) -> Column:
-    """Chunk of an event-time column. The session time zone must be UTC."""
-    return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / F.lit(seconds))
+def time_chunk(rows: DataFrame, column: str, seconds: int) -> Column:
+    """Chunk of an event-time column of ``rows``; it never falls while the time rises.
+
+    A time without zone is counted in its own clock, so the session's zone has no part in it.
+    """
+    at = F.col(column)
+    if rows.schema[column].dataType == TimestampNTZType():
+        day = F.unix_date(at.cast("date")) * F.lit(86_400)
+        passed = day + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    else:
+        passed = F.unix_seconds(at.cast("timestamp"))
+    return F.floor(passed / F.lit(seconds))
 
 
 def group_position(

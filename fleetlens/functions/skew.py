@@ -10,25 +10,6 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int, top: int = 10_000) -> DataFrame:
-    """The ``top`` most frequent keys among those with at least ``min_rows`` rows.
-
-    The result has at most ``top`` rows, so it may be broadcast. Any other key is small: it has
-    fewer than ``min_rows`` rows or at most a ``top``-th part of all rows.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n"), *keys)
-    return largest.limit(top).select(*keys)
-
-
-def split_by_weight(
-    rows: DataFrame, keys: Sequence[str], min_rows: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of light keys, rows of heavy keys, heavy keys); together they are all rows."""
-    heavy = F.broadcast(heavy_keys(rows, keys, min_rows))
-    return rows.join(heavy, [*keys], "left_anti"), rows.join(heavy, [*keys], "left_semi"), heavy
-
-
 def join_per_group(
     rows: DataFrame,
     lookup: DataFrame,

@@ -1,7 +1,7 @@
 """Probe histories: readiness after a start, streaks of failed probes, health changes.
 
-All three are linear passes. The history of a busy node is cut into time chunks, so a node with
-most of all probes is spread over many tasks; no operator pairs rows of a group. ``keys`` are the
+All three are linear passes. Every history is cut into time chunks, so a node with most of all
+probes is spread over many tasks; no operator pairs rows of a group. ``keys`` are the
 columns that identify a node, such as ``("cluster_id", "node_id")``.
 """
 
@@ -17,17 +17,15 @@ from pyspark.sql import functions as F
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import CHUNK, time_chunk
 from fleetlens.functions.scalars import is_true
-from fleetlens.functions.skew import split_by_weight
 
 NODE = ("node_id",)
-HOT_ROWS = 1_000_000
 
 # Order of rows with the same time: a poll at the moment of a start comes before it.
 POLL, START = 0, 1
 
 
 def _scan_polls(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Within ``keys``: running poll number, next good poll (time and number), number of polls."""
+    """Within ``keys``: running poll number and next good poll (time and number)."""
     cell = Window.partitionBy(*keys)
     upward = cell.orderBy("ts", "_kind", "seq")
     downward = cell.orderBy(F.desc("ts"), F.desc("_kind"), F.desc("seq"))
@@ -36,9 +34,7 @@ def _scan_polls(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:
     good = F.when(F.col("_ok"), F.struct("ts", "_no"))
     after = downward.rowsBetween(Window.unboundedPreceding, -1)
     from_here = downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return numbered.withColumns(
-        {"_next": F.min(good).over(after), "_all": F.max("_no").over(from_here)}
-    )
+    return numbered.withColumn("_next", F.min(good).over(after))
 
 
 def _poll_offsets(scanned: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,14 +82,13 @@ def readiness(
     horizon_seconds: int = fv.READY_HORIZON_SECONDS,
     keys: Sequence[str] = NODE,
     chunk_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
     action: str = "start",
 ) -> DataFrame:
     """For each start, the first good probe among the next ``max_polls`` within the horizon.
 
     ``starts`` holds ``node_id, start_id, ts``; ``polls`` holds ``node_id, seq, ts, ok``. Both form
     one timeline per node. There, the number of polls so far and the next good poll with its
-    number settle each start, so starts are never paired with polls. Busy nodes are cut into time
+    number settle each start, so starts are never paired with polls. Timelines are cut into time
     chunks; one small row per chunk holds its poll count and its first good poll. ``action`` is
     start, restart or stop; after a stop, a probe is good when the node does not answer. A start
     without node or time is not ready.
@@ -101,7 +96,7 @@ def readiness(
     keys = list(keys)
     good_poll = is_true(~F.col("ok") if action == "stop" else F.col("ok"))
     seen, not_seen = fv.POLL_MESSAGES[action]
-    chunk = time_chunk("ts", chunk_seconds).alias(CHUNK)
+    chunk = time_chunk(polls, "ts", chunk_seconds).alias(CHUNK)
     placed = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "ts"]])
     timeline = starts.filter(placed).select(
         *keys, "ts", F.col("start_id").alias("seq"), F.lit(START).alias("_kind"),
@@ -111,27 +106,17 @@ def readiness(
             *keys, "ts", "seq", F.lit(POLL).alias("_kind"), good_poll.alias("_ok"), chunk
         )
     )
-    light, heavy, _ = split_by_weight(timeline, keys, hot_rows)
-
-    whole = (
-        _scan_polls(light, keys)
-        .filter(F.col("_kind") == START)
-        .withColumnRenamed("_all", "_total")
-    )
-    scanned = _scan_polls(heavy, [*keys, CHUNK])
-    chunked = (
+    # The scan of the starts and the offsets read the same columns, so they share one shuffle.
+    scanned = _scan_polls(timeline, [*keys, CHUNK])
+    settled = (
         scanned.filter(F.col("_kind") == START)
         .join(_poll_offsets(scanned, keys), [*keys, CHUNK], "left")
         .withColumn("_next", F.coalesce(_shifted("_next", "_before"), "_later"))
         .withColumn("_no", F.col("_no") + F.col("_before"))
+        .select(*keys, "seq", "ts", "_no", "_next", "_total")
     )
-    columns = [*keys, "seq", "ts", "_no", "_next", "_total"]
     unplaced = starts.filter(~placed).select(*keys, F.col("start_id").alias("seq"), "ts")
-    settled = (
-        whole.select(columns)
-        .unionByName(chunked.select(columns))
-        .unionByName(unplaced, allowMissingColumns=True)
-    )
+    settled = settled.unionByName(unplaced, allowMissingColumns=True)
 
     used = F.col("_next._no") - F.col("_no")
     in_time = F.col("_next.ts") <= F.col("ts") + F.make_dt_interval(secs=F.lit(horizon_seconds))
@@ -197,7 +182,6 @@ def with_streaks(
     probes: DataFrame,
     chunk: Column,
     carry: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
     keys: Sequence[str] = NODE,
 ) -> DataFrame:
     """Add ``streak_before``, ``streak`` (failures in a row) and ``oks_before`` to each probe.
@@ -205,31 +189,19 @@ def with_streaks(
     ``probes`` holds ``node_id, ts, seq, ok``. ``carry`` (``node_id, streak, oks``) continues an
     earlier history. A probe without node or time belongs to no history and is left out.
 
-    Nodes with fewer than ``hot_rows`` probes are scanned whole. The history of a busier node is
-    cut into chunks that are scanned on their own; one small row per chunk tells the next chunks
-    what came before.
+    Histories are cut into chunks that are scanned on their own; one small row per chunk tells the
+    next chunks what came before.
     """
     keys = list(keys)
     rows = probes.select(
         *keys, "ts", "seq", is_true(F.col("ok")).alias("ok"), chunk.alias(CHUNK)
     ).dropna(subset=[*keys, CHUNK])
-    light, heavy, heavy_nodes = split_by_weight(rows, keys, hot_rows)
-
-    whole = _scan_history(light, keys)
-    if carry is None:
-        whole = whole.withColumns({"_streak_in": F.lit(0), "_oks_in": F.lit(0)})
-        heavy_carry = None
-    else:
-        known = carry.withColumnsRenamed({"streak": "_streak_in", "oks": "_oks_in"})
-        whole = whole.join(known, keys, "left").fillna(0, ["_streak_in", "_oks_in"])
-        heavy_carry = carry.join(heavy_nodes, keys, "left_semi")
-    scanned = _scan_history(heavy, [*keys, CHUNK])
-    chunked = scanned.join(_chunk_offsets(scanned, heavy_carry, keys), [*keys, CHUNK], "left")
+    scanned = _scan_history(rows, [*keys, CHUNK])
+    chunked = scanned.join(_chunk_offsets(scanned, carry, keys), [*keys, CHUNK], "left")
 
     came_in = F.when(F.col("_oks") == 0, F.col("_streak_in")).otherwise(0)
     return (
-        whole.unionByName(chunked)
-        .withColumn("streak_before", F.col("_before") + came_in)
+        chunked.withColumn("streak_before", F.col("_before") + came_in)
         .select(
             *keys,
             "ts",
@@ -246,11 +218,10 @@ def unhealthy_streaks(
     probes: DataFrame,
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
     keys: Sequence[str] = NODE,
 ) -> DataFrame:
     """Runs of at least ``retries`` failed probes: start, length, unhealthy moment, recovery."""
-    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), None, hot_rows, keys)
+    marked = with_streaks(probes, time_chunk(probes, "ts", chunk_seconds), None, keys)
     failed = ~F.col("ok")
     return (
         marked.filter(failed | (F.col("streak_before") >= retries))
@@ -292,8 +263,7 @@ def health_changes(
     probes: DataFrame,
     retries: int = fv.HEALTH_RETRIES,
     chunk_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
     keys: Sequence[str] = NODE,
 ) -> DataFrame:
-    marked = with_streaks(probes, time_chunk("ts", chunk_seconds), None, hot_rows, keys)
+    marked = with_streaks(probes, time_chunk(probes, "ts", chunk_seconds), None, keys)
     return changes_of_health(marked, retries, keys)

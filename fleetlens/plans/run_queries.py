@@ -197,9 +197,7 @@ READINESS = """
 
 @query("jn3_readiness", READINESS)
 def readiness(f: Fleet) -> DataFrame:
-    settled = probes.readiness(
-        f.v_start, f.v_poll, POLLS, HORIZON, chunk_seconds=24 * 3600, hot_rows=70
-    )
+    settled = probes.readiness(f.v_start, f.v_poll, POLLS, HORIZON)
     return settled.drop("polls_after")
 
 
@@ -254,7 +252,7 @@ def unhealthy_streaks(f: Fleet) -> DataFrame:
 
 @query("wn3_health_changes", CHANGES)
 def health_changes(f: Fleet) -> DataFrame:
-    return probes.health_changes(f.v_probe, chunk_seconds=24 * 3600, hot_rows=70)
+    return probes.health_changes(f.v_probe)
 
 
 @query(

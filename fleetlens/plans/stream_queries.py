@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import changes as batch_changes
-from fleetlens.operators.status import latest_status
 from fleetlens.plans.registry import query
 from fleetlens.plans.run_queries import APPLIED, CHANGES, HORIZON, POLLS, READINESS
 from fleetlens.plans.status_queries import LATEST
 from fleetlens.plans.views import Fleet
 from fleetlens.session import work_folder
 from fleetlens.streaming.changes import SnapshotSink, stream_dedup_changes
-from fleetlens.streaming.health import stream_health, stream_readiness
-from fleetlens.streaming.status import stream_latest_status
+from fleetlens.streaming.health import HealthSink, ReadinessSink, finished_chunks
+from fleetlens.streaming.status import CurrentStatusSink, stream_latest_status
 
-DELAY_SECONDS = 3600
+DELAY = "1 hour"
+PIECES = 3
 
 # The copies of a line in the given table lie up to seven years apart.
 REPLAY_DELAY = "4000 days"
 
 
-def stream_of(f: Fleet, table: str) -> DataFrame:
-    """The files of a table as a stream; the pattern matches a folder of files or a single file."""
-    path = f"{f.folder}/{table}[.]parquet"
-    return f.spark.readStream.schema(getattr(f, table).schema).parquet(path)
+def in_pieces(f: Fleet, rows: DataFrame, folder: str, run, end: bool = False) -> int:
+    """Write ``rows`` to ``{folder}/in`` in pieces of event time; ``run`` the stream after each.
+
+    Every piece is a restart of the stream from its checkpoint, so state has to carry over. With ``end``
+    a last row far behind all others moves the watermark past them; its node is null. Returns the
+    number of the last batch.
+    """
+    source = f"{folder}/in"
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / PIECES
+    stream, batch = None, -1
+    for i in range(PIECES):
+        low = F.lit(True) if i == 0 else F.col("ts") >= F.lit(first + i * step)
+        high = F.lit(True) if i == PIECES - 1 else F.col("ts") < F.lit(first + (i + 1) * step)
+        rows.filter(low & high).write.mode("append").parquet(source)
+        stream = f.spark.readStream.schema(rows.schema).parquet(source)
+        batch = run(stream)
+    if end:
+        late = [c.alias(n) for n, c in (("ts", F.lit(last + timedelta(days=3650))),)]
+        sentinel = f.spark.range(1).select(
+            *[late[0] if n == "ts" else F.lit(None).cast(t).alias(n) for n, t in rows.dtypes]
+        )
+        sentinel.write.mode("append").parquet(source)
+        batch = run(f.spark.readStream.schema(rows.schema).parquet(source))
+    return batch
 
 
 def run_batches(rows: DataFrame, sink, folder: str, mode: str = "append") -> int:
@@ -47,10 +70,8 @@ def outputs(f: Fleet, folder: str, schema: str) -> DataFrame:
     )
 
 
-@query("ss1_stream_latest_status", LATEST)
-def latest(f: Fleet) -> DataFrame:
-    folder = work_folder(f.spark, "latest")
-    reports = stream_of(f, "events").select(
+def probes_of(f: Fleet) -> DataFrame:
+    return f.events.select(
         F.col("user_id").alias("node_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
@@ -58,25 +79,27 @@ def latest(f: Fleet) -> DataFrame:
         "value",
     )
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/current/batch={batch_id}")
 
-    run_batches(stream_latest_status(reports), keep, folder, "update")
+@query("ss1_stream_latest_status", LATEST)
+def latest(f: Fleet) -> DataFrame:
+    folder = work_folder(f.spark, "latest")
+    rows = probes_of(f)
     schema = "node_id long, ts timestamp, seq long, ok boolean, value double"
-    return latest_status(outputs(f, f"{folder}/current", schema))
+    sink = CurrentStatusSink(f"{folder}/current", schema)
+    last = in_pieces(
+        f, rows, folder, lambda s: run_batches(stream_latest_status(s), sink, folder, "update")
+    )
+    return sink.current(f.spark, last).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("ss2_stream_health", CHANGES)
 def health(f: Fleet) -> DataFrame:
     folder = work_folder(f.spark, "health")
-    events = stream_of(f, "events").select(
-        F.col("user_id").alias("node_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("seq"),
-        F.col("event_type").isin("signup", "view").alias("ok"),
+    sink = HealthSink(folder)
+    rows = probes_of(f).drop("value")
+    in_pieces(
+        f, rows, folder, lambda s: run_batches(finished_chunks(s, DELAY), sink, folder), end=True
     )
-    sink = stream_health(folder, DELAY_SECONDS)
-    sink.flush(f.spark, run_batches(events, sink, folder))
     schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
     return outputs(f, f"{folder}/changes", schema)
 
@@ -84,15 +107,18 @@ def health(f: Fleet) -> DataFrame:
 @query("ss3_stream_readiness", READINESS)
 def readiness(f: Fleet) -> DataFrame:
     folder = work_folder(f.spark, "readiness")
-    events = stream_of(f, "events").select(
+    rows = f.events.select(
         F.col("user_id").alias("node_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
         (F.col("event_type") == "signup").alias("is_start"),
         (F.col("event_type") == "view").alias("ok"),
     )
-    sink = stream_readiness(folder, DELAY_SECONDS, POLLS, HORIZON)
-    sink.flush(f.spark, run_batches(events, sink, folder))
+    sink = ReadinessSink(folder, POLLS, HORIZON)
+    last = in_pieces(
+        f, rows, folder, lambda s: run_batches(finished_chunks(s, DELAY), sink, folder), end=True
+    )
+    sink.flush(f.spark, last)
     schema = (
         "node_id long, start_id long, ts timestamp, ready boolean, ready_ts timestamp, "
         "polls_used long, message string"
@@ -102,30 +128,44 @@ def readiness(f: Fleet) -> DataFrame:
     )
 
 
-@query("ss4_stream_dedup_changes", "SELECT DISTINCT source, seq FROM {v_replayed}")
+@query(
+    "ss4_stream_dedup_changes",
+    "SELECT DISTINCT source, seq, true AS is_input_row FROM {v_replayed}",
+)
 def dedup(f: Fleet) -> DataFrame:
+    """Kept rows; each must be a whole row of the input, whichever copy came first."""
     folder = work_folder(f.spark, "dedup")
-    replayed = stream_of(f, "lineitem").select(
+    rows = f.lineitem.select(
         F.col("l_linenumber").alias("source"),
         F.col("l_orderkey").alias("seq"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
+        "l_partkey",
+        "l_quantity",
     )
-    stream = (
-        stream_dedup_changes(replayed, REPLAY_DELAY)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{folder}/rows")
+
+    def run(stream: DataFrame) -> int:
+        written = (
+            stream_dedup_changes(stream, REPLAY_DELAY)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{folder}/rows")
+        )
+        written.awaitTermination()
+        return -1
+
+    in_pieces(f, rows, folder, run)
+    kept = f.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    given = rows.distinct().withColumn("is_input_row", F.lit(True))
+    return kept.join(given, rows.columns, "left").select(
+        "source", "seq", F.coalesce("is_input_row", F.lit(False)).alias("is_input_row")
     )
-    stream.awaitTermination()
-    rows = f.spark.read.schema("source int, seq long").parquet(f"{folder}/rows")
-    return rows.select("source", "seq")
 
 
 @query("ss5_stream_apply_changes", APPLIED)
 def apply(f: Fleet) -> DataFrame:
     folder = work_folder(f.spark, "snapshot")
-    events = stream_of(f, "events").select(
+    rows = f.events.select(
         F.col("user_id").alias("node_id"),
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "delete")
@@ -134,7 +174,8 @@ def apply(f: Fleet) -> DataFrame:
         .alias("op"),
         F.col("event_type").alias("label"),
         F.col("value").alias("amount"),
+        "ts",
     )
     sink = SnapshotSink(f"{folder}/versions", f.v_base, "node_id")
-    last = run_batches(events, sink, folder)
+    last = in_pieces(f, rows, folder, lambda s: run_batches(s, sink, folder))
     return batch_changes.live_rows(sink.snapshot(f.spark, last))

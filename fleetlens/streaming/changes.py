@@ -10,12 +10,13 @@ from fleetlens.operators.changes import apply_changes, as_snapshot, latest_chang
 from fleetlens.streaming.versions import VersionedTable
 
 
-def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 32) -> DataFrame:
+def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 1) -> DataFrame:
     """First arrival of each (``source``, ``seq``); replays within ``delay`` of it are dropped.
 
-    Copies are dropped in two steps, first among the input partitions that share a salt. So at
-    most ``salts`` copies of an id reach one task, even if most rows are copies of a single
-    change. The state holds the ids inside the watermark. Run it in append mode.
+    The state holds the ids inside the watermark. Run it in append mode. If a single change may be
+    replayed so often that its copies overload a task, ``salts`` above 1 drops copies in two steps,
+    first among the input partitions that share a salt; that costs a second state of up to
+    ``salts`` entries per id.
     """
     marked = changes.withWatermark("ts", delay)
     if salts > 1:
@@ -27,27 +28,50 @@ def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 32) -> Dat
 class SnapshotSink:
     """``foreachBatch`` sink that keeps a table current from a stream of changes.
 
-    Only the latest change per key is rewritten by a batch; the base stays as it is, and
-    ``snapshot`` merges both. A batch that runs again starts from the same version and overwrites
-    its own, so nothing is applied twice. To fold a large delta into the base, write ``snapshot``
-    to a table and start a new sink from it: its ``last_seq`` keeps replayed changes harmless.
+    The latest change per key lies in ``buckets`` buckets by key. A batch writes new versions of the
+    buckets that its changes fall into, and a small index names the version of each bucket; the base
+    stays as it is and ``snapshot`` merges both. A batch that runs again starts from the same index
+    and overwrites its own version, so nothing is applied twice.
+
+    Outdated versions stay until ``fold``: it writes the snapshot as a table, from which a new
+    sink with a new path and checkpoint goes on; ``last_seq`` keeps replayed changes harmless.
     """
 
-    def __init__(self, path: str, base: DataFrame, *keys: str):
+    def __init__(self, path: str, base: DataFrame, *keys: str, buckets: int = 64):
         self.base = base if "last_seq" in base.columns else as_snapshot(base)
-        self.keys = keys
+        self.path, self.keys, self.buckets = path, keys, buckets
         fields = [f for f in self.base.schema if f.name not in ("last_seq", "deleted")]
-        schema = T.StructType(fields).add("seq", "long").add("op", "string")
-        self.delta = VersionedTable(path, schema)
+        self.schema = T.StructType(fields).add("seq", "long").add("op", "string")
+        self.index = VersionedTable(f"{path}/index", "bucket int, version long")
+
+    def _delta(self, spark: SparkSession, index: DataFrame) -> DataFrame:
+        """The rows of the bucket versions in ``index``, which has a row per bucket at most."""
+        if index.isEmpty():
+            return spark.createDataFrame([], T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())]))
+        stored = T.StructType([*self.schema]).add("version", "long").add("bucket", "integer")
+        rows = spark.read.schema(stored).parquet(f"{self.path}/delta")
+        return rows.join(F.broadcast(index), ["bucket", "version"]).drop("version")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        changes = self.delta.read(spark, batch_id - 1).unionByName(
-            batch.select(*self.delta.schema.names)
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        changes = batch.select(*self.schema.names, bucket)
+        index = self.index.read(spark, batch_id - 1)
+        touched = changes.select("bucket").distinct()
+        before = self._delta(spark, index.join(touched, "bucket", "left_semi"))
+        latest = latest_changes(before.unionByName(changes), *self.keys)
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.path}/delta/version={batch_id}"
         )
-        self.delta.write(batch_id, latest_changes(changes, *self.keys))
-        self.delta.drop(spark, batch_id - 2)
+        now = touched.withColumn("version", F.lit(batch_id).cast("long"))
+        self.index.write(batch_id, index.join(touched, "bucket", "left_anti").unionByName(now))
 
     def snapshot(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The table after batch ``batch_id``, with tombstones."""
-        return apply_changes(self.base, self.delta.read(spark, batch_id), *self.keys)
+        delta = self._delta(spark, self.index.read(spark, batch_id)).drop("bucket")
+        return apply_changes(self.base, delta, *self.keys)
+
+    def fold(self, spark: SparkSession, batch_id: int, target: str) -> DataFrame:
+        """Write the snapshot after batch ``batch_id`` to ``target`` as the base of a new sink."""
+        self.snapshot(spark, batch_id).write.parquet(target)
+        return spark.read.parquet(target)

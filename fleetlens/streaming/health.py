@@ -1,19 +1,22 @@
 """Health changes and readiness from streams, with the batch operators doing the work.
 
-The rows of a micro-batch that became final are one more piece of each node's history. The
-batch operators already cut histories into pieces, so a node with most of the rows is spread
-over many tasks here as well, and no Python runs per row or per node.
+Spark's watermark and state decide when a piece of a node's history is final: ``finished_chunks``
+groups rows by node and time chunk in append mode, so each chunk comes out once, complete, and no
+earlier chunk of its node comes later. The sinks only join finished chunks to one carried row
+per node (or the starts still open) and run the batch operators on them. Rows behind the watermark
+are dropped by Spark and counted in its progress reports (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import time_chunk
-from fleetlens.operators.probes import HOT_ROWS, changes_of_health, readiness, with_streaks
-from fleetlens.streaming.ordered import OrderedBatches
+from fleetlens.operators.probes import NODE, changes_of_health, readiness, with_streaks
 from fleetlens.streaming.versions import VersionedTable
 
 NODE_SCHEMA = "node_id long"
@@ -31,29 +34,53 @@ def _names(node: str) -> list[str]:
     return [field.split()[0] for field in node.split(",")]
 
 
-def stream_health(
-    path: str,
-    delay_seconds: int,
-    retries: int = fv.HEALTH_RETRIES,
-    chunk_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
-    node: str = NODE_SCHEMA,
-) -> OrderedBatches:
-    """Sink for probes (``probe_schema``): writes every health change to ``{path}/changes``.
+def finished_chunks(
+    rows: DataFrame, delay: str, chunk_seconds: int = 3600, keys: Sequence[str] = NODE
+) -> DataFrame:
+    """One row per (node, time chunk) that the watermark has passed, with the chunk's ``rows``.
+
+    Run it in append mode. A chunk is one row, so ``chunk_seconds`` bounds its size; rows without a
+    time belong to no chunk.
+    """
+    payload = [c for c in rows.columns if c not in keys]
+    return (
+        rows.withWatermark("ts", delay)
+        .groupBy(*keys, F.window("ts", f"{chunk_seconds} seconds").alias("_chunk"))
+        .agg(F.collect_list(F.struct(*payload)).alias("rows"))
+        .select(*keys, F.col("_chunk.end").alias("until"), "rows")
+    )
+
+
+def _opened(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return batch.select(*keys, F.explode("rows").alias("_r")).select(*keys, "_r.*")
+
+
+class HealthSink:
+    """``foreachBatch`` sink for finished chunks of probes: writes changes to ``{path}/changes``.
 
     The state is one row per node: its failures in a row and its count of good probes. ``node``
     declares the columns that identify a node.
     """
-    keys = _names(node)
-    state = VersionedTable(f"{path}/state", f"{node}, streak long, oks long")
-
-    def step(final: DataFrame, batch_id: int, watermark) -> None:
-        spark = final.sparkSession
-        carry = state.read(spark, batch_id - 1)
-        marked = with_streaks(final, time_chunk("ts", chunk_seconds), carry, hot_rows, keys)
-        marked = marked.persist()
-        changes_of_health(marked, retries, keys).write.mode("overwrite").parquet(
-            f"{path}/changes/batch={batch_id}"
+
+    def __init__(
+        self,
+        path: str,
+        retries: int = fv.HEALTH_RETRIES,
+        chunk_seconds: int = 3600,
+        node: str = NODE_SCHEMA,
+    ):
+        self.path, self.retries, self.chunk_seconds = path, retries, chunk_seconds
+        self.keys = _names(node)
+        self.state = VersionedTable(f"{path}/state", f"{node}, streak long, oks long")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        keys, spark = self.keys, batch.sparkSession
+        final = _opened(batch, keys)
+        carry = self.state.read(spark, batch_id - 1)
+        chunk = time_chunk(final, "ts", self.chunk_seconds)
+        marked = with_streaks(final, chunk, carry, keys).persist()
+        changes_of_health(marked, self.retries, keys).write.mode("overwrite").parquet(
+            f"{self.path}/changes/batch={batch_id}"
         )
         newest = F.max(F.struct("ts", "seq", "streak", "oks_before", "ok")).alias("_l")
         last = marked.groupBy(*keys).agg(newest).select(
@@ -61,51 +88,63 @@ def stream_health(
             F.col("_l.streak").cast("long").alias("streak"),
             (F.col("_l.oks_before") + F.col("_l.ok").cast("int")).alias("oks"),
         )
-        state.write(batch_id, carry.join(last, keys, "left_anti").unionByName(last))
-        state.drop(spark, batch_id - 2)
+        self.state.write(batch_id, carry.join(last, keys, "left_anti").unionByName(last))
         marked.unpersist()
 
-    return OrderedBatches(path, probe_schema(node), delay_seconds, step)
 
+class ReadinessSink:
+    """``foreachBatch`` sink for finished chunks of starts and polls: outcomes to ``{path}/outcomes``.
 
-def stream_readiness(
-    path: str,
-    delay_seconds: int,
-    max_polls: int = fv.READY_POLLS,
-    horizon_seconds: int = fv.READY_HORIZON_SECONDS,
-    chunk_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
-    node: str = NODE_SCHEMA,
-) -> OrderedBatches:
-    """Sink for starts and polls (``timeline_schema``): writes outcomes to ``{path}/outcomes``.
-
-    A start is settled by a good poll, by ``max_polls`` polls, or when the watermark passes its
-    horizon. Until then it stays in the state, with the polls that an open start can see.
+    A start is settled by a good poll, by ``max_polls`` polls, or when finished chunks reach past
+    its horizon. Until then it stays in the state, with the polls that an open start can see.
     """
-    keys = _names(node)
-    state = VersionedTable(f"{path}/state", timeline_schema(node))
-    horizon = F.make_dt_interval(secs=F.lit(horizon_seconds))
 
-    def step(final: DataFrame, batch_id: int, watermark) -> None:
-        spark = final.sparkSession
-        rows = state.read(spark, batch_id - 1).unionByName(final)
+    def __init__(
+        self,
+        path: str,
+        max_polls: int = fv.READY_POLLS,
+        horizon_seconds: int = fv.READY_HORIZON_SECONDS,
+        chunk_seconds: int = 3600,
+        node: str = NODE_SCHEMA,
+    ):
+        self.path, self.max_polls = path, max_polls
+        self.horizon_seconds, self.chunk_seconds = horizon_seconds, chunk_seconds
+        self.keys = _names(node)
+        self.rows = VersionedTable(f"{path}/open", timeline_schema(node))
+        self.clock = VersionedTable(f"{path}/clock", "until timestamp")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Append mode gives out all chunks up to the watermark, so all rows before the end of any
+        # chunk seen are final.
+        clock = self.clock.read(spark, batch_id - 1).unionByName(batch.select("until"))
+        self.clock.write(batch_id, clock.agg(F.max("until").alias("until")))
+        until = self.clock.read(spark, batch_id).first().until
+        self._settle(_opened(batch, self.keys), batch_id, until)
+
+    def flush(self, spark: SparkSession, last_batch_id: int) -> None:
+        """End of input: what is still open is settled in a batch of its own."""
+        empty = spark.createDataFrame([], self.rows.schema)
+        self._settle(empty, last_batch_id + 1, None, flush=True)
+
+    def _settle(self, final: DataFrame, batch_id: int, until, flush: bool = False) -> None:
+        spark, keys = final.sparkSession, self.keys
+        horizon = F.make_dt_interval(secs=F.lit(self.horizon_seconds))
+        rows = self.rows.read(spark, batch_id - 1).unionByName(final)
         starts = rows.filter("is_start").withColumnRenamed("seq", "start_id")
         polls = rows.filter("NOT is_start")
         outcome = readiness(
-            starts, polls, max_polls, horizon_seconds, keys, chunk_seconds, hot_rows
+            starts, polls, self.max_polls, self.horizon_seconds, keys, self.chunk_seconds
         )
-        over = F.lit(True) if watermark is None else F.col("ts") + horizon <= watermark
-        settled = outcome.filter(F.col("ready") | (F.col("polls_after") >= max_polls) | over)
+        over = F.lit(flush) if until is None else F.col("ts") + horizon < F.lit(until)
+        settled = outcome.filter(F.col("ready") | (F.col("polls_after") >= self.max_polls) | over)
         settled = settled.drop("polls_after")
-        target = f"{path}/outcomes/batch={batch_id}"
+        target = f"{self.path}/outcomes/batch={batch_id}"
         settled.write.mode("overwrite").parquet(target)
         done = spark.read.schema(settled.schema).parquet(target)
         still_open = starts.join(done, [*keys, "start_id"], "left_anti").withColumnRenamed(
             "start_id", "seq"
         )
-        if watermark is not None:
-            polls = polls.filter(F.col("ts") + horizon > watermark)
-        state.write(batch_id, still_open.unionByName(polls))
-        state.drop(spark, batch_id - 2)
-
-    return OrderedBatches(path, timeline_schema(node), delay_seconds, step)
+        if until is not None:
+            polls = polls.filter(F.col("ts") + horizon >= F.lit(until))
+        self.rows.write(batch_id, still_open.unionByName(polls))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.streaming.versions import VersionedTable
+
 
 def stream_latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
     """Newest report per node by ``ts``, then ``seq``; late reports cannot replace newer ones.
@@ -17,3 +19,20 @@ def stream_latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",))
     payload = [c for c in reports.columns if c not in (*keys, "ts", "seq")]
     newest = F.max(F.struct("ts", "seq", *payload)).alias("_newest")
     return reports.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+
+
+class CurrentStatusSink:
+    """``foreachBatch`` sink that keeps one current row per node from the stream in update mode."""
+
+    def __init__(self, path: str, schema: str, keys: Sequence[str] = ("node_id",)):
+        self.table = VersionedTable(path, schema)
+        self.keys = list(keys)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+        before = self.table.read(spark, batch_id - 1).select(*columns)
+        kept = before.join(batch, self.keys, "left_anti")
+        self.table.write(batch_id, kept.unionByName(batch))
+
+    def current(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return self.table.read(spark, batch_id)

@@ -61,21 +61,22 @@ def python_streaks(rows, retries):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize(("chunk_seconds", "hot_rows"), [(7, 100), (300, 30), (10**6, 1), (60, 10**6)])
-def test_streaks_and_changes(spark, seed, chunk_seconds, hot_rows):
+@pytest.mark.parametrize("chunk_seconds", [7, 300, 10**6])
+def test_streaks_and_changes(spark, seed, chunk_seconds):
     rows = history(seed)
     frame = spark.createDataFrame(rows, SCHEMA)
-    streaks = probes.unhealthy_streaks(frame, 5, chunk_seconds, hot_rows)
+    streaks = probes.unhealthy_streaks(frame, 5, chunk_seconds)
     assert sorted((tuple(r) for r in streaks.collect()), key=str) == python_streaks(rows, 5)
-    changes = probes.health_changes(frame, 5, chunk_seconds, hot_rows)
+    changes = probes.health_changes(frame, 5, chunk_seconds)
     assert sorted(tuple(r) for r in changes.collect()) == python_changes(rows, 5)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
-def test_streaks_continue_from_carry(spark, hot_rows):
+def test_streaks_continue_from_carry(spark):
     rows = sorted(history(9), key=lambda r: (r[1], r[2]))
     cut = rows[len(rows) // 2][1]
-    whole = probes.with_streaks(spark.createDataFrame(rows, SCHEMA), time_chunk("ts", 100))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    chunk = time_chunk(frame, "ts", 100)
+    whole = probes.with_streaks(frame, chunk)
     early = [r for r in rows if r[1] <= cut]
     carry = []
     for node, probed in by_node(early).items():
@@ -85,9 +86,8 @@ def test_streaks_continue_from_carry(spark, hot_rows):
         carry.append((node, streak, sum(r[3] for r in probed)))
     late = probes.with_streaks(
         spark.createDataFrame([r for r in rows if r[1] > cut], SCHEMA),
-        time_chunk("ts", 100),
+        chunk,
         spark.createDataFrame(carry, "node_id long, streak long, oks long"),
-        hot_rows,
     )
     expected = {tuple(r) for r in whole.collect() if r.ts > cut}
     assert {tuple(r) for r in late.collect()} == expected
@@ -108,10 +108,10 @@ def python_readiness(starts, polls, max_polls, horizon):
 
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize(
-    ("max_polls", "horizon", "chunk_seconds", "hot_rows"),
-    [(3, 50, 20, 100), (30, 180, 7, 1), (1, 7, 500, 100), (1000, 5, 60, 10**6), (200, 10**5, 30, 10)],
+    ("max_polls", "horizon", "chunk_seconds"),
+    [(3, 50, 20), (30, 180, 7), (1, 7, 500), (1000, 5, 60), (200, 10**5, 30)],
 )
-def test_readiness(spark, seed, max_polls, horizon, chunk_seconds, hot_rows):
+def test_readiness(spark, seed, max_polls, horizon, chunk_seconds):
     polls = history(seed, ok_rate=0.05)
     seeded = random.Random(seed + 100)
     starts = [
@@ -124,7 +124,6 @@ def test_readiness(spark, seed, max_polls, horizon, chunk_seconds, hot_rows):
         max_polls,
         horizon,
         chunk_seconds=chunk_seconds,
-        hot_rows=hot_rows,
     )
     rows = sorted(
         (r.start_id, r.node_id, r.ts, r.ready, r.ready_ts, r.polls_used) for r in got.collect()
@@ -146,7 +145,7 @@ def test_node_may_be_named_by_several_columns(spark):
     rows = [(r[0] % 3, *r) for r in history(11)]
     frame = spark.createDataFrame(rows, f"cluster_id long, {SCHEMA}").withColumnRenamed("node_id", "id")
     keys = ["cluster_id", "id"]
-    changes = probes.health_changes(frame, 5, 60, 100, keys)
+    changes = probes.health_changes(frame, 5, 60, keys)
     assert sorted(tuple(r)[1:] for r in changes.collect()) == python_changes([r[1:] for r in rows], 5)
 
 
@@ -157,3 +156,26 @@ def test_start_without_node_or_time_is_kept_as_not_ready(spark):
     polls = [(1, START + timedelta(seconds=1), 1, True), (None, START + timedelta(seconds=1), 2, True), (1, None, 3, True)]
     got = probes.readiness(starts, spark.createDataFrame(polls, SCHEMA))
     assert {r.start_id: r.ready for r in got.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_one_node_with_nine_tenths_of_the_rows_is_spread(spark):
+    rows = [(0 if i % 10 else 1 + i % 7, START + timedelta(seconds=60 * i), i, i % 13 == 0) for i in range(3000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    changes = probes.health_changes(frame, 5, 3600)
+    assert sorted(tuple(r) for r in changes.collect()) == python_changes(rows, 5)
+    starts = spark.createDataFrame([(0, i, START + timedelta(minutes=i)) for i in range(0, 3000, 50)], "node_id long, start_id long, ts timestamp")
+    plan = probes.readiness(starts, frame)._jdf.queryExecution().executedPlan().toString()
+    for text in (plan, changes._jdf.queryExecution().executedPlan().toString()):
+        assert "TakeOrderedAndProject" not in text and "SinglePartition" not in text
+
+
+def test_chunks_of_times_without_zone_follow_their_own_clock(spark):
+    texts = ["2024-03-31 01:59:59", "2024-03-31 02:30:00", "2024-03-31 03:00:00", "2024-10-27 02:59:59", "2024-10-27 03:00:00"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("cast(t as timestamp_ntz) ts")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = [r[0] for r in frame.select(time_chunk(frame, "ts", 3600)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == sorted(got) and got[2] - got[0] == 2 and got[4] - got[3] == 1

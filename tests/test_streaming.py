@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from fleetlens.operators import changes, probes, status
 from fleetlens.sources import logs
 from fleetlens.streaming.changes import SnapshotSink, stream_dedup_changes
-from fleetlens.streaming.health import probe_schema, stream_health, stream_readiness, timeline_schema
-from fleetlens.streaming.ordered import OrderedBatches
-from fleetlens.streaming.status import stream_latest_status
+from fleetlens.streaming.health import (
+    HealthSink,
+    ReadinessSink,
+    finished_chunks,
+    probe_schema,
+    timeline_schema,
+)
+from fleetlens.streaming.status import CurrentStatusSink, stream_latest_status
 from tests.test_changes import CHANGE, frames, live, make, replay
 
 START = datetime(2024, 1, 1)
 DELAY = 120
+LAG = f"{DELAY} seconds"
 PROBE_SCHEMA = probe_schema()
 TIMELINE_SCHEMA = timeline_schema()
 
@@ -54,45 +60,59 @@ def rows_of(frame):
     return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
+def end_of_input(*more):
+    """A row far behind all others: it moves the watermark past them."""
+    return (None, START + timedelta(days=400), None, *more)
+
+
+CHANGES_SCHEMA = "node_id long, ts timestamp, seq long, from_status string, to_status string"
+
+
 @pytest.mark.parametrize("files", [1, 6])
 def test_health_equals_batch(spark, tmp_path, files):
     rows = timeline(1)
-    folder = str(tmp_path / "out")
-    stream = write_files(spark, rows, PROBE_SCHEMA, str(tmp_path / "in"), files)
-    sink = stream_health(folder, DELAY, chunk_seconds=60, hot_rows=50)
-    sink.flush(spark, run(stream, sink, folder))
-    schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
-    got = spark.read.schema(schema).parquet(f"{folder}/changes/batch=*")
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    write_files(spark, rows, PROBE_SCHEMA, source, files)
+    stream = write_files(spark, [end_of_input(None)], PROBE_SCHEMA, source, 1)
+    run(finished_chunks(stream, LAG, 60), HealthSink(folder, chunk_seconds=60), folder)
+    got = spark.read.schema(CHANGES_SCHEMA).parquet(f"{folder}/changes/batch=*")
     expected = probes.health_changes(spark.createDataFrame(rows, PROBE_SCHEMA), chunk_seconds=60)
     assert rows_of(got) == rows_of(expected)
-    assert sink.late_rows(spark).count() == 0
 
 
 @pytest.mark.parametrize("files", [1, 6])
 def test_readiness_equals_batch(spark, tmp_path, files):
     rows = [(n, ts, seq, seq % 11 == 0, ok and seq % 4 == 0) for n, ts, seq, ok in timeline(2)]
-    folder = str(tmp_path / "out")
-    stream = write_files(spark, rows, TIMELINE_SCHEMA, str(tmp_path / "in"), files)
-    sink = stream_readiness(folder, DELAY, max_polls=6, horizon_seconds=90, chunk_seconds=30, hot_rows=40)
-    sink.flush(spark, run(stream, sink, folder))
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    write_files(spark, rows, TIMELINE_SCHEMA, source, files)
+    stream = write_files(spark, [end_of_input(None, None)], TIMELINE_SCHEMA, source, 1)
+    sink = ReadinessSink(folder, max_polls=6, horizon_seconds=90, chunk_seconds=30)
+    sink.flush(spark, run(finished_chunks(stream, LAG, 30), sink, folder))
     frame = spark.createDataFrame(rows, TIMELINE_SCHEMA)
     expected = probes.readiness(
         frame.filter("is_start").withColumnRenamed("seq", "start_id"), frame.filter("NOT is_start"), 6, 90
     ).drop("polls_after")
     got = spark.read.schema(expected.schema).parquet(f"{folder}/outcomes/batch=*")
     assert rows_of(got) == rows_of(expected)
+    early = got.filter(F.input_file_name().contains("batch=1/")).count()
+    assert files == 1 or early < got.count()
+
+
+def chunks_of(spark, rows):
+    return spark.createDataFrame(rows, PROBE_SCHEMA).groupBy(
+        "node_id", F.window("ts", "60 seconds").alias("w")
+    ).agg(F.collect_list(F.struct("ts", "seq", "ok")).alias("rows")).select("node_id", F.col("w.end").alias("until"), "rows")
 
 
 def test_repeated_batch_gives_the_same_result(spark, tmp_path):
     rows = sorted(timeline(3), key=lambda r: r[1])
-    sink = stream_health(str(tmp_path), DELAY, chunk_seconds=60)
-    batches = [spark.createDataFrame(rows[i * 500 : (i + 1) * 500], PROBE_SCHEMA) for i in range(3)]
-    for i, batch in enumerate(batches):
+    sink = HealthSink(str(tmp_path), chunk_seconds=60)
+    edges = [START, START + timedelta(minutes=25), START + timedelta(minutes=50), START + timedelta(days=1)]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        batch = chunks_of(spark, [r for r in rows if low <= r[1] < high])
         sink(batch, i)
         sink(batch, i)
-    sink.flush(spark, 2)
-    schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
-    got = spark.read.schema(schema).parquet(f"{tmp_path}/changes/batch=*")
+    got = spark.read.schema(CHANGES_SCHEMA).parquet(f"{tmp_path}/changes/batch=*")
     expected = probes.health_changes(spark.createDataFrame(rows, PROBE_SCHEMA))
     assert rows_of(got) == rows_of(expected)
 
@@ -100,57 +120,46 @@ def test_repeated_batch_gives_the_same_result(spark, tmp_path):
 def test_stream_continues_after_a_restart(spark, tmp_path):
     rows = timeline(8)
     folder, source = str(tmp_path / "out"), str(tmp_path / "in")
-    sizes = (rows[:600], rows[600:900], rows[900:])
-    last = None
-    for part in sizes:
-        stream = write_files(spark, part, PROBE_SCHEMA, source, 2)
-        sink = stream_health(folder, DELAY, chunk_seconds=60, hot_rows=50)
-        last = run(stream, sink, folder)
-    sink.flush(spark, last)
-    schema = "node_id long, ts timestamp, seq long, from_status string, to_status string"
-    got = spark.read.schema(schema).parquet(f"{folder}/changes/batch=*")
+    for part in (rows[:600], rows[600:900], rows[900:], [end_of_input(None)]):
+        stream = write_files(spark, part, PROBE_SCHEMA, source, 2 if len(part) > 1 else 1)
+        run(finished_chunks(stream, LAG, 60), HealthSink(folder, chunk_seconds=60), folder)
+    got = spark.read.schema(CHANGES_SCHEMA).parquet(f"{folder}/changes/batch=*")
     expected = probes.health_changes(spark.createDataFrame(rows, PROBE_SCHEMA))
     assert rows_of(got) == rows_of(expected)
 
 
-def test_late_rows_are_kept_apart(spark, tmp_path):
-    seen = []
-    sink = OrderedBatches(str(tmp_path), PROBE_SCHEMA, 10, lambda rows, i, w: seen.append(rows.count()))
+def test_no_engine_internals():
+    import pathlib
 
-    def at(second, seq):
-        return (1, START + timedelta(seconds=second), seq, True)
+    import fleetlens.streaming as package
 
-    sink(spark.createDataFrame([at(0, 0), at(100, 1)], PROBE_SCHEMA), 0)
-    sink(spark.createDataFrame([at(50, 2), at(95, 3), at(120, 4)], PROBE_SCHEMA), 1)
-    sink(spark.createDataFrame([], PROBE_SCHEMA), 2)
-    sink.flush(spark, 2)
-    assert seen == [1, 2, 0, 1]
-    assert [r.seq for r in sink.late_rows(spark).collect()] == [2]
+    for file in pathlib.Path(package.__file__).parent.glob("*.py"):
+        assert "_jvm" not in file.read_text()
 
 
-def test_latest_status_ignores_late_reports(spark, tmp_path):
+def test_current_status_ignores_late_reports(spark, tmp_path):
     rows = timeline(4)
     random.Random(4).shuffle(rows)
     stream = write_files(spark, rows, PROBE_SCHEMA, str(tmp_path / "in"), 5)
     folder = str(tmp_path / "out")
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/current/batch={batch_id}")
-
-    run(stream_latest_status(stream), keep, folder, "update")
-    got = status.latest_status(spark.read.schema(PROBE_SCHEMA).parquet(f"{folder}/current/batch=*"))
+    sink = CurrentStatusSink(f"{folder}/current", PROBE_SCHEMA)
+    last = run(stream_latest_status(stream), sink, folder, "update")
     expected = status.latest_status(spark.createDataFrame(rows, PROBE_SCHEMA))
-    assert rows_of(got) == rows_of(expected)
+    current = sink.current(spark, last)
+    assert rows_of(current) == rows_of(expected)
+    sink(spark.createDataFrame(rows[:0], PROBE_SCHEMA), last + 1)
+    assert rows_of(sink.current(spark, last + 1)) == rows_of(expected)
 
 
-def test_dedup_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_dedup_over_several_batches(spark, tmp_path, salts):
     seeded = random.Random(5)
     rows = [(seeded.randrange(3), seeded.randrange(200), START + timedelta(seconds=i)) for i in range(900)]
     rows += [(9, 9, START)] * 600
     seeded.shuffle(rows)
     stream = write_files(spark, rows, "source long, seq long, ts timestamp", str(tmp_path / "in"), 6)
     query = (
-        stream_dedup_changes(stream, "1 hour")
+        stream_dedup_changes(stream, "1 hour", salts)
         .writeStream.format("parquet")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
@@ -171,12 +180,26 @@ def test_snapshot_follows_the_stream(spark, tmp_path):
     last = run(stream, sink, str(tmp_path))
     merged = sink.snapshot(spark, last)
     assert live(merged) == replay(base, rows)
-    merged.write.parquet(str(tmp_path / "folded"))
-    again = SnapshotSink(str(tmp_path / "delta2"), spark.read.parquet(str(tmp_path / "folded")), "id")
+    folded = sink.fold(spark, last, str(tmp_path / "folded"))
+    again = SnapshotSink(str(tmp_path / "delta2"), folded, "id")
     again(spark.createDataFrame(rows[:300], CHANGE), 0)
     assert live(again.snapshot(spark, 0)) == replay(base, rows)
 
 
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    base, rows = make(7, count=300)
+    snapshot, _ = frames(spark, base, rows)
+    sink = SnapshotSink(str(tmp_path), changes.live_rows(snapshot), "id", buckets=16)
+    for i, part in enumerate((rows[:250], rows[250:251], rows[251:251], rows[251:])):
+        batch = spark.createDataFrame(part, CHANGE)
+        sink(batch, i)
+        sink(batch, i)
+    assert live(sink.snapshot(spark, 3)) == replay(base, rows)
+    written = spark.read.parquet(str(tmp_path / "delta")).groupBy("version").agg(F.countDistinct("bucket"))
+    counts = dict(tuple(r) for r in written.collect())
+    assert counts[1] == 1 < counts[0]
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("[2024-05-01 10:00:01] ERROR: bad\nnoise\n")
