@@ -35,19 +35,19 @@ from tokenizers import Tokenizer
 
 MAGIC = b"FLIDX001"
 END = 2
-#: Ids of one shard: 16 MB at two bytes an id.
-SHARD_TOKENS = 8 << 20
-#: Units remembered within a task.
+#: Ids of one shard: 8 MB at two bytes an id.
+SHARD_TOKENS = 4 << 20
+#: Words remembered within a task.
 REMEMBERED = 500_000
-#: Texts encoded together.
-TEXTS = 200
-#: Units of a text. A match of the splitting pattern never crosses from a visible character to a space,
-#: tab or line end, nor from a letter to one of the marks.
-UNIT = re.compile(
-    r"[ \t\r\n]*[^\W\d_]+(?=[ \t\r\n.,!?;:]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
-)
+#: Marks that may end a word; no match of the splitting pattern takes a letter and one of them.
+MARKS = ".,!?;:"
+#: Units of a text with any white space. A match never crosses from a visible character to a space,
+#: tab or line end either.
+UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 #: White space outside that set could join a run of it, so such texts are encoded as a whole.
 OTHER_SPACE = re.compile(r"[^\S \t\r\n]|[\x1c-\x1f\x85]")
+#: Letters below this code point are letters to every version of Unicode.
+LATIN = chr(0x250)
 
 
 def load_tokenizer(path: str) -> str:
@@ -55,34 +55,59 @@ def load_tokenizer(path: str) -> str:
         return file.read()
 
 
-class UnitEncoder:
-    """Encodes texts with the tokenizers library, each distinct unit of text once."""
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printed)]
+    return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class UnitEncoder(dict):
+    """Encodes texts with the tokenizers library, each distinct word of a task once.
+
+    As a dictionary it maps a piece between single spaces to the ids of the piece with its space (a
+    piece that begins with a line feed has none).
+    """
 
     def __init__(self, spec: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, each.ids).tobytes() for each in found]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each whole text, as the library gives them, ``width`` bytes each."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [[t] if OTHER_SPACE.search(t) else UNIT.findall(t) for t in texts]
-        new = list({unit for units in cut for unit in units if unit not in known})
-        known.update(zip(new, self._library(new)))
-        out = [b"".join([known[unit] for unit in units]) for units in cut]
-        for unit in new:
-            if len(unit) > 64:
-                del known[unit]
-        return out
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks = {mark: self._library(mark) for mark in MARKS}
+
+    def _library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < LATIN:
+            # A space and letters are one match of the pattern, so the merges are all there is to do.
+            coded = f" {piece}".encode().decode("latin-1").translate(self.letters)
+            ids = array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            ids = self._library(piece if piece[:1] == "\n" else f" {piece}")
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of the whole text, as the library gives them, ``width`` bytes each."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        pieces = text.replace("\n", " \n").split(" ")
+        # As many words as pieces and no piece without a word: white space is single spaces and
+        # single line feeds only, so each piece ends where a match ends.
+        if len(text.split()) == len(pieces) and "" not in pieces and "\n" not in pieces:
+            return self._library(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
+        if OTHER_SPACE.search(text):
+            return self._library(text)
+        return b"".join(map(self._library, UNIT.findall(text)))
 
 
 def key_bytes(key: str | None) -> bytes:
@@ -265,16 +290,13 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                block = batch.slice(at, TEXTS)
-                found = encoder.encode(block.column(1).to_pylist())
-                for k, own in zip(block.column(0).to_pylist(), found):
-                    keys.append(k)
-                    ids.append(own + last)
-                    held += len(ids[-1]) // encoder.width
-                    if held >= shard_tokens:
-                        yield shard()
-                        piece, held, keys, ids = piece + 1, 0, [], []
+            for k, body in zip(batch.column(0), batch.column(1)):
+                keys.append(k.as_py())
+                ids.append(encoder.encode(body.as_py()) + last)
+                held += len(ids[-1]) // encoder.width
+                if held >= shard_tokens:
+                    yield shard()
+                    piece, held, keys, ids = piece + 1, 0, [], []
         if keys:
             yield shard()
 

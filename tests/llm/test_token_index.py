@@ -24,8 +24,10 @@ def test_units_give_the_ids_of_the_whole(library):
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(4000)]
     texts += ["", "a" * 50_000, "word " * 20_000, " " * 3000 + "x"]
     encoder = token_index.UnitEncoder(token_index.load_tokenizer(PATH))
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, "<u2").tolist() == library(text)
+    words = ["it's", "Ünder", "x,", "a.b", "漢字", "don't!", "\nNew", "½", "٣", "-", "I'll;", "ñandú?", "<|endoftext|>"]
+    texts += [" ".join(rng.choices(words, k=12)).replace(" \n", "\n") for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library(text)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 20_000])
