@@ -44,10 +44,15 @@ NODE_DEFAULTS = {
     "host": "127.0.0.1",
     "port": 3306,
     "ssh_port": 22,
-    "docker_network": "mysql-cluster-net",
 }
 NODE_SECRET_KEY = "mysql_root_password"
 
+
+def node_record_defaults(network: str) -> dict[str, object]:
+    """Values of node record keys that are absent; ``network`` names the default network."""
+    return {**NODE_DEFAULTS, "docker_network": network}
+
+
 LOOPBACK = "127.0.0.1"
 SERVER_PORT = 3306
 CONTAINER_PORT_BASE = 33060
@@ -78,14 +83,17 @@ DOCUMENT_KEYS = [
 DOCUMENT_SECRET_KEY = "mysql_root_password"
 
 
-def document_defaults(engine: str) -> dict[str, object]:
-    """Values of cluster document keys that are absent; ``engine`` names the storage engine."""
+def document_defaults(engine: str, network: str) -> dict[str, object]:
+    """Values of cluster document keys that are absent.
+
+    ``engine`` names the storage engine, ``network`` the default network.
+    """
     return {
         "cluster_name": f"{engine}_cluster",
         "mysql_version": "8.0.43",
         "mysql_database": "testdb",
         "mysql_user": "clusteruser",
-        "docker_network_name": "mysql-cluster-net",
+        "docker_network_name": network,
         "docker_network_subnet": "172.20.0.0/16",
         "docker_base_ip": "172.20.0",
         "docker_image": f"mysql-{engine}-ubuntu:8.0.43",

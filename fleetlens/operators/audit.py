@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
@@ -47,9 +47,13 @@ def duplicate_identities(nodes: DataFrame) -> DataFrame:
 
 def duplicate_members(nodes: DataFrame) -> DataFrame:
     """The nodes behind ``duplicate_identities``, one row each, however many share a value."""
-    shared = duplicate_identities(nodes).select("cluster_id", "field", "value")
     keys = ["cluster_id", "field", "value"]
-    return join_per_group(identities(nodes), shared, keys, ["pos"], "left_semi")
+    salted = identities(nodes).withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(32)))
+    # Counts per salt are few rows per value, however many nodes share it.
+    counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    shared = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    shared = shared.filter("_all > 1").select(*keys, "_salt")
+    return salted.join(shared, [*keys, "_salt"], "left_semi").drop("_salt")
 
 
 def octet_overflows(nodes: DataFrame) -> DataFrame:

@@ -4,25 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _sums(rows: DataFrame) -> list[Column]:
+    # A hash skips nulls, so where they are is hashed with the values; nested values as text.
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    values = [
+        F.to_json(F.struct(f.name), {"ignoreNullFields": "false"})
+        if isinstance(f.dataType, nested)
+        else F.col(f.name)
+        for f in rows.schema
+    ]
+    digest = F.xxhash64(*values, *[F.col(c).isNull() for c in rows.columns])
+    return [
+        F.count(F.lit(1)).alias("row_count"),
+        F.bit_xor(digest).alias("hash_xor"),
+        F.sum(digest.cast("decimal(38,0)")).alias("hash_sum"),
+    ]
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """One row: row count and two order-free hashes (the sum also sees repeated rows)."""
-    digest = F.xxhash64(*rows.columns)
-    return rows.select(digest.alias("_h")).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor("_h").alias("hash_xor"),
-        F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"),
-    )
+    return rows.agg(*_sums(rows))
 
 
 def clone_snapshot(rows: DataFrame, path: str) -> DataFrame:
-    """Write a full copy to a new folder, check it against the source, and return it."""
-    rows.write.mode("errorifexists").parquet(path)
+    """Write a full copy to a new folder, check it against the source, and return it.
+
+    The source's fingerprint is observed while it is written, so it is read once.
+    """
+    seen = Observation()
+    rows.observe(seen, *_sums(rows)).write.mode("errorifexists").parquet(path)
     copy = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    if fingerprint(copy).first() != fingerprint(rows).first():
+    if fingerprint(copy).first().asDict() != seen.get:
         raise ValueError(f"copy at {path} differs from its source")
     return copy
 

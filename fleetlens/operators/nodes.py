@@ -70,12 +70,14 @@ def infer_node_type(node_type: Column, host: Column, ssh_user: Column) -> Column
     )
 
 
-def derive_secondaries(rows: DataFrame) -> DataFrame:
-    """Full node columns from ``node_id, node_type, host, ssh_user, ssh_key_path, docker_base_ip``.
+def derive_secondaries(rows: DataFrame, default_network: str | None = None) -> DataFrame:
+    """Full node columns from ``node_id, node_type, host, ssh_user, ssh_key_path`` and what the cluster
+    gives: ``docker_base_ip, docker_network, credential_hash``.
 
-    Container nodes get name, address and port from their id. All other types are treated as
-    remote machines.
+    Container nodes get name, address and port from their id, and the cluster's network. All other
+    types are treated as remote machines, whose network is ``default_network``.
     """
+    blank = F.lit(None).cast("string")
     container = F.col("node_type") == fv.TYPE_CONTAINER
     number = F.col("node_id") - 1
     name = F.format_string("mysql-secondary-%d", number)
@@ -93,7 +95,11 @@ def derive_secondaries(rows: DataFrame) -> DataFrame:
             .cast("int"),
             "ssh_user": F.when(~container, F.col("ssh_user")),
             "ssh_key_path": F.when(~container, F.col("ssh_key_path")),
+            "ssh_port": F.lit(fv.NODE_DEFAULTS["ssh_port"]),
             "container_name": F.when(container, name),
+            "docker_network": F.when(container, F.col("docker_network")).otherwise(
+                F.lit(default_network).cast("string")
+            ),
             "docker_ip": F.when(
                 container,
                 F.concat_ws(
@@ -103,12 +109,17 @@ def derive_secondaries(rows: DataFrame) -> DataFrame:
                 ),
             ),
             "server_id": F.col("node_id"),
+            "data_dir": blank,
+            "config_file": blank,
+            "local_address": blank,
+            "group_seeds": blank,
+            "credential_hash": F.col("credential_hash"),
         }
     ).drop("docker_base_ip")
 
 
 def derive_container_nodes(rows: DataFrame) -> DataFrame:
-    """Container nodes from ``node_id`` and ``docker_base_ip``."""
+    """Container nodes from ``node_id, docker_base_ip, docker_network, credential_hash``."""
     blank = F.lit(None).cast("string")
     return derive_secondaries(
         rows.withColumns(
@@ -122,13 +133,19 @@ def derive_container_nodes(rows: DataFrame) -> DataFrame:
     )
 
 
-def derive_remote_nodes(rows: DataFrame) -> DataFrame:
-    """Remote machine nodes from ``node_id, host, ssh_user, ssh_key_path``."""
+def derive_remote_nodes(rows: DataFrame, default_network: str | None = None) -> DataFrame:
+    """Remote machine nodes from ``node_id, host, ssh_user, ssh_key_path, credential_hash``."""
+    blank = F.lit(None).cast("string")
     return derive_secondaries(
-        rows.withColumn("node_type", F.lit(fv.TYPE_REMOTE)).withColumn(
-            "docker_base_ip", F.lit(None).cast("string")
-        )
-    ).drop("container_name", "docker_ip")
+        rows.withColumns(
+            {
+                "node_type": F.lit(fv.TYPE_REMOTE),
+                "docker_base_ip": blank,
+                "docker_network": blank,
+            }
+        ),
+        default_network,
+    )
 
 
 def derive_primary_nodes(clusters: DataFrame) -> DataFrame:
@@ -253,11 +270,15 @@ def tail_removal(nodes: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def allocate_remote_first(
-    requests: DataFrame, remote_hosts: DataFrame, nodes: DataFrame | None = None
+    requests: DataFrame,
+    remote_hosts: DataFrame,
+    nodes: DataFrame | None = None,
+    default_network: str | None = None,
 ) -> DataFrame:
     """Fill each cluster's requested slots: remote hosts first, containers for the rest.
 
-    ``requests`` holds ``cluster_id, count, docker_base_ip``; ``remote_hosts`` holds
+    ``requests`` holds ``cluster_id, count`` and the cluster's columns for derived nodes;
+    ``remote_hosts`` holds
     ``cluster_id, pos, host, ssh_user, ssh_key_path`` with positions from 0. Surplus hosts are
     not used. ``nodes`` gives the secondaries already present.
     """
@@ -278,7 +299,8 @@ def allocate_remote_first(
         expand_slots(wanted, "count", "slot")
         .join(hosts, ["cluster_id", "slot"], "left")
         .withColumn("node_id", (F.col("_present") + F.col("slot") + 2).cast("int"))
-        .withColumn("node_type", F.coalesce("node_type", F.lit(fv.TYPE_CONTAINER)))
+        .withColumn("node_type", F.coalesce("node_type", F.lit(fv.TYPE_CONTAINER))),
+        default_network,
     ).drop("_present", "count")
 
 
@@ -315,10 +337,14 @@ def scale_plan(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+#: What a derived node takes over from its cluster.
+OF_CLUSTER = ("docker_base_ip", "docker_network", "credential_hash")
+
+
 def plan_additions(plan: DataFrame) -> DataFrame:
-    """Container nodes that a plan adds; ``plan`` also holds ``docker_base_ip``."""
+    """Container nodes that a plan adds; ``plan`` also holds the cluster's columns for them."""
     slots = expand_slots(
-        plan.select("cluster_id", "docker_base_ip", "previous_count", "add_count"),
+        plan.select("cluster_id", *OF_CLUSTER, "previous_count", "add_count"),
         "add_count",
         "slot",
     ).withColumn("node_id", (F.col("previous_count") + F.col("slot") + 2).cast("int"))
@@ -335,7 +361,11 @@ def plan_removals(plan: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def apply_scale_plan(plan: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Secondaries after a plan: those kept, then the added ones behind the last position."""
+    """Secondaries after a plan: those kept, then the added ones behind the last position.
+
+    The added ones have every node column; what ``nodes`` holds besides (such as whether a node was
+    reached) is not known for them and null.
+    """
     secondaries = nodes_by_role(nodes, fv.ROLE_SECONDARY)
     containers = _mark_tail(nodes, _removal_limits(plan)).filter("NOT _tail").drop("_tail")
     others = secondaries.filter(~F.col("node_type").eqNullSafe(fv.TYPE_CONTAINER))
@@ -345,7 +375,7 @@ def apply_scale_plan(plan: DataFrame, nodes: DataFrame) -> DataFrame:
         "_last", F.coalesce("_last", F.lit(0))
     )
     slots = expand_slots(
-        placed.select("cluster_id", "docker_base_ip", "previous_count", "add_count", "_last"),
+        placed.select("cluster_id", *OF_CLUSTER, "previous_count", "add_count", "_last"),
         "add_count",
         "slot",
     ).withColumns(
@@ -355,4 +385,10 @@ def apply_scale_plan(plan: DataFrame, nodes: DataFrame) -> DataFrame:
         }
     )
     added = derive_container_nodes(slots).drop("previous_count", "add_count", "_last", "slot")
-    return kept.unionByName(added, allowMissingColumns=True).select(*nodes.columns)
+    observed = {
+        f.name: F.lit(None).cast(f.dataType)
+        for f in nodes.schema
+        if f.name not in added.columns
+    }
+    added = added.withColumns(observed)
+    return kept.select(*nodes.columns).unionByName(added.select(*nodes.columns))

@@ -160,13 +160,20 @@ def plugin_candidates(engine: str) -> list[tuple[str, str]]:
     ]
 
 
+def parent_prefix(path: Column) -> Column:
+    """What stands before a name in the parent directory of ``path``: empty for a bare name."""
+    bare = F.regexp_replace(path, "(?<=.)/+$", "")
+    return F.when(bare == "/", "/").otherwise(F.regexp_extract(bare, "^(.*/)[^/]*$", 1))
+
+
 def resolve_candidate(
     groups: DataFrame, existing: DataFrame, candidates: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """First existing candidate of each group, in candidate order.
+    """First existing candidate of each group, in candidate order, as a full path.
 
-    ``existing`` holds ``group_id, directory, file_name``. Its rows get the rank of their
-    candidate, so the candidates are never multiplied with the groups.
+    ``groups`` holds ``group_id, base_dir``; candidate directories that do not begin with a slash lie in
+    the parent directory of ``base_dir``. ``existing`` holds ``group_id, path`` of a file listing. Its
+    rows get the rank of their candidate, so the candidates are never multiplied with the groups.
     """
     ranks = F.create_map(
         *[
@@ -175,9 +182,17 @@ def resolve_candidate(
             for part in (f"{directory}/{name}", rank)
         ]
     )
-    path = F.concat_ws("/", "directory", "file_name")
+    inside = F.when(
+        F.col("path").startswith(F.col("_prefix")),
+        F.col("path").substr(F.length("_prefix") + 1, F.length("path")),
+    )
+    # A path below the prefix is a relative candidate, any other an absolute one.
+    below = F.when(~inside.startswith("/"), F.try_element_at(ranks, inside))
+    whole = F.when(F.col("path").startswith("/"), F.try_element_at(ranks, F.col("path")))
+    prefixes = groups.select("group_id", parent_prefix(F.col("base_dir")).alias("_prefix"))
     found = (
-        existing.select("group_id", path.alias("_path"), F.try_element_at(ranks, path).alias("_rank"))
+        existing.join(prefixes, "group_id")
+        .select("group_id", F.col("path").alias("_path"), F.least(below, whole).alias("_rank"))
         .filter(F.col("_rank").isNotNull())
         .groupBy("group_id")
         .agg(F.min_by("_path", "_rank").alias("path"), F.min("_rank").alias("candidate_rank"))
@@ -187,3 +202,35 @@ def resolve_candidate(
         .join(found, "group_id", "left")
         .withColumn("reason", F.when(F.col("path").isNull(), "no candidate exists"))
     )
+
+
+def remote_host_outcome(attempts: DataFrame) -> DataFrame:
+    """``attempts`` with the outcome of adding each remote host: ``success`` and ``message``.
+
+    Columns used: host, reachable, running, and ``{step}_ok``, ``{step}_message`` for the steps start,
+    configure and join. The first step that fails gives the message; a host that runs already needs
+    no start. An unknown (null) state is a failure.
+    """
+
+    def failed(step: str) -> Column:
+        return ~is_true(F.col(f"{step}_ok"))
+
+    def told(kind: str, *columns: str) -> Column:
+        values = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+        return F.format_string(fv.MESSAGES[kind], *values)
+
+    stopped = (
+        F.when(~is_true(F.col("reachable")), told("host_unreachable", "host"))
+        .when(
+            ~is_true(F.col("running")) & failed("start"),
+            told("host_not_started", "host", "start_message"),
+        )
+        .when(failed("configure"), told("host_not_configured", "host", "configure_message"))
+        .when(failed("join"), told("host_not_joined", "host", "join_message"))
+    )
+    return attempts.withColumn("message", stopped).withColumns(
+        {
+            "success": F.col("message").isNull(),
+            "message": F.coalesce("message", told("host_added", "host")),
+        }
+    )

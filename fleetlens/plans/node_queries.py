@@ -9,36 +9,32 @@ from fleetlens import fixed_values as fv
 from fleetlens.operators import nodes as ops
 from fleetlens.plans.registry import query
 from fleetlens.plans.views import Fleet
+from fleetlens.sources import documents
 
 LONG = "long"
+NETWORK = "cluster-net"
+NODE_COLUMNS = [key for key in fv.NODE_KEYS if key != fv.NODE_SECRET_KEY] + ["credential_hash"]
 
 ADDRESSES = """
     coalesce(nullif(local_address, ''), concat(hostname, ':3306'))"""
 
 
 def nested_documents(f: Fleet) -> DataFrame:
-    """One row per cluster with nested nodes; clusters without secondaries hold null."""
-    node = F.struct("node_id", "hostname", "role", "node_type", "host", "port")
-    primary = f.v_primary.select("cluster_id", node.alias("primary"))
-    lists = (
-        f.v_secondary.groupBy("cluster_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", node.alias("node")))).alias("_list"))
-        .select("cluster_id", F.transform("_list", lambda s: s["node"]).alias("secondaries"))
-    )
-    return (
-        f.v_cluster.select("cluster_id")
-        .join(primary, "cluster_id", "left")
-        .join(lists, "cluster_id", "left")
+    """One row per cluster with nested nodes, read from its document."""
+    node = ", ".join(
+        f"{c}: {'int' if c in fv.NODE_INT_KEYS else 'string'}" for c in fv.NODE_KEYS if c != fv.NODE_SECRET_KEY
     )
+    docs = documents.encode_cluster_docs(f.v_cluster.select("cluster_id", "cluster_name"), f.v_node)
+    nested = F.from_json("doc", f"primary struct<{node}>, secondaries array<struct<{node}>>")
+    return docs.select("cluster_id", nested.alias("_d")).select("cluster_id", "_d.*")
 
 
 @query(
     "prj1_explode_nodes",
-    """SELECT n.cluster_id,
-              CAST(CASE WHEN p.cluster_id IS NULL THEN n.pos - 1 ELSE n.pos END AS INT) AS pos,
-              node_id, hostname, role, node_type, host, port
-       FROM {v_node} n LEFT JOIN (SELECT DISTINCT cluster_id FROM {v_primary}) p
-            ON p.cluster_id = n.cluster_id""",
+    """SELECT n.* EXCLUDE (cluster_id, pos, credential_hash, reachable), n.cluster_id,
+              CAST(CASE WHEN p.cluster_id IS NULL THEN n.pos - 1 ELSE n.pos END AS INT) AS pos
+       FROM {v_node} n JOIN {v_cluster} c ON c.cluster_id = n.cluster_id
+            LEFT JOIN (SELECT DISTINCT cluster_id FROM {v_primary}) p ON p.cluster_id = n.cluster_id""",
 )
 def explode_nodes(f: Fleet) -> DataFrame:
     return ops.explode_nodes(nested_documents(f))
@@ -88,13 +84,15 @@ def drop_nodes(f: Fleet) -> DataFrame:
     """SELECT request_id, node_id, concat('mysql-secondary-', node_id - 1) AS container_name,
               concat('mysql-secondary-', node_id - 1) AS hostname, '127.0.0.1' AS host,
               CAST(33060 + node_id AS INT) AS port,
-              concat(docker_base_ip, '.', 10 + node_id) AS docker_ip, node_id AS server_id
+              concat(docker_base_ip, '.', 10 + node_id) AS docker_ip, node_id AS server_id,
+              'secondary' AS role, 'docker_container' AS node_type, docker_network, credential_hash,
+              22 AS ssh_port, CAST(NULL AS VARCHAR) AS ssh_user, CAST(NULL AS VARCHAR) AS ssh_key_path,
+              CAST(NULL AS VARCHAR) AS data_dir, CAST(NULL AS VARCHAR) AS config_file,
+              CAST(NULL AS VARCHAR) AS local_address, CAST(NULL AS VARCHAR) AS group_seeds
        FROM {v_request}""",
 )
 def derive_container_node(f: Fleet) -> DataFrame:
-    return ops.derive_container_nodes(f.v_request).select(
-        "request_id", "node_id", "container_name", "hostname", "host", "port", "docker_ip", "server_id"
-    )
+    return ops.derive_container_nodes(f.v_request).select("request_id", *NODE_COLUMNS)
 
 
 @query(
@@ -103,13 +101,16 @@ def derive_container_node(f: Fleet) -> DataFrame:
               CASE WHEN host IS NULL OR host = '' THEN concat('secondary-', node_id - 1)
                    ELSE host END AS hostname,
               CASE WHEN host IS NULL OR host = '' THEN '127.0.0.1' ELSE host END AS host,
-              3306 AS port, ssh_user, ssh_key_path
+              3306 AS port, ssh_user, ssh_key_path, node_id AS server_id, 'secondary' AS role,
+              'remote_machine' AS node_type, 'cluster-net' AS docker_network, credential_hash,
+              22 AS ssh_port, CAST(NULL AS VARCHAR) AS container_name,
+              CAST(NULL AS VARCHAR) AS docker_ip, CAST(NULL AS VARCHAR) AS data_dir,
+              CAST(NULL AS VARCHAR) AS config_file, CAST(NULL AS VARCHAR) AS local_address,
+              CAST(NULL AS VARCHAR) AS group_seeds
        FROM {v_request}""",
 )
 def derive_remote_node(f: Fleet) -> DataFrame:
-    return ops.derive_remote_nodes(f.v_request).select(
-        "request_id", "node_id", "hostname", "host", "port", "ssh_user", "ssh_key_path"
-    )
+    return ops.derive_remote_nodes(f.v_request, NETWORK).select("request_id", *NODE_COLUMNS)
 
 
 @query(
@@ -232,7 +233,8 @@ def tail_removal(f: Fleet) -> DataFrame:
 
 @query(
     "jn1_allocate_remote_first",
-    """WITH slots AS (SELECT cluster_id, docker_base_ip, unnest(range(target)) AS slot
+    """WITH slots AS (SELECT cluster_id, docker_base_ip, docker_network, credential_hash,
+                             unnest(range(target)) AS slot
                       FROM {v_cluster} WHERE target > 0)
        SELECT s.cluster_id, s.slot, CAST(s.slot + 2 AS INT) AS node_id,
               CASE WHEN h.pos IS NULL THEN 'docker_container' ELSE 'remote_machine' END AS node_type,
@@ -241,18 +243,22 @@ def tail_removal(f: Fleet) -> DataFrame:
               CASE WHEN h.pos IS NULL THEN concat('mysql-secondary-', s.slot + 1)
                    ELSE h.host END AS hostname,
               CASE WHEN h.pos IS NULL THEN concat(docker_base_ip, '.', 12 + s.slot) END AS docker_ip,
-              h.ssh_user, h.ssh_key_path
+              h.ssh_user, h.ssh_key_path, s.credential_hash, 'secondary' AS role, 22 AS ssh_port,
+              CASE WHEN h.pos IS NULL THEN docker_network ELSE 'cluster-net' END AS docker_network,
+              CASE WHEN h.pos IS NULL THEN concat('mysql-secondary-', s.slot + 1) END AS container_name,
+              CAST(s.slot + 2 AS INT) AS server_id, CAST(NULL AS VARCHAR) AS data_dir,
+              CAST(NULL AS VARCHAR) AS config_file, CAST(NULL AS VARCHAR) AS local_address,
+              CAST(NULL AS VARCHAR) AS group_seeds
        FROM slots s LEFT JOIN {v_remote_host} h ON h.cluster_id = s.cluster_id AND h.pos = s.slot""",
 )
 def allocate_remote_first(f: Fleet) -> DataFrame:
-    requests = f.v_cluster.select("cluster_id", F.col("target").alias("count"), "docker_base_ip")
-    return ops.allocate_remote_first(requests, f.v_remote_host).select(
-        "cluster_id", "slot", "node_id", "node_type", "host", "port", "hostname", "docker_ip",
-        "ssh_user", "ssh_key_path",
-    )
+    requests = f.v_cluster.select("cluster_id", F.col("target").alias("count"), *ops.OF_CLUSTER)
+    placed = ops.allocate_remote_first(requests, f.v_remote_host, default_network=NETWORK)
+    return placed.select("cluster_id", "slot", *NODE_COLUMNS)
 
 
-PLAN = """counts AS (SELECT c.cluster_id, c.docker_base_ip, c.target, count(n.pos) AS secondaries,
+PLAN = """counts AS (SELECT c.cluster_id, c.docker_base_ip, c.docker_network, c.credential_hash,
+                    c.target, count(n.pos) AS secondaries,
                     count(*) FILTER (WHERE n.node_type = 'docker_container') AS docker,
                     count(*) FILTER (WHERE n.node_type = 'remote_machine') AS remote
              FROM {v_cluster} c LEFT JOIN {v_secondary} n ON n.cluster_id = c.cluster_id
@@ -262,7 +268,7 @@ PLAN = """counts AS (SELECT c.cluster_id, c.docker_base_ip, c.target, count(n.po
 
 
 def targets(f: Fleet) -> DataFrame:
-    return f.v_cluster.select("cluster_id", "target", "docker_base_ip")
+    return f.v_cluster.select("cluster_id", "target", *ops.OF_CLUSTER)
 
 
 @query(
@@ -315,16 +321,17 @@ def scale_plan_rows(f: Fleet) -> DataFrame:
         last AS (SELECT cluster_id, max(pos) AS pos FROM {{v_secondary}} GROUP BY cluster_id),
         added AS (SELECT plan.*, unnest(range(docker_target - docker)) AS slot
                   FROM plan WHERE docker_target > docker)
-        SELECT r.cluster_id, CAST(r.pos AS BIGINT) AS pos, r.node_id, r.node_type, r.host, r.port
-        FROM ranked r JOIN plan p ON p.cluster_id = r.cluster_id
+        SELECT r.* EXCLUDE (rn) REPLACE (CAST(r.pos AS BIGINT) AS pos) FROM ranked r JOIN plan p ON p.cluster_id = r.cluster_id
         WHERE r.node_type <> 'docker_container' OR r.rn > p.docker - p.docker_target
         UNION ALL
         SELECT a.cluster_id, coalesce(l.pos, 0) + a.slot + 1, CAST(a.secondaries + 2 + a.slot AS INT),
-               'docker_container', '127.0.0.1', CAST(33062 + a.secondaries + a.slot AS INT)
+               concat('mysql-secondary-', a.secondaries + 1 + a.slot), 'secondary',
+               'docker_container', '127.0.0.1', CAST(33062 + a.secondaries + a.slot AS INT),
+               NULL, NULL, 22, concat('mysql-secondary-', a.secondaries + 1 + a.slot),
+               a.docker_network, concat(a.docker_base_ip, '.', 12 + a.secondaries + a.slot),
+               CAST(a.secondaries + 2 + a.slot AS INT), NULL, NULL, NULL, NULL, a.credential_hash, NULL
         FROM added a LEFT JOIN last l ON l.cluster_id = a.cluster_id""",
 )
 def apply_scale_plan(f: Fleet) -> DataFrame:
     plan = ops.scale_plan(targets(f), f.v_node)
-    return ops.apply_scale_plan(plan, f.v_node).select(
-        "cluster_id", F.col("pos").cast(LONG).alias("pos"), "node_id", "node_type", "host", "port"
-    )
+    return ops.apply_scale_plan(plan, f.v_node).withColumn("pos", F.col("pos").cast(LONG))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens import fixed_values as fv
 from fleetlens.functions import scalars as sc
 from fleetlens.operators import audit, changes, probes, runs
+from fleetlens.operators.nodes import node_defaults
 from fleetlens.plans.registry import query
 from fleetlens.plans.views import Fleet
 from fleetlens.session import work_folder
 from fleetlens.sources import documents, hosts, logs, settings
 
 SALT = "salt"
+NETWORK = "cluster-net"
 ENGINE = "engine"
 
 
@@ -140,7 +143,9 @@ def timeout_budget(f: Fleet) -> DataFrame:
                FROM d, n),
          first AS (SELECT group_id, min(candidate_rank) AS candidate_rank FROM {v_candidate}
                    WHERE found GROUP BY group_id)
-       SELECT g.group_id, c.path, c.candidate_rank,
+       SELECT g.group_id, CASE WHEN c.path LIKE '/%' THEN c.path
+                               ELSE '/srv/g' || g.group_id || '/' || c.path END AS path,
+              c.candidate_rank,
               CASE WHEN c.path IS NULL THEN 'no candidate exists' END AS reason
        FROM (SELECT DISTINCT group_id FROM {v_candidate}) g
             LEFT JOIN first USING (group_id) LEFT JOIN c USING (candidate_rank)""",
@@ -149,17 +154,38 @@ def resolve_candidate(f: Fleet) -> DataFrame:
     candidates = runs.plugin_candidates(ENGINE)
     pairs = F.array(
         *[
-            F.struct(F.lit(d).alias("directory"), F.lit(n).alias("file_name"))
+            (F.lit(f"{d}/{n}") if d.startswith("/") else F.concat(F.col("_home"), F.lit(f"/{d}/{n}")))
             for d, n in candidates
         ]
     )
-    existing = f.v_candidate.filter("found").select(
-        "group_id", F.element_at(pairs, F.col("candidate_rank") + 1).alias("_c")
-    ).select("group_id", "_c.*")
-    groups = f.v_candidate.select("group_id").distinct()
+    home = F.concat(F.lit("/srv/g"), F.col("group_id"))
+    existing = f.v_candidate.filter("found").withColumn("_home", home).select(
+        "group_id", F.element_at(pairs, F.col("candidate_rank") + 1).alias("path")
+    )
+    groups = f.v_candidate.select(
+        "group_id", F.concat(home, F.lit("/cluster")).alias("base_dir")
+    ).distinct()
     return runs.resolve_candidate(groups, existing, candidates)
 
 
+@query(
+    "jn8_remote_host_outcome",
+    """WITH t AS (SELECT *, CASE WHEN NOT reachable THEN concat('Cannot reach ', host)
+              WHEN coalesce(NOT running, TRUE) AND NOT start_ok
+              THEN concat('Cannot start MySQL on ', host, ': ', start_message)
+              WHEN NOT configure_ok
+              THEN concat('Cannot configure MySQL on ', host, ': ', configure_message)
+              WHEN coalesce(NOT join_ok, TRUE)
+              THEN concat('Cannot add ', host, ' to cluster: ', join_message) END AS stop
+              FROM {v_attempt})
+       SELECT attempt_id, stop IS NULL AS success,
+              coalesce(stop, concat('Successfully added ', host, ' as secondary node')) AS message
+       FROM t""",
+)
+def remote_host_outcome(f: Fleet) -> DataFrame:
+    return runs.remote_host_outcome(f.v_attempt).select("attempt_id", "success", "message")
+
+
 @query(
     "sc9_result_message",
     """SELECT seq, concat('Started ', seq, ' Docker containers') AS started,
@@ -277,7 +303,7 @@ def health_changes(f: Fleet) -> DataFrame:
        UNION ALL
        SELECT 'credential_differs', n.cluster_id, 'credential', NULL, 1, n.pos, n.pos
        FROM {v_node} n JOIN {v_cluster} c ON c.cluster_id = n.cluster_id
-       WHERE n.credential_hash <> c.credential_hash""",
+       WHERE n.credential_hash IS DISTINCT FROM c.credential_hash""",
 )
 def identity_audit(f: Fleet) -> DataFrame:
     return audit.identity_audit(f.v_node, f.v_cluster)
@@ -285,12 +311,22 @@ def identity_audit(f: Fleet) -> DataFrame:
 
 @query(
     "ag8_duplicate_members",
-    """SELECT cluster_id, pos, 'endpoint' AS field, concat(host, ':', port) AS value FROM {v_node}
-       WHERE (cluster_id, host, port) IN (SELECT (cluster_id, host, port) FROM {v_node}
-              GROUP BY cluster_id, host, port HAVING count(*) > 1)""",
+    """WITH v AS (
+         SELECT cluster_id, pos, 'node_id' AS field, CAST(node_id AS VARCHAR) AS value FROM {v_node}
+         UNION ALL
+         SELECT cluster_id, pos, 'server_id', CAST(CASE WHEN server_id IS NULL OR server_id = 0
+                THEN node_id ELSE server_id END AS VARCHAR) FROM {v_node}
+         UNION ALL
+         SELECT cluster_id, pos, 'endpoint', concat(host, ':', port) FROM {v_node}
+         UNION ALL
+         SELECT cluster_id, pos, 'docker_ip', docker_ip FROM {v_node}
+         UNION ALL
+         SELECT cluster_id, pos, 'container_name', container_name FROM {v_node})
+       SELECT cluster_id, pos, field, value FROM v WHERE value IS NOT NULL
+       QUALIFY count(*) OVER (PARTITION BY cluster_id, field, value) > 1""",
 )
 def duplicate_members(f: Fleet) -> DataFrame:
-    return audit.duplicate_members(f.v_node).filter("field = 'endpoint'")
+    return audit.duplicate_members(f.v_node)
 
 
 @query(
@@ -385,6 +421,21 @@ DOC = """CASE WHEN s_nationkey = 7 THEN 'not a JSON object'
               WHEN s_nationkey = 8 THEN 'secondaries is not a list' END"""
 
 
+# Keys that no document gives, so each has its default.
+DEFAULTS = {
+    k: v
+    for k, v in fv.document_defaults(ENGINE, NETWORK).items()
+    if k not in ("cluster_name", "mysql_version", "use_custom_image")
+}
+OTHER_KEYS = ", ".join(
+    f"CASE WHEN s_nationkey <> 7 THEN '{DEFAULTS[k]}' END AS {k}"
+    if k in DEFAULTS
+    else f"CAST(NULL AS VARCHAR) AS {k}"
+    for k in fv.DOCUMENT_KEYS
+    if k not in ("cluster_name", "mysql_version", "use_custom_image")
+)
+
+
 @query(
     "src1_load_cluster_docs",
     f"""SELECT cluster_id,
@@ -393,19 +444,18 @@ DOC = """CASE WHEN s_nationkey = 7 THEN 'not a JSON object'
                     WHEN s_nationkey % 3 = 1 THEN '8.0.43'
                     ELSE concat('8.4.', s_nationkey) END AS mysql_version,
                CASE WHEN s_nationkey <> 7 THEN s_nationkey % 2 = 1 END AS use_custom_image,
-               CASE WHEN s_nationkey <> 7 THEN './config' END AS config_dir,
+               {OTHER_KEYS},
                s_nationkey % 4 = 2 AND s_nationkey <> 7 AS has_primary,
                CAST(CASE WHEN s_nationkey > 12 THEN 2 ELSE 0 END AS INT) AS secondaries,
                {DOC} AS reject_reason
         FROM {{v_cluster_doc}}""",
 )
 def load_cluster_docs(f: Fleet) -> DataFrame:
-    docs = documents.decode_documents(f.v_cluster_doc, ENGINE, SALT)
+    docs = documents.decode_documents(f.v_cluster_doc, ENGINE, SALT, NETWORK)
     broken = F.col("reject_reason") == "not a JSON object"
-    kept = ["cluster_name", "mysql_version", "use_custom_image", "config_dir"]
     return docs.select(
         "cluster_id",
-        *[F.when(~F.coalesce(broken, F.lit(False)), F.col(c)).alias(c) for c in kept],
+        *[F.when(~F.coalesce(broken, F.lit(False)), F.col(c)).alias(c) for c in fv.DOCUMENT_KEYS],
         F.col("primary_json").isNotNull().alias("has_primary"),
         F.size("secondary_jsons").alias("secondaries"),
         "reject_reason",
@@ -423,34 +473,44 @@ def load_cluster_docs(f: Fleet) -> DataFrame:
               CAST(CASE WHEN reason IS NOT NULL OR o_orderpriority = '3-MEDIUM' THEN NULL
                         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 3306
                         ELSE o_custkey END AS INT) AS port,
-              CASE WHEN reason IS NULL THEN 22 END AS ssh_port
+              CASE WHEN reason IS NULL THEN 22 END AS ssh_port,
+              CASE WHEN reason IS NULL THEN CAST(cluster_id AS INT) END AS server_id,
+              CAST(NULL AS VARCHAR) AS container_name,
+              CASE WHEN reason IS NULL THEN 'cluster-net' END AS docker_network
        FROM r""",
 )
 def decode_nodes(f: Fleet) -> DataFrame:
-    docs = documents.decode_documents(f.v_node_doc, ENGINE, SALT)
-    checked = documents.check_nodes(docs, SALT)
+    docs = documents.decode_documents(f.v_node_doc, ENGINE, SALT, NETWORK)
+    checked = node_defaults(documents.check_nodes(docs, SALT, NETWORK))
     good = F.col("reject_reason").isNull()
     return checked.select(
         "cluster_id", "pos", "reject_reason",
-        *[F.when(good, F.col(c)).alias(c) for c in ("hostname", "port", "ssh_port")],
+        *[
+            F.when(good, F.col(c)).alias(c)
+            for c in (
+                "hostname", "port", "ssh_port", "server_id", "container_name", "docker_network"
+            )
+        ],
     )
 
 
 @query(
     "src3_write_cluster_docs",
     """SELECT c.cluster_name, n.pos, n.node_id, n.hostname, n.role, n.node_type, n.host, n.port,
-              n.ssh_user, n.server_id, n.docker_ip, n.local_address
+              n.ssh_user, coalesce(n.server_id, n.node_id) AS server_id, n.docker_ip, n.local_address,
+              CASE WHEN n.container_name IS NULL AND n.node_type = 'docker_container'
+                   THEN concat('mysql-node-', n.node_id) ELSE n.container_name END AS container_name
        FROM {v_node} n JOIN {v_cluster} c ON c.cluster_id = n.cluster_id""",
 )
 def write_cluster_docs(f: Fleet) -> DataFrame:
     folder = work_folder(f.spark, "documents")
     documents.write_cluster_docs(f.v_cluster, f.v_node, folder)
-    docs = documents.load_cluster_docs(f.spark, folder, ENGINE, SALT, one_per_line=True)
+    docs = documents.load_cluster_docs(f.spark, folder, ENGINE, SALT, NETWORK, one_per_line=True)
     named = docs.withColumn("cluster_id", F.col("cluster_name"))
-    good, _ = documents.decode_nodes(named, SALT)
+    good, _ = documents.decode_nodes(named, SALT, NETWORK)
     return good.withColumnRenamed("cluster_id", "cluster_name").select(
         "cluster_name", "pos", "node_id", "hostname", "role", "node_type", "host", "port",
-        "ssh_user", "server_id", "docker_ip", "local_address",
+        "ssh_user", "server_id", "docker_ip", "local_address", "container_name",
     )
 
 

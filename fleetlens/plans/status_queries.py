@@ -10,7 +10,7 @@ from fleetlens.functions import scalars as sc
 from fleetlens.operators import status as ops
 from fleetlens.plans.registry import query
 from fleetlens.plans.views import Fleet
-from fleetlens.sources.export import status_export
+from fleetlens.sources.export import status_tree
 
 UNION = """u AS (
       SELECT cluster_id, pos, node_id, 'primary' AS kind, hostname AS name, port, reachable,
@@ -152,24 +152,40 @@ def program_path(f: Fleet) -> DataFrame:
 
 @query(
     "src6_status_export",
-    """SELECT cluster_id, pos, kind, to_json(struct_pack(
-                  cluster_id := cluster_id, kind := kind, pos := pos, name := name,
-                  reachable := reachable, seen := CAST(seen AS VARCHAR)))::VARCHAR AS status_json
-       FROM (SELECT cluster_id, pos, 'docker' AS kind, container_name AS name, reachable,
-                    CAST('2024-01-01' AS DATE) AS seen FROM {v_status_d}
-             UNION ALL
-             SELECT cluster_id, pos, 'remote', NULL, reachable, CAST('2024-01-02' AS DATE)
-             FROM {v_status_r})""",
+    """WITH p AS (
+         SELECT cluster_id, to_json(struct_pack(node_id := node_id, hostname := hostname, host := host,
+                    port := port, node_type := node_type, running := running,
+                    reachable := reachable))::VARCHAR AS node, running
+         FROM {v_status_p}),
+       d AS (
+         SELECT cluster_id, count(*) AS n, string_agg(to_json(struct_pack(node_id := node_id,
+                    container_name := container_name, docker_ip := docker_ip,
+                    host_port := host_port, running := running,
+                    reachable := reachable))::VARCHAR, ',' ORDER BY pos) AS nodes
+         FROM {v_status_d} GROUP BY cluster_id),
+       r AS (
+         SELECT cluster_id, count(*) AS n, string_agg(to_json(struct_pack(node_id := node_id,
+                    host := host, reachable := reachable, ssh_accessible := ssh_accessible,
+                    mysql_running := mysql_running,
+                    mysql_version := mysql_version))::VARCHAR, ',' ORDER BY pos) AS nodes
+         FROM {v_status_r} GROUP BY cluster_id)
+       SELECT c.cluster_id, concat('{{"cluster_name":"', c.cluster_name, '","primary":',
+                coalesce(p.node, 'null'), ',"secondaries":{{"docker":[', coalesce(d.nodes, ''),
+                '],"remote":[', coalesce(r.nodes, ''), '],"total_nodes":',
+                coalesce(d.n, 0) + coalesce(r.n, 0), '}},"cluster":',
+                CASE WHEN p.running AND c.cluster_id % 3 = 0
+                     THEN concat('"no json ', c.cluster_id, '"')
+                     WHEN p.running THEN concat('{{"members":', c.cluster_id, '}}')
+                     ELSE 'null' END, '}}') AS status_json
+       FROM {v_cluster} c LEFT JOIN p ON p.cluster_id = c.cluster_id
+            LEFT JOIN d ON d.cluster_id = c.cluster_id LEFT JOIN r ON r.cluster_id = c.cluster_id""",
 )
 def export_status(f: Fleet) -> DataFrame:
-    status = union(f).filter("kind <> 'primary'")
-    seen = F.when(F.col("kind") == "docker", F.lit("2024-01-01")).otherwise("2024-01-02")
-    return status_export(
-        status.select(
-            "cluster_id", "kind", "pos", F.col("container_name").alias("name"), "reachable",
-            seen.cast("date").alias("seen"),
-        )
-    )
+    told = F.when(
+        F.col("cluster_id") % 3 == 0, F.concat(F.lit("no json "), F.col("cluster_id"))
+    ).otherwise(F.concat(F.lit('{"members": '), F.col("cluster_id"), F.lit("}")))
+    clusters = f.v_cluster.select("cluster_id", "cluster_name", told.alias("cluster_output"))
+    return status_tree(clusters, union(f))
 
 
 @query(
@@ -313,12 +329,14 @@ def truthy_coalesce(f: Fleet) -> DataFrame:
 
 @query(
     "sc10_status_glyph",
-    """SELECT cluster_id, pos, CASE WHEN mysql_running THEN '✓' ELSE '✗' END AS glyph
-       FROM {v_status_r}""",
+    """SELECT cluster_id, pos, kind, CASE WHEN up THEN '✓' ELSE '✗' END AS glyph
+       FROM (SELECT cluster_id, pos, 'primary' AS kind, running AS up FROM {v_status_p}
+             UNION ALL SELECT cluster_id, pos, 'docker', running FROM {v_status_d}
+             UNION ALL SELECT cluster_id, pos, 'remote', mysql_running FROM {v_status_r})""",
 )
 def status_glyph(f: Fleet) -> DataFrame:
-    return f.v_status_r.select(
-        "cluster_id", "pos", sc.status_glyph(F.col("mysql_running")).alias("glyph")
+    return union(f).select(
+        "cluster_id", "pos", "kind", sc.status_glyph(F.col("up")).alias("glyph")
     )
 
 

@@ -24,6 +24,7 @@ VIEWS = {
         SELECT s_suppkey AS cluster_id, s_name AS cluster_name,
                concat('8.0.', s_nationkey) AS mysql_version,
                concat('10.', s_nationkey, '.0') AS docker_base_ip,
+               concat('net-', s_nationkey) AS docker_network,
                concat('registry/db:', s_nationkey) AS docker_image,
                s_acctbal >= 4000 AS use_custom_image,
                concat('/srv/', s_name) AS base_dir,
@@ -47,7 +48,7 @@ VIEWS = {
                22 AS ssh_port,
                CASE WHEN NOT remote AND o_orderstatus <> 'O'
                     THEN concat('mysql-secondary-', pos) END AS container_name,
-               'mysql-cluster-net' AS docker_network,
+               'cluster-net' AS docker_network,
                CASE WHEN NOT remote THEN concat('10.0.0.', 10 + node_id) END AS docker_ip,
                CAST(CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_totalprice < 50000 THEN 0
                          ELSE node_id END AS INT) AS server_id,
@@ -55,7 +56,7 @@ VIEWS = {
                CASE o_orderpriority WHEN '3-MEDIUM' THEN '' WHEN '2-HIGH' THEN NULL
                     ELSE concat('10.9.', pos, ':33061') END AS local_address,
                CAST(NULL AS STRING) AS group_seeds,
-               concat('h', o_custkey % 3) AS credential_hash,
+               CASE WHEN o_custkey % 7 > 0 THEN concat('h', o_custkey % 3) END AS credential_hash,
                o_totalprice > 100000 AS reachable
         FROM (SELECT orders.*,
                      CAST(floor(o_orderkey / 300) AS BIGINT) AS cluster_id,
@@ -71,7 +72,7 @@ VIEWS = {
                primary_type AS node_type, '127.0.0.1' AS host, 3306 AS port,
                CAST(NULL AS STRING) AS ssh_user, CAST(NULL AS STRING) AS ssh_key_path,
                22 AS ssh_port, CAST(NULL AS STRING) AS container_name,
-               'mysql-cluster-net' AS docker_network, CAST(NULL AS STRING) AS docker_ip,
+               'cluster-net' AS docker_network, CAST(NULL AS STRING) AS docker_ip,
                1 AS server_id, CAST(NULL AS STRING) AS data_dir,
                CAST(NULL AS STRING) AS config_file, CAST(NULL AS STRING) AS local_address,
                CAST(NULL AS STRING) AS group_seeds, credential_hash, has_primary AS reachable
@@ -89,7 +90,9 @@ VIEWS = {
                CASE WHEN o_orderstatus = 'O' THEN 'ops' WHEN o_totalprice > 200000 THEN '' END
                  AS ssh_user,
                CASE WHEN o_orderstatus = 'O' THEN '/keys/ops' END AS ssh_key_path,
-               concat('172.', 16 + o_custkey % 16, '.0') AS docker_base_ip
+               concat('172.', 16 + o_custkey % 16, '.0') AS docker_base_ip,
+               concat('net-', o_custkey % 5) AS docker_network,
+               CASE WHEN o_custkey % 4 > 0 THEN concat('h', o_custkey % 4) END AS credential_hash
         FROM {orders} AS o""",
     "v_remote_host": """
         SELECT CAST(floor(c_custkey / 30) AS BIGINT) AS cluster_id,
@@ -228,6 +231,15 @@ VIEWS = {
         SELECT CAST(floor(p_partkey / 14) AS BIGINT) AS group_id,
                CAST(p_partkey % 14 AS INT) AS candidate_rank, p_size % 7 = 0 AS found
         FROM {part} AS p""",
+    "v_attempt": """
+        SELECT o_orderkey AS attempt_id, concat('db', o_custkey) AS host,
+               o_orderpriority <> '1-URGENT' AS reachable,
+               CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END AS running,
+               o_totalprice > 100000 AS start_ok, concat('start ', o_orderkey) AS start_message,
+               o_orderpriority <> '2-HIGH' AS configure_ok, 'no grant' AS configure_message,
+               CASE WHEN o_totalprice > 60000 THEN o_orderpriority <> '5-LOW' END AS join_ok,
+               concat('join ', o_custkey) AS join_message
+        FROM {orders} AS o""",
     "v_change": """
         SELECT user_id AS node_id, event_id AS seq, ts,
                CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert'

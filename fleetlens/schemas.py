@@ -17,8 +17,9 @@ NODE = (
     "credential_hash string"
 )
 REMOTE_HOST = "cluster_id long, pos int, host string, ssh_user string, ssh_key_path string"
-NODE_REQUEST = "cluster_id long, count int, docker_base_ip string"
-SCALE_TARGET = "cluster_id long, target int, docker_base_ip string"
+OF_CLUSTER = "docker_base_ip string, docker_network string, credential_hash string"
+NODE_REQUEST = f"cluster_id long, count int, {OF_CLUSTER}"
+SCALE_TARGET = f"cluster_id long, target int, {OF_CLUSTER}"
 DROP_REQUEST = "cluster_id long, node_id int"
 
 STATUS_PRIMARY = (
@@ -45,6 +46,6 @@ TIMED_STEP = "run_id string, seq long, kind string, duration_seconds double"
 BUDGET = "kind string, budget_seconds int"
 SETTING = "cluster_id long, pos int, key string, value string"
 MEMBER = "cluster_id long, uri string"
-CANDIDATE_GROUP = "group_id long"
-EXISTING_FILE = "group_id long, directory string, file_name string"
+CANDIDATE_GROUP = "group_id long, base_dir string"
+EXISTING_FILE = "group_id long, path string"
 CHANGE_HEAD = "source string, seq long, op string, ts timestamp"

@@ -11,20 +11,17 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import number_chunk
+from fleetlens.operators.nodes import node_defaults
 
 
-def _parsed(text: Column, keys: list[str]) -> Column:
-    """Struct of the text, its keys and its values as text.
+def _parsed(text: Column) -> Column:
+    """Struct of the text and a map of its keys to their values as text; null for no JSON object.
 
-    It is exploded, not projected: filters are not pushed below an explode, so each text is
-    parsed once however many columns and filters use it.
+    Presence, unknown keys and values all come from that one map. It is exploded, not projected:
+    filters are not pushed below an explode, so each text is parsed once however many columns
+    and filters use it.
     """
-    schema = ", ".join(f"{key} string" for key in keys)
-    return F.struct(
-        text.alias("_text"),
-        F.json_object_keys(text).alias("_keys"),
-        F.from_json(text, schema).alias("_d"),
-    )
+    return F.struct(text.alias("_text"), F.from_json(text, "map<string,string>").alias("_d"))
 
 
 def _secret_hash(secret: Column, salt: str) -> Column:
@@ -40,52 +37,57 @@ def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -
     return raw.select(name.alias("cluster_id"), F.col("value").alias("doc"))
 
 
-def decode_documents(raw: DataFrame, engine: str, salt: str) -> DataFrame:
+def decode_documents(raw: DataFrame, engine: str, salt: str, network: str) -> DataFrame:
     """Columns of each document in ``doc``, keyed by ``cluster_id``.
 
     A default fills a key only when it is absent; an explicit null stays null. A missing or empty
     primary gives none, missing secondaries give an empty list. ``reject_reason`` is set for text
     that is no JSON object and for secondaries that are null or no list.
     """
-    keys = [*fv.DOCUMENT_KEYS, fv.DOCUMENT_SECRET_KEY, "primary", "secondaries"]
-    parsed = raw.select("cluster_id", F.inline(F.array(_parsed(F.col("doc"), keys))))
-    defaults = fv.document_defaults(engine)
+    parsed = raw.select("cluster_id", F.inline(F.array(_parsed(F.col("doc")))))
+    defaults = fv.document_defaults(engine, network)
 
     def present(key: str) -> Column:
-        return F.array_contains("_keys", key)
+        return F.map_contains_key("_d", key)
 
     def value(key: str) -> Column:
-        given = F.col(f"_d.{key}")
+        given = F.col("_d")[key]
         if key == "use_custom_image":
             given = given.try_cast("boolean")
         if defaults.get(key) is None:
             return given
         return F.when(present(key), given).otherwise(F.lit(defaults[key]))
 
-    listed = F.from_json("_d.secondaries", "array<string>")
+    secondaries, first = F.col("_d")["secondaries"], F.col("_d")["primary"]
+    listed = F.from_json(secondaries, "array<string>")
     bad_list = present("secondaries") & (
-        F.col("_d.secondaries").isNull() | ~F.ltrim("_d.secondaries").startswith("[")
+        secondaries.isNull() | ~F.ltrim(secondaries).startswith("[")
     )
-    primary = F.when(~F.trim("_d.primary").isin("{}", "", "0", "false", "[]"), F.col("_d.primary"))
+    primary = F.when(~F.trim(first).isin("{}", "", "0", "false", "[]"), first)
     return parsed.select(
         "cluster_id",
         *[value(key).alias(key) for key in fv.DOCUMENT_KEYS],
-        _secret_hash(F.col(f"_d.{fv.DOCUMENT_SECRET_KEY}"), salt).alias("credential_hash"),
+        _secret_hash(F.col("_d")[fv.DOCUMENT_SECRET_KEY], salt).alias("credential_hash"),
         primary.alias("primary_json"),
         F.coalesce(listed, F.array().cast("array<string>")).alias("secondary_jsons"),
-        F.when(F.col("_keys").isNull(), "not a JSON object")
+        F.when(F.col("_d").isNull(), "not a JSON object")
         .when(bad_list, "secondaries is not a list")
         .alias("reject_reason"),
     )
 
 
 def load_cluster_docs(
-    spark: SparkSession, path: str, engine: str, salt: str, one_per_line: bool = False
+    spark: SparkSession,
+    path: str,
+    engine: str,
+    salt: str,
+    network: str,
+    one_per_line: bool = False,
 ) -> DataFrame:
-    return decode_documents(read_documents(spark, path, one_per_line), engine, salt)
+    return decode_documents(read_documents(spark, path, one_per_line), engine, salt, network)
 
 
-def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
+def check_nodes(docs: DataFrame, salt: str, network: str) -> DataFrame:
     """All node records of decoded documents, with a ``reject_reason`` for the bad ones.
 
     ``pos`` is 0 for the primary and counts the secondaries from 1. To store good and bad rows
@@ -101,20 +103,20 @@ def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
         )
         .filter((F.col("pos") > 0) | F.col("node_json").isNotNull())
         .select(
-            "cluster_id", "pos", F.inline(F.array(_parsed(F.col("node_json"), fv.NODE_KEYS)))
+            "cluster_id", "pos", F.inline(F.array(_parsed(F.col("node_json"))))
         )
         .withColumnsRenamed({"_text": "node_json", "_d": "_n"})
+        .withColumn("_keys", F.map_keys("_n"))
     )
+    defaults = fv.node_record_defaults(network)
 
     def value(key: str) -> Column:
-        given = F.col(f"_n.{key}")
+        given = F.col("_n")[key]
         if key in fv.NODE_INT_KEYS:
             given = given.try_cast("int")
-        if key not in fv.NODE_DEFAULTS:
+        if key not in defaults:
             return given
-        return F.when(F.array_contains("_keys", key), given).otherwise(
-            F.lit(fv.NODE_DEFAULTS[key])
-        )
+        return F.when(F.map_contains_key("_n", key), given).otherwise(F.lit(defaults[key]))
 
     required = F.array(*[F.lit(key) for key in fv.REQUIRED_NODE_KEYS])
     known = F.array(*[F.lit(key) for key in fv.NODE_KEYS])
@@ -124,7 +126,7 @@ def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
         F.array(
             *[
                 F.when(
-                    F.col(f"_n.{key}").isNotNull() & F.col(f"_n.{key}").try_cast("int").isNull(),
+                    F.col("_n")[key].isNotNull() & F.col("_n")[key].try_cast("int").isNull(),
                     F.lit(key),
                 )
                 for key in fv.NODE_INT_KEYS
@@ -132,11 +134,11 @@ def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
         )
     )
     reason = (
-        F.when(F.col("_keys").isNull(), "not a JSON object")
+        F.when(F.col("_n").isNull(), "not a JSON object")
         .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
-        .when(~F.coalesce(F.col("_n.role").isin(*fv.ROLES), F.lit(False)), "invalid role")
+        .when(~F.coalesce(F.col("_n")["role"].isin(*fv.ROLES), F.lit(False)), "invalid role")
         .when(
-            ~F.coalesce(F.col("_n.node_type").isin(*fv.NODE_TYPES), F.lit(False)),
+            ~F.coalesce(F.col("_n")["node_type"].isin(*fv.NODE_TYPES), F.lit(False)),
             "invalid node_type",
         )
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown "), F.array_join(unknown, ", ")))
@@ -146,16 +148,20 @@ def check_nodes(docs: DataFrame, salt: str) -> DataFrame:
         "cluster_id",
         "pos",
         *[value(key).alias(key) for key in fv.NODE_KEYS if key != fv.NODE_SECRET_KEY],
-        _secret_hash(F.col(f"_n.{fv.NODE_SECRET_KEY}"), salt).alias("credential_hash"),
+        _secret_hash(F.col("_n")[fv.NODE_SECRET_KEY], salt).alias("credential_hash"),
         "node_json",
         reason.alias("reject_reason"),
     )
 
 
-def decode_nodes(docs: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of decoded documents: (good rows, rejected rows with their text and a reason)."""
-    checked = check_nodes(docs, salt)
+def decode_nodes(docs: DataFrame, salt: str, network: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of decoded documents: (good rows, rejected rows with their text and a reason).
+
+    Good rows have their defaults filled in, as ``node_defaults`` does.
+    """
+    checked = check_nodes(docs, salt, network)
     good = checked.filter(F.col("reject_reason").isNull()).drop("node_json", "reject_reason")
+    good = node_defaults(good).drop("effective_server_id")
     rejected = checked.filter(F.col("reject_reason").isNotNull())
     return good, rejected.select("cluster_id", "pos", "node_json", "reject_reason")
 

@@ -16,11 +16,15 @@ def node_sql_source(
     fetch_rows: int = 1000,
     concurrency: int | None = None,
 ) -> DataFrame:
-    """Answers as ``cluster_id, node_id, ok, row_no, answer, message``; ``answer`` is tab separated.
+    """Answers as ``cluster_id, node_id, last, ok, row_no, answer, message``; ``answer`` is tab separated.
+
+    Every node ends with one row with ``last`` set: whether its answer is complete (``ok``), how many
+    rows it gave (``row_no``) and the message of a failure. Only that row tells, as a connection can be
+    lost in the middle; ``complete_answers`` keeps the rows of nodes that came to their end.
 
     ``nodes`` holds ``cluster_id, node_id, host, port``. ``connect(host, port)`` runs in the tasks
     and returns a DB-API connection; it sets credentials and the statement timeout. A node that
-    fails gives one row with its message and leaves the job running. Answers are fetched in
+    fails leaves the job running. Answers are fetched in
     pieces, so a task never holds a whole answer. ``concurrency`` is the number of nodes asked
     at a time.
     """
@@ -35,10 +39,17 @@ def node_sql_source(
         wanted = wanted.repartition(concurrency, "cluster_id", "node_id")
     return wanted.mapInPandas(
         ask,
-        "cluster_id long, node_id int, ok boolean, row_no long, answer string, message string",
+        "cluster_id long, node_id int, last boolean, ok boolean, row_no long, answer string,"
+        " message string",
     )
 
 
+def complete_answers(answers: DataFrame) -> DataFrame:
+    """The answer rows of all nodes whose answer is complete."""
+    done = answers.filter("last AND ok").select("cluster_id", "node_id").distinct()
+    return answers.filter("NOT last").join(done, ["cluster_id", "node_id"], "left_semi")
+
+
 def _answers(node, sql, connect, fetch_rows) -> Iterator[pd.DataFrame]:
     row_no = 0
     try:
@@ -50,21 +61,21 @@ def _answers(node, sql, connect, fetch_rows) -> Iterator[pd.DataFrame]:
                 numbers = range(row_no, row_no + len(rows))
                 row_no += len(rows)
                 texts = ["\t".join("NULL" if v is None else str(v) for v in row) for row in rows]
-                yield _rows(node, True, numbers, texts, None)
+                yield _rows(node, False, True, numbers, texts, None)
         finally:
             connection.close()
-        if row_no == 0:
-            yield _rows(node, True, [None], [None], None)
+        yield _rows(node, True, True, [row_no], [None], None)
     except Exception as problem:
-        yield _rows(node, False, [None], [None], str(problem))
+        yield _rows(node, True, False, [row_no], [None], str(problem))
 
 
-def _rows(node, ok, numbers, answers, message) -> pd.DataFrame:
+def _rows(node, last, ok, numbers, answers, message) -> pd.DataFrame:
     numbers = pd.array(list(numbers), dtype="Int64")
     return pd.DataFrame(
         {
             "cluster_id": node.cluster_id,
             "node_id": node.node_id,
+            "last": last,
             "ok": ok,
             "row_no": numbers,
             "answer": pd.Series(answers, dtype="object"),

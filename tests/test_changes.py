@@ -70,6 +70,8 @@ def test_clone_checks_its_copy(spark, tmp_path):
     _, frame = frames(spark, base, rows)
     copy = changes.clone_snapshot(frame, str(tmp_path / "copy"))
     assert sorted(copy.collect()) == sorted(frame.collect())
+    moved = [spark.createDataFrame([r], "a string, b string, c array<string>") for r in ((None, "a", [None]), ("a", None, [None]), ("a", None, []))]
+    assert len({changes.fingerprint(m).first() for m in moved}) == 3
     doubled = changes.fingerprint(frame.union(frame)).first()
     assert doubled != changes.fingerprint(frame).first()
     assert doubled.hash_xor == 0

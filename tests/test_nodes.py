@@ -87,8 +87,8 @@ def fleet(spark):
 def test_scale_plan_cases_and_applied_count(spark):
     nodes = fleet(spark)
     targets = spark.createDataFrame(
-        [(1, 5, "10.0.0"), (2, 1, "10.0.0"), (3, 0, "10.0.0"), (4, 9, "10.0.0"), (5, 3, "10.0.0"), (8, 2, "10.0.0")],
-        "cluster_id long, target int, docker_base_ip string",
+        [(1, 5, "10.0.0", "net", "h"), (2, 1, "10.0.0", "net", "h"), (3, 0, "10.0.0", "net", "h"), (4, 9, "10.0.0", "net", "h"), (5, 3, "10.0.0", "net", "h"), (8, 2, "10.0.0", "net", "h")],
+        "cluster_id long, target int, docker_base_ip string, docker_network string, credential_hash string",
     )
     plan = ops.scale_plan(targets, nodes)
     by_cluster = {r.cluster_id: r for r in plan.collect()}
@@ -100,6 +100,7 @@ def test_scale_plan_cases_and_applied_count(spark):
     after = ops.apply_scale_plan(plan, nodes.filter("cluster_id <> 6"))
     counts = {r.cluster_id: r["count"] for r in after.groupBy("cluster_id").count().collect()}
     assert counts == {c: r.current_count for c, r in by_cluster.items()}
+    assert after.columns == nodes.columns
     removed = ops.plan_removals(plan, nodes).filter("cluster_id = 5").collect()
     assert [r.pos for r in removed] == [3, 5] or {r.pos for r in removed} == {3, 5}
     added = ops.plan_additions(plan).filter("cluster_id = 4").orderBy("node_id").collect()
@@ -111,8 +112,20 @@ def test_scale_plan_cases_and_applied_count(spark):
     ]
 
 
+def test_plan_makes_no_new_credential_difference(spark):
+    nodes = fleet(spark).withColumn("credential_hash", F.lit("h"))
+    targets = spark.createDataFrame(
+        [(c, 9, "10.0.0", "net", "h") for c in range(1, 7)],
+        "cluster_id long, target int, docker_base_ip string, docker_network string, credential_hash string",
+    )
+    after = ops.apply_scale_plan(ops.scale_plan(targets, nodes), nodes)
+    assert audit.credential_mismatches(after, targets).count() == 0
+    added = ops.plan_additions(ops.scale_plan(targets, nodes)).first()
+    assert (added.docker_network, added.ssh_port, added.credential_hash) == ("net", 22, "h")
+
+
 def test_more_remote_hosts_than_slots(spark):
-    requests = spark.createDataFrame([(1, 2, "10.0.0"), (2, 3, "10.0.0"), (3, 0, "10.0.0")], "cluster_id long, count int, docker_base_ip string")
+    requests = spark.createDataFrame([(1, 2, "10.0.0", "net", "h"), (2, 3, "10.0.0", "net", "h"), (3, 0, "10.0.0", "net", "h")], "cluster_id long, count int, docker_base_ip string, docker_network string, credential_hash string")
     hosts = spark.createDataFrame(
         [(1, i, f"h{i}", "ops", None) for i in range(4)] + [(2, 0, "", "ops", "/k")],
         "cluster_id long, pos int, host string, ssh_user string, ssh_key_path string",
@@ -128,7 +141,7 @@ def test_more_remote_hosts_than_slots(spark):
 
 
 def test_allocation_continues_behind_present_nodes(spark):
-    requests = spark.createDataFrame([(1, 1, "10.0.0"), (9, 1, "10.0.0")], "cluster_id long, count int, docker_base_ip string")
+    requests = spark.createDataFrame([(1, 1, "10.0.0", "net", "h"), (9, 1, "10.0.0", "net", "h")], "cluster_id long, count int, docker_base_ip string, docker_network string, credential_hash string")
     hosts = spark.createDataFrame([], "cluster_id long, pos int, host string, ssh_user string, ssh_key_path string")
     rows = ops.allocate_remote_first(requests, hosts, fleet(spark)).collect()
     assert {(r.cluster_id, r.node_id) for r in rows} == {(1, 7), (9, 2)}

@@ -27,7 +27,12 @@ def random_node(seeded, role):
 
 
 def python_node(node):
-    full = {k: node.get(k, fv.NODE_DEFAULTS.get(k)) for k in fv.NODE_KEYS if k != fv.NODE_SECRET_KEY}
+    defaults = fv.node_record_defaults("net")
+    full = {k: node.get(k, defaults.get(k)) for k in fv.NODE_KEYS if k != fv.NODE_SECRET_KEY}
+    if full["server_id"] is None:
+        full["server_id"] = full["node_id"]
+    if full["container_name"] is None and full["node_type"] == fv.TYPE_CONTAINER:
+        full["container_name"] = f"mysql-node-{full['node_id']}"
     return tuple(full.values())
 
 
@@ -49,8 +54,8 @@ def test_written_documents_read_back_the_same(spark, tmp_path, seed):
         for pos, node in enumerate(doc.get("secondaries", []), 1):
             expected[f"c{i}", pos] = python_node(node)
     raw = spark.createDataFrame(docs, "cluster_id string, doc string")
-    first = documents.decode_documents(raw, "engine", "salt")
-    good, rejected = documents.decode_nodes(first, "salt")
+    first = documents.decode_documents(raw, "engine", "salt", "net")
+    good, rejected = documents.decode_nodes(first, "salt", "net")
     assert rejected.count() == 0
     columns = [k for k in fv.NODE_KEYS if k != fv.NODE_SECRET_KEY]
 
@@ -60,9 +65,9 @@ def test_written_documents_read_back_the_same(spark, tmp_path, seed):
     assert as_dict(good) == expected
     out = str(tmp_path / "out")
     documents.encode_cluster_docs(first, good, width=5).select("doc").write.text(out)
-    again = documents.load_cluster_docs(spark, out, "engine", "salt", one_per_line=True)
+    again = documents.load_cluster_docs(spark, out, "engine", "salt", "net", one_per_line=True)
     named = again.withColumn("cluster_id", again.cluster_name)
-    assert as_dict(documents.decode_nodes(named, "salt")[0]) == expected
+    assert as_dict(documents.decode_nodes(named, "salt", "net")[0]) == expected
     assert sorted(map(str, again.select(fv.DOCUMENT_KEYS).collect())) == sorted(
         map(str, first.select(fv.DOCUMENT_KEYS).collect())
     )
@@ -76,12 +81,12 @@ def test_plans_and_allocations_give_exact_counts(spark, seed):
         for pos in range(1, seeded.randrange(1, 40)):
             kind = seeded.choice([fv.TYPE_CONTAINER, fv.TYPE_REMOTE])
             rows.append((cluster, pos, pos + 1, fv.ROLE_SECONDARY, kind, "h", 1, None))
-        targets.append((cluster, seeded.randrange(50), "10.0.0"))
+        targets.append((cluster, seeded.randrange(50), "10.0.0", "net", "h"))
     nodes = spark.createDataFrame(
         rows,
         "cluster_id long, pos int, node_id int, role string, node_type string, host string, port int, docker_ip string",
     )
-    wanted = spark.createDataFrame(targets, "cluster_id long, target int, docker_base_ip string")
+    wanted = spark.createDataFrame(targets, "cluster_id long, target int, docker_base_ip string, docker_network string, credential_hash string")
     plan = ops.scale_plan(wanted, nodes)
     after = ops.apply_scale_plan(plan, nodes)
     counted = {r.cluster_id: r["count"] for r in after.groupBy("cluster_id").count().collect()}
@@ -95,4 +100,4 @@ def test_plans_and_allocations_give_exact_counts(spark, seed):
     )
     slots = ops.allocate_remote_first(wanted.withColumnRenamed("target", "count"), hosts)
     filled = {r.cluster_id: r["count"] for r in slots.groupBy("cluster_id").count().collect()}
-    assert filled == {c: n for c, n, _ in targets if n}
+    assert filled == {c: n for c, n, *_ in targets if n}

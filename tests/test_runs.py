@@ -85,13 +85,40 @@ def test_first_existing_candidate(spark):
     candidates = runs.plugin_candidates("engine")
     assert candidates[1] == ("build", "ha_engine_storage_engine.so") and len(candidates) == 14
     existing = spark.createDataFrame(
-        [(1, "plugins", "ha_engine.so"), (1, "build", "ha_engine_storage_engine.so"), (2, "elsewhere", "ha_engine.so")],
-        "group_id long, directory string, file_name string",
+        [
+            (1, "/srv/db/plugins/ha_engine.so"), (1, "/srv/db/build/ha_engine_storage_engine.so"),
+            (1, "/usr/lib/mysql/plugin/ha_engine.so"), (2, "/elsewhere/build/ha_engine.so"),
+            (3, "build/Debug/ha_engine.so"), (4, "/plugins/ha_engine.so"),
+            (5, "/usr/lib64/mysql/plugin/ha_engine.so"), (5, "/a/cluster/build/ha_engine.so"),
+        ],
+        "group_id long, path string",
     )
-    groups = spark.createDataFrame([(1,), (2,)], "group_id long")
+    bases = [(1, "/srv/db/cluster/"), (2, "/srv/x"), (3, "cluster"), (4, "/cluster"), (5, "/a/cluster")]
+    groups = spark.createDataFrame(bases, "group_id long, base_dir string")
     rows = {r.group_id: r for r in runs.resolve_candidate(groups, existing, candidates).collect()}
-    assert rows[1].path == "build/ha_engine_storage_engine.so"
+    assert rows[1].path == "/srv/db/build/ha_engine_storage_engine.so"
     assert rows[2].path is None and rows[2].reason == "no candidate exists"
+    assert [rows[i].path for i in (3, 4, 5)] == [
+        "build/Debug/ha_engine.so", "/plugins/ha_engine.so", "/usr/lib64/mysql/plugin/ha_engine.so",
+    ]
+
+
+def test_first_failure_of_a_remote_host_gives_the_message(spark):
+    schema = (
+        "host string, reachable boolean, running boolean, start_ok boolean, start_message string,"
+        " configure_ok boolean, configure_message string, join_ok boolean, join_message string"
+    )
+    rows = [
+        ("a", None, True, True, "s", True, "c", True, "j"), ("b", True, False, False, "s", True, "c", True, "j"),
+        ("c", True, True, None, None, True, "c", True, "j"), ("d", True, True, None, None, False, None, True, "j"),
+        ("e", True, None, True, None, True, "c", False, "j"),
+    ]
+    got = {r.host: (r.success, r.message) for r in runs.remote_host_outcome(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "a": (False, "Cannot reach a"), "b": (False, "Cannot start MySQL on b: s"),
+        "c": (True, "Successfully added c as secondary node"), "d": (False, "Cannot configure MySQL on d: "),
+        "e": (False, "Cannot add e to cluster: j"),
+    }
 
 
 def test_program_path_priority(spark):

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from fleetlens import fixed_values as fv
 from fleetlens.sources import documents, hosts, logs, settings, sql_nodes
 
-ENGINE, SALT = "engine", "salt"
+ENGINE, SALT, NETWORK = "engine", "salt", "net"
 
 
 def decode(spark, *docs):
     raw = spark.createDataFrame([(f"c{i}", d) for i, d in enumerate(docs)], "cluster_id string, doc string")
-    return documents.decode_documents(raw, ENGINE, SALT)
+    return documents.decode_documents(raw, ENGINE, SALT, NETWORK)
 
 
 def test_absent_key_takes_the_default_and_null_stays_null(spark):
@@ -44,7 +44,7 @@ def test_node_rejects_carry_a_reason(spark):
         {**good, "hostname": None, "port": "33062"},
     ]
     docs = decode(spark, json.dumps({"secondaries": nodes, "primary": {**good, "role": "primary"}}))
-    accepted, rejected = documents.decode_nodes(docs, SALT)
+    accepted, rejected = documents.decode_nodes(docs, SALT, NETWORK)
     assert {r.pos: (r.port, r.ssh_port) for r in accepted.collect()} == {
         0: (3306, 22), 1: (3306, 22), 2: (None, 22), 8: (33062, 22),
     }
@@ -59,7 +59,7 @@ def test_node_records_without_role_are_rejected(spark):
         "primary": {"node_id": 1, "hostname": "primary", "node_type": "local_systemctl"},
         "secondaries": [{"node_id": 2, "hostname": "mysql-secondary-1", "node_type": "docker_container"}],
     }
-    accepted, rejected = documents.decode_nodes(decode(spark, json.dumps(doc)), SALT)
+    accepted, rejected = documents.decode_nodes(decode(spark, json.dumps(doc)), SALT, NETWORK)
     assert accepted.count() == 0
     assert {r.reject_reason for r in rejected.collect()} == {"missing role"}
 
@@ -67,7 +67,7 @@ def test_node_records_without_role_are_rejected(spark):
 def test_passwords_never_enter_a_table(spark):
     doc = '{"mysql_root_password": "secret1", "secondaries": [{"node_id": 1, "hostname": "h", "role": "secondary", "node_type": "remote_machine", "mysql_root_password": "secret1"}]}'
     docs = decode(spark, doc)
-    nodes, _ = documents.decode_nodes(docs, SALT)
+    nodes, _ = documents.decode_nodes(docs, SALT, NETWORK)
     assert nodes.first().credential_hash == docs.first().credential_hash
     assert "secret1" not in str(nodes.collect()) and "mysql_root_password" not in docs.columns
 
@@ -80,13 +80,13 @@ def test_files_and_lines_round_trip(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
     (folder / "one.json").write_text(json.dumps({"cluster_name": "one", "secondaries": nodes}, indent=2))
-    docs = documents.load_cluster_docs(spark, str(folder), ENGINE, SALT)
+    docs = documents.load_cluster_docs(spark, str(folder), ENGINE, SALT, NETWORK)
     assert docs.first().cluster_id == "one.json"
-    accepted, _ = documents.decode_nodes(docs, SALT)
+    accepted, _ = documents.decode_nodes(docs, SALT, NETWORK)
     out = str(tmp_path / "out")
     documents.write_cluster_docs(docs, accepted, out)
-    again = documents.load_cluster_docs(spark, out, ENGINE, SALT, one_per_line=True)
-    decoded, rejected = documents.decode_nodes(again, SALT)
+    again = documents.load_cluster_docs(spark, out, ENGINE, SALT, NETWORK, one_per_line=True)
+    decoded, rejected = documents.decode_nodes(again, SALT, NETWORK)
     assert rejected.count() == 0
     columns = [k for k in fv.NODE_KEYS if k != fv.NODE_SECRET_KEY] + ["pos"]
     assert sorted(map(str, decoded.select(columns).collect())) == sorted(
@@ -148,6 +148,7 @@ class Answers:
     def __init__(self, host, port):
         if host == "down":
             raise OSError("connection refused")
+        self.lost = host == "lost"
         self.rows = [] if host == "empty" else [(host, port + i, None) for i in range(5)]
 
     def cursor(self):
@@ -158,6 +159,8 @@ class Answers:
             raise ValueError(sql)
 
     def fetchmany(self, n):
+        if self.lost and len(self.rows) < 5:
+            raise OSError("lost")
         head, self.rows = self.rows[:n], self.rows[n:]
         return head
 
@@ -167,18 +170,21 @@ class Answers:
 
 def test_node_sql_source_reports_failing_nodes(spark):
     nodes = spark.createDataFrame(
-        [(1, 1, "up", 10), (1, 2, "down", 10), (2, 1, "empty", 10)],
+        [(1, 1, "up", 10), (1, 2, "down", 10), (1, 3, "lost", 10), (2, 1, "empty", 10)],
         "cluster_id long, node_id int, host string, port int",
     )
     answers = sql_nodes.node_sql_source(nodes, "SELECT 1", Answers, fetch_rows=2, concurrency=3)
     rows = sorted(answers.collect(), key=str)
-    good = [r for r in rows if r.answer is not None]
+    good = [r for r in rows if r.answer is not None and r.node_id == 1]
     assert [(r.row_no, r.answer) for r in sorted(good, key=lambda r: r.row_no)] == [
         (i, f"up\t{10 + i}\tNULL") for i in range(5)
     ]
-    assert [(r.node_id, r.ok, r.message) for r in rows if r.answer is None] == [
-        (2, False, "connection refused"), (1, True, None),
+    assert sorted((r.cluster_id, r.node_id, r.ok, r.row_no, r.message) for r in rows if r.last) == [
+        (1, 1, True, 5, None), (1, 2, False, 0, "connection refused"), (1, 3, False, 2, "lost"),
+        (2, 1, True, 0, None),
     ]
+    complete = sql_nodes.complete_answers(answers)
+    assert {(r.cluster_id, r.node_id) for r in complete.collect()} == {(1, 1)} and complete.count() == 5
 
 
 def test_plugin_answers_feed_the_plugin_test(spark):
@@ -192,5 +198,33 @@ def test_plugin_answers_feed_the_plugin_test(spark):
 def test_every_required_key(spark, key):
     good = {"node_id": 2, "hostname": "h", "role": "secondary", "node_type": "docker_container"}
     good.pop(key)
-    _, rejected = documents.decode_nodes(decode(spark, json.dumps({"secondaries": [good]})), SALT)
+    _, rejected = documents.decode_nodes(decode(spark, json.dumps({"secondaries": [good]})), SALT, NETWORK)
     assert rejected.first().reject_reason == f"missing {key}"
+
+
+def test_status_tree(spark):
+    from fleetlens.operators.status import status_union
+    from fleetlens.sources.export import status_tree
+
+    primary = spark.createDataFrame(
+        [(1, 0, 1, "h", "127.0.0.1", 3306, "local_binary", True, True), (2, 0, 1, "h", "x", 1, "t", False, None)],
+        "cluster_id long, pos int, node_id int, hostname string, host string, port int, node_type string, running boolean, reachable boolean",
+    )
+    docker = spark.createDataFrame(
+        [(1, p, p + 1, f"c{p}", "10.0.0.1", 1, True, None) for p in (2, 1, 12)],
+        "cluster_id long, pos int, node_id int, container_name string, docker_ip string, host_port int, running boolean, reachable boolean",
+    )
+    remote = spark.createDataFrame(
+        [(1, 3, 4, "db", True, True, None, 'v"8')],
+        "cluster_id long, pos int, node_id int, host string, reachable boolean, ssh_accessible boolean, mysql_running boolean, mysql_version string",
+    )
+    clusters = spark.createDataFrame(
+        [(1, 'a"b', '{"x": [1, null]}'), (2, "b", "{}"), (3, None, None)], "cluster_id long, cluster_name string, cluster_output string"
+    )
+    rows = status_tree(clusters, status_union(primary, docker, remote), width=5).collect()
+    one, two, three = (json.loads(r.status_json) for r in sorted(rows, key=lambda r: r.cluster_id))
+    assert one["cluster_name"] == 'a"b' and one["cluster"] == {"x": [1, None]}
+    assert [n["container_name"] for n in one["secondaries"]["docker"]] == ["c1", "c2", "c12"]
+    assert one["secondaries"]["total_nodes"] == 4 and one["secondaries"]["remote"][0]["mysql_version"] == 'v"8'
+    assert one["primary"]["node_type"] == "local_binary" and two["cluster"] is None
+    assert three == {"cluster_name": None, "primary": None, "secondaries": {"docker": [], "remote": [], "total_nodes": 0}, "cluster": None}
