@@ -10,11 +10,11 @@ word by word. The bitmap only saves work: a false hit finds no partner in the jo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,22 +23,28 @@ from fleetlens.session import work_folder
 
 #: Fixed masks; a word under 0 is ignored.
 MASKS = ("11111111", "110110101011", "1011001101011", "11010100110011")
-FILTER_BITS = 24
-WORD = r"\w+"
+FILTER_BITS = 26
+#: Bits that the filter has for a hash: it passes a stranger only if all of them are set.
+PROBES = 3
+WORD = re.compile(r"\w+")
+#: Odd multipliers, one for each place under a mask.
+PLACES = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(64)]
 
 
-def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash per lower-cased word; ``known`` remembers words within a task."""
-    words = regex.findall(WORD, (text or "").lower())
+class WordHashes(dict):
+    """A 64-bit hash per word, remembered within a task."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
+    """The hashes of the lower-cased words of a text."""
+    words = WORD.findall((text or "").lower())
     if len(known) > 1_000_000:
         known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        value = known.get(word)
-        if value is None:
-            value = known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        out[i] = value
-    return out
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def seeds_of(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
@@ -46,10 +52,12 @@ def seeds_of(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     found = []
     for number, mask in enumerate(masks):
         places = max(0, len(words) - len(mask) + 1)
-        total = np.full(places, number + 1, np.uint64)
+        total = np.full(places, number, np.uint64)
         for offset in (i for i, bit in enumerate(mask) if bit == "1"):
-            total = (total ^ words[offset : offset + places]) * np.uint64(0x9E3779B97F4A7C15)
-            total ^= total >> np.uint64(31)
+            total += words[offset : offset + places] * PLACES[offset]
+        total ^= total >> np.uint64(31)
+        total *= PLACES[1]
+        total ^= total >> np.uint64(29)
         found.append(total)
     return found
 
@@ -58,7 +66,7 @@ def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """(item, words binary, n, seeds array<struct<h, pos>>) per distinct text of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = WordHashes()
         for batch in batches:
             words = [word_hashes(t.as_py(), known) for t in batch.column(2)]
             seeds = []
@@ -89,12 +97,20 @@ def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _shift(probe: int, bits: int) -> int:
+    """How far a hash is shifted for one of its bits; the last probe takes its highest bits."""
+    return probe * (64 - bits) // (PROBES - 1)
+
+
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bit per hash value modulo ``2**bits``; at most ``2**bits / 64`` rows reach the driver."""
-    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = seeds.groupBy(F.shiftright(low, 6).alias("at")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("word")
-    )
+    """The filter's ``2**bits`` bits; at most ``2**bits / 64`` rows reach the driver."""
+    cuts = [
+        F.shiftrightunsigned("h", _shift(p, bits)).bitwiseAND(F.lit((1 << bits) - 1))
+        for p in range(PROBES)
+    ]
+    words = seeds.select(F.explode(F.array(*cuts)).alias("bit")).groupBy(
+        F.shiftright("bit", 6).alias("at")
+    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     found = words.toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
@@ -109,19 +125,24 @@ def _passages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bitmap.value
-        known: dict[str, int] = {}
-        low, six = np.uint64((1 << bits) - 1), np.uint64(6)
+        known = WordHashes()
+        low, six, rest = np.uint64((1 << bits) - 1), np.uint64(6), np.uint64(63)
+
+        def passing(hashes: np.ndarray) -> np.ndarray:
+            at = np.arange(len(hashes))
+            for p in range(PROBES):
+                bit = (hashes[at] >> np.uint64(_shift(p, bits))) & low
+                word = marks[(bit >> six).astype(np.int64)].view(np.uint64)
+                at = at[((word >> (bit & rest)) & np.uint64(1)).astype(bool)]
+            return at
+
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("key", "row", "start", "words", "hits")}
             for key, row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = word_hashes(text.as_py(), known)
                 places, hashes = [], []
                 for found in seeds_of(words, masks):
-                    value = found & low
-                    hit = np.flatnonzero(
-                        (marks[(value >> six).astype(np.int64)].view(np.uint64) >> (value & np.uint64(63)))
-                        & np.uint64(1)
-                    )
+                    hit = passing(found)
                     places.append(hit)
                     hashes.append(found[hit])
                 place, hashed = np.concatenate(places), np.concatenate(hashes)
