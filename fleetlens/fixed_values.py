@@ -157,6 +157,10 @@ MESSAGES = {
     "installed": "Installed on %d/%d nodes",
     "node_not_found": "Node %d not found",
     "node_removed": "Removed node %d",
+    "plugin_there": "%s plugin is available",
+    "plugin_absent": "%s plugin is not installed",
+    "available": "%s available",
+    "not_installed": "%s not installed",
     "host_added": "Successfully added %s as secondary node",
     "host_unreachable": "Cannot reach %s",
     "host_not_started": "Cannot start MySQL on %s: %s",

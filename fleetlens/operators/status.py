@@ -93,12 +93,12 @@ def availability(nodes: DataFrame, checks: DataFrame, label: str) -> DataFrame:
         .withColumn("available", available)
         .withColumn(
             "message",
-            F.when(primary & available, f"{label} plugin is available")
-            .when(primary, f"{label} plugin is not installed")
+            F.when(primary & available, fv.MESSAGES["plugin_there"] % label)
+            .when(primary, fv.MESSAGES["plugin_absent"] % label)
             .when(unreachable, fv.MSG_UNREACHABLE)
             .when(failed, F.col("error"))
-            .when(available, f"{label} available")
-            .otherwise(f"{label} not installed"),
+            .when(available, fv.MESSAGES["available"] % label)
+            .otherwise(fv.MESSAGES["not_installed"] % label),
         )
         .select("cluster_id", "pos", "node_id", "available", "message")
     )

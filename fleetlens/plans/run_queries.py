@@ -380,7 +380,7 @@ def settings_drift(f: Fleet) -> DataFrame:
               ('default-storage-engine', 'InnoDB'), ('innodb-buffer-pool-size', '1G'),
               ('innodb-log-file-size', '256M'), ('max-allowed-packet', '256M')),
          n AS (SELECT *, CAST(CASE WHEN coalesce(server_id, 0) = 0 THEN node_id ELSE server_id END
-                              AS VARCHAR) AS sid FROM {v_secondary}),
+                              AS VARCHAR) AS sid FROM {v_node}),
          pairs AS (
            SELECT cluster_id, pos, key, value AS expected, NULL AS observed, 'missing' AS drift
            FROM n, shared
@@ -398,7 +398,7 @@ def settings_drift(f: Fleet) -> DataFrame:
        SELECT * FROM pairs""",
 )
 def settings_drift_of_files(f: Fleet) -> DataFrame:
-    expected = audit.expected_settings(f.v_secondary).filter("source = 'file'")
+    expected = audit.expected_settings(f.v_node).filter("source = 'file'")
     observed = settings.parse_settings(f.v_settings_text, "cluster_id", "pos").filter(
         "section = 'mysqld'"
     )
@@ -549,7 +549,8 @@ def parse_settings(f: Fleet) -> DataFrame:
 
 @query(
     "src7_settings_source",
-    f"""SELECT cluster_id, concat('secondary', pos, '.cnf') AS file_name, section, key, value,
+    f"""SELECT cluster_id, CASE WHEN pos = 0 THEN 'primary.cnf' ELSE concat('secondary', pos, '.cnf') END
+                 AS file_name, section, key, value,
                CAST(pos + 1 AS INT) AS node_id
         FROM ({SETTINGS})""",
 )

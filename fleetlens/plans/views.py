@@ -255,13 +255,14 @@ VIEWS = {
         FROM {lineitem} AS l""",
     "v_settings_text": """
         SELECT cluster_id, pos,
-               concat('secondary', pos, '.cnf') AS file_name, node_id,
+               CASE WHEN pos = 0 THEN 'primary.cnf' ELSE concat('secondary', pos, '.cnf') END
+                 AS file_name, node_id,
                concat('# head', chr(10), '[mysqld]', chr(10), 'server-id = ', node_id, chr(10),
                       chr(10), '  port=', port, chr(10), '# port = 1', chr(10),
                       'max_connections = 10', chr(10), 'skip-name-resolve', chr(10),
                       '[client]', chr(10), 'host = ', host, chr(10), '[mysqld]', chr(10),
                       'max_connections = ', pos, chr(10)) AS text, host, port
-        FROM {v_secondary} AS s""",
+        FROM {v_node} AS s""",
     "v_cluster_doc": """
         SELECT s_suppkey AS cluster_id, s_nationkey, s_name,
                CASE WHEN s_nationkey = 7 THEN concat('not json ', s_name)

@@ -47,9 +47,9 @@ def _local_folder() -> str:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session may leave that setting out; it then gets a temporary folder.
+    A session on a cluster must set it; only a local one without it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:

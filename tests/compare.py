@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -48,7 +49,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="fleetlens-compare-"), "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     connection = duckdb_on(folder)
     sqls = entry.oracle_sql()

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from fleetlens.session import build_session
@@ -11,6 +13,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="fleetlens-tests-"),
             "spark.ui.showConsoleProgress": "false",
         },
     )
