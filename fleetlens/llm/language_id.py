@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text_features import char_ngrams
+from fleetlens.llm.text_features import char_ngrams, lists_of
 
 UNDETERMINED = "und"
 
@@ -82,8 +82,8 @@ def _sample(rows: DataFrame, classes: dict[str, int], most: int, bits: int):
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([a.tolist() for a, _ in pairs], pa.list_(pa.int32())),
-                    pa.array([c.tolist() for _, c in pairs], pa.list_(pa.int32())),
+                    pa.array([a.astype(np.int32) for a, _ in pairs], pa.list_(pa.int32())),
+                    pa.array([c.astype(np.int32) for _, c in pairs], pa.list_(pa.int32())),
                 ],
                 names=["label", "draw", "at", "n"],
             )
@@ -93,11 +93,10 @@ def _sample(rows: DataFrame, classes: dict[str, int], most: int, bits: int):
         .mapInArrow(run, "label string, draw long, at array<int>, n array<int>")
         .toArrow()  # bounded by ``most`` rows
     )
-    found = found.sort_by([("draw", "ascending"), ("label", "ascending")]).to_pydict()
-    return [
-        (label, np.asarray(at, np.int64), np.asarray(n, np.float64))
-        for label, at, n in zip(found["label"], found["at"], found["n"])
-    ]
+    labels, draws = found["label"].to_pylist(), found["draw"].to_pylist()
+    places, counts = lists_of(found["at"]), lists_of(found["n"])
+    order = sorted(range(len(labels)), key=lambda i: (draws[i], labels[i], len(places[i])))
+    return [(labels[i], places[i], counts[i]) for i in order]
 
 
 def _scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 BASE = 0x100000001B3
@@ -61,3 +62,12 @@ def word_prefixes(
         found.append(cut[sizes > n] + np.uint64(n * 0xABCDEF12345))
     at, n = np.unique(_bucket(np.concatenate(found), bits), return_counts=True)
     return at, n, len(sizes)
+
+
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a list column as views of its numbers, without an object per number."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text_features import word_prefixes
+from fleetlens.llm.text_features import lists_of, word_prefixes
 
 
 @dataclass(frozen=True)
@@ -97,8 +97,8 @@ def fit(
 ) -> OrdinalModel:
     """Learn grades 0 .. ``grades`` - 1 from the labelled rows, at most ``sample_rows`` of them.
 
-    The sample takes each grade up to an equal share of ``sample_rows`` by a hash; ``key`` only
-    takes part in the draw. Rows with a null text or grade are no examples, a grade outside the
+    The sample takes each grade up to an equal share of ``sample_rows`` by a hash of ``key``, which
+    takes no other part. Rows with a null text or grade are no examples, a grade outside the
     range fails. Without examples the model finds every text to have grade 0.
     """
     examples = _sample(rows, text, grade, key, grades, bits, sample_rows)
@@ -145,7 +145,7 @@ def _sample(rows, text, grade, key, grades, bits, most) -> list[tuple[int, np.nd
     known = rows.select(
         F.col(grade).cast("int").alias("grade"),
         F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("draw"),
+        F.xxhash64(F.col(key).cast("string")).alias("draw"),
     ).filter("grade is not null and text is not null")
     counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if bad := [g for g in counts if not 0 <= g < grades]:
@@ -158,8 +158,8 @@ def _sample(rows, text, grade, key, grades, bits, most) -> list[tuple[int, np.nd
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([at.tolist() for at, _ in found], pa.list_(pa.int32())),
-                    pa.array([x.tolist() for _, x in found], pa.list_(pa.float64())),
+                    pa.array([at.astype(np.int32) for at, _ in found], pa.list_(pa.int32())),
+                    pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32())),
                 ],
                 names=["grade", "draw", "at", "x"],
             )
@@ -175,13 +175,12 @@ def _sample(rows, text, grade, key, grades, bits, most) -> list[tuple[int, np.nd
     if drawn is None:
         return []
     found = drawn.select("grade", "draw", "text").mapInArrow(
-        run, "grade int, draw long, at array<int>, x array<double>"
+        run, "grade int, draw long, at array<int>, x array<float>"
     ).toArrow()
-    found = found.sort_by([("draw", "ascending"), ("grade", "ascending")]).to_pydict()
-    return [
-        (g, np.asarray(at, np.int64), np.asarray(x))
-        for g, at, x in zip(found["grade"], found["at"], found["x"])
-    ]
+    grade_of, draws = found["grade"].to_pylist(), found["draw"].to_pylist()
+    places, values = lists_of(found["at"]), lists_of(found["x"])
+    order = sorted(range(len(draws)), key=lambda i: (draws[i], grade_of[i], len(places[i])))
+    return [(grade_of[i], places[i], values[i]) for i in order]
 
 
 def predict(
