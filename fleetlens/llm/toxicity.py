@@ -92,16 +92,14 @@ def fit(
     key: str = "doc_id",
     grades: int = 3,
     bits: int = 18,
-    sample_rows: int = 6000,
     **settings: float,
 ) -> OrdinalModel:
-    """Learn grades 0 .. ``grades`` - 1 from the labelled rows, at most ``sample_rows`` of them.
+    """Learn grades 0 .. ``grades`` - 1 from all of ``rows``, a bounded sample made by ``draw``.
 
-    The sample takes each grade up to an equal share of ``sample_rows`` by a hash of ``key``, which
-    takes no other part. Rows with a null text or grade are no examples, a grade outside the
-    range fails. Without examples the model finds every text to have grade 0.
+    ``key`` only settles the order of the examples. Rows with a null text or grade are no examples.
+    Without examples the model finds every text to have grade 0.
     """
-    examples = _sample(rows, text, grade, key, grades, bits, sample_rows)
+    examples = _examples(rows, text, grade, key, bits)
     if not examples:
         return OrdinalModel(
             np.empty(0, np.int64), np.empty(0), np.full(grades - 1, 40.0), bits
@@ -117,15 +115,14 @@ def fit_flags(
     flag: str = "toxic",
     key: str = "doc_id",
     bits: int = 18,
-    sample_rows: int = 6000,
     **settings: float,
 ) -> OrdinalModel:
-    """Learn three grades where the labels only say toxic (1) or not (0).
+    """Learn three grades where the labels only say toxic (1) or not (0), from a bounded sample.
 
     A feature that at least five examples hold, 95 % of them toxic, is a marker. A toxic example with
     more markers than the median toxic one gets grade 2, the others grade 1.
     """
-    examples = _sample(rows, text, flag, key, 2, bits, sample_rows)
+    examples = _examples(rows, text, flag, key, bits)
     if not examples:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.full(2, 40.0), bits)
     held = np.zeros((2, 1 << bits))
@@ -140,16 +137,38 @@ def fit_flags(
     return OrdinalModel(at, weights[at], thresholds, bits)
 
 
-def _sample(rows, text, grade, key, grades, bits, most) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def draw(
+    rows: DataFrame, grade: str, key: str = "doc_id", grades: int = 3, most: int = 6000
+) -> DataFrame:
+    """At most ``most`` of ``rows``: of each grade the ones first by a hash of ``key``, up to its share.
+
+    Rows with a null grade are never drawn, a grade outside 0 .. ``grades`` - 1 fails. The result
+    is bounded, so it may be broadcast to fetch texts. A first cut by a fraction, four times what
+    is wanted, keeps the sorts small.
+    """
     each = max(1, most // grades)
-    known = rows.select(
-        F.col(grade).cast("int").alias("grade"),
-        F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(key).cast("string")).alias("draw"),
-    ).filter("grade is not null and text is not null")
-    counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = rows.filter(F.col(grade).isNotNull()).withColumns(
+        {"_grade": F.col(grade).cast("int"), "_draw": F.xxhash64(F.col(key).cast("string"))}
+    )
+    counted = known.groupBy("_grade").agg(F.count(F.lit(1)).alias("n")).limit(grades + 1).collect()
+    counts = {r["_grade"]: r["n"] for r in counted}
     if bad := [g for g in counts if not 0 <= g < grades]:
         raise ValueError(f"grades outside 0..{grades - 1}: {bad[:5]}")
+    drawn = known.limit(0)
+    for g, n in sorted(counts.items()):
+        share = min(1.0, 4 * each / n + 1e-6)
+        part = known.filter(
+            (F.col("_grade") == g)
+            & (F.pmod(F.col("_draw"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+        )
+        drawn = drawn.unionByName(part.orderBy("_draw").limit(each))
+    return drawn.drop("_grade", "_draw")
+
+
+def _examples(
+    rows: DataFrame, text: str, grade: str, key: str, bits: int
+) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(grade, buckets, values) of all ``rows`` with a text and a grade; ``rows`` is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,23 +183,16 @@ def _sample(rows, text, grade, key, grades, bits, most) -> list[tuple[int, np.nd
                 names=["grade", "draw", "at", "x"],
             )
 
-    drawn = None
-    for g, n in sorted(counts.items()):
-        share = min(1.0, 4 * each / n + 1e-6)
-        part = known.filter(
-            (F.col("grade") == g)
-            & (F.pmod(F.col("draw"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-        ).orderBy("draw").limit(each)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    if drawn is None:
-        return []
-    found = drawn.select("grade", "draw", "text").mapInArrow(
-        run, "grade int, draw long, at array<int>, x array<float>"
-    ).toArrow()
-    grade_of, draws = found["grade"].to_pylist(), found["draw"].to_pylist()
+    known = rows.select(
+        F.col(grade).cast("int").alias("grade"),
+        F.xxhash64(F.col(key).cast("string")).alias("draw"),
+        F.col(text).cast("string").alias("text"),
+    ).filter("grade is not null and text is not null")
+    found = known.mapInArrow(run, "grade int, draw long, at array<int>, x array<float>").toArrow()
+    grades, draws = found["grade"].to_pylist(), found["draw"].to_pylist()
     places, values = lists_of(found["at"]), lists_of(found["x"])
-    order = sorted(range(len(draws)), key=lambda i: (draws[i], grade_of[i], len(places[i])))
-    return [(grade_of[i], places[i], values[i]) for i in order]
+    order = sorted(range(len(draws)), key=lambda i: (draws[i], grades[i], len(places[i])))
+    return [(grades[i], places[i], values[i]) for i in order]
 
 
 def predict(

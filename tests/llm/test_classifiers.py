@@ -124,4 +124,13 @@ def test_toxicity_cases(spark):
     none = toxicity.fit(table.limit(0))
     assert {r["grade"] for r in toxicity.predict(table, none).collect()} == {0}
     with pytest.raises(ValueError):
-        toxicity.fit(table.selectExpr("doc_id", "text", "7 as grade"))
+        toxicity.draw(table.selectExpr("doc_id", "7 as grade"), "grade")
+
+
+def test_draw_is_bounded_and_even(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "cast(case when id % 50 = 0 then 1 when id % 7 > 0 then 0 end as int) as g")
+    got = toxicity.draw(rows, "g", grades=2, most=160).collect()
+    assert len(got) == 160 and sum(r["g"] for r in got) == 80
+    again = toxicity.draw(rows.repartition(7), "g", grades=2, most=160).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert toxicity.draw(rows.limit(0), "g").count() == 0
