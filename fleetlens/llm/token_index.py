@@ -38,7 +38,9 @@ END = 2
 #: Ids of one shard: 8 MB at two bytes an id.
 SHARD_TOKENS = 4 << 20
 #: Words remembered within a task.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Displacements worked out for all keys at once.
+TRIES = 48
 #: Marks that may end a word; no match of the splitting pattern takes a letter and one of them.
 MARKS = ".,!?;:"
 #: Units of a text with any white space. A match never crosses from a visible character to a space,
@@ -84,7 +86,7 @@ class UnitEncoder(dict):
         return array(self.code, ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < LATIN:
+        if piece.isalpha() and (piece.isascii() or max(piece) < LATIN):
             # A space and letters are one match of the pattern, so the merges are all there is to do.
             coded = f" {piece}".encode().decode("latin-1").translate(self.letters)
             ids = array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
@@ -121,7 +123,7 @@ def _mixed(hashes: np.ndarray, seed) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def build_hash(hashes: np.ndarray, load: int = 4) -> np.ndarray:
+def build_hash(hashes: np.ndarray, load: int = 2) -> np.ndarray:
     """Displacements of a minimal perfect hash of distinct 64-bit ``hashes``."""
     n = len(hashes)
     groups = max(1, -(-n // load))
@@ -131,34 +133,39 @@ def build_hash(hashes: np.ndarray, load: int = 4) -> np.ndarray:
     home = (_mixed(hashes, 2**40) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     sizes = np.bincount(home, minlength=groups)
-    begins = np.cumsum(sizes) - sizes
-    taken = np.zeros(n, bool)
-    by_size = np.argsort(-sizes, kind="stable")
+    begins = (np.cumsum(sizes) - sizes).tolist()
+    taken = bytearray(n)
+    by_size = np.argsort(-sizes, kind="stable").tolist()
+    sizes, ordered = sizes.tolist(), hashes[order]
+
+    # Slots of all keys for the first displacements, which are enough for most groups.
+    first = [
+        (_mixed(ordered, seed) % np.uint64(n)).astype(np.int64).tolist() for seed in range(TRIES)
+    ]
     singles = []
-    for group in by_size.tolist():
-        size = int(sizes[group])
+    for group in by_size:
+        size, begin = sizes[group], begins[group]
         if size == 0:
             break
-        own = hashes[order[begins[group] : begins[group] + size]]
         if size == 1:
             singles.append(group)
             continue
-        seed = 0
-        while True:
-            tries = np.arange(seed, seed + 64, dtype=np.uint64)[:, None]
-            slots = (_mixed(own[None, :], tries) % np.uint64(n)).astype(np.int64)
-            good = ~taken[slots].any(axis=1)
-            ordered = np.sort(slots, axis=1)
-            good &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-            if good.any():
-                first = int(good.argmax())
-                moves[group] = seed + first
-                taken[slots[first]] = True
+        for seed in range(1 << 30):
+            if seed < TRIES:
+                slots = first[seed][begin : begin + size]
+            else:
+                if (seed - TRIES) % 256 == 0:  # the next 256, for this group only
+                    own, seeds = ordered[begin : begin + size], np.arange(seed, seed + 256)
+                    more = (_mixed(own, seeds[:, None]) % np.uint64(n)).astype(np.int64).tolist()
+                slots = more[(seed - TRIES) % 256]
+            if len(set(slots)) == size and not any([taken[s] for s in slots]):
+                moves[group] = seed
+                for s in slots:
+                    taken[s] = 1
                 break
-            seed += 64
-            if seed > 1 << 30:
-                raise ValueError("two keys have the same 64-bit hash")
-    free = np.flatnonzero(~taken)
+        else:
+            raise ValueError("two keys have the same 64-bit hash")
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8) == 0)
     moves[singles] = -1 - free[: len(singles)]
     return moves
 
