@@ -6,12 +6,17 @@ are hashed; every document looks its own seeds up in a bitmap of fixed size (bro
 benchmark holds) and only passages around a hit leave the task. Those are joined by the whole
 64-bit hash with the benchmark's seeds, and each pair of passage and item at one offset is verified
 word by word. The bitmap only saves work: a false hit finds no partner in the join.
+
+The masks leave no overlap unseen: ``masks_for`` uses given masks only where they meet every allowed
+choice of substituted words, and else a run of words that the pigeonhole principle leaves whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.session import work_folder
 
-#: Fixed masks; a word under 0 is ignored.
-MASKS = ("11111111", "110110101011", "1011001101011", "11010100110011")
+#: Fixed masks; a word under 0 is ignored. Any 2 of 13 words in a row may differ: one mask still fits.
+MASKS = ("111111", "11101011", "1101100011")
+#: Choices of substituted words that are tried at most.
+MOST_CHOICES = 100_000
 FILTER_BITS = 26
 #: Bits that the filter has for a hash: it passes a stranger only if all of them are set.
 PROBES = 3
@@ -47,10 +54,34 @@ def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def seeds_of(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
-    """For each mask the seed hash at every word where the mask fits."""
+def covers(masks: tuple[str, ...], words: int, changes: int) -> bool:
+    """Whether a mask fits somewhere into ``words`` words, whichever ``changes`` of them differ."""
+    seen = [
+        {at + i for i, bit in enumerate(mask) if bit == "1"}
+        for mask in masks
+        for at in range(words - len(mask) + 1)
+    ]
+    return all(any(s.isdisjoint(c) for s in seen) for c in combinations(range(words), changes))
+
+
+def masks_for(masks: tuple[str, ...], words: int, share: float) -> tuple[str, ...]:
+    """Masks that meet every run of ``words`` words with a ``share`` of equal ones."""
+    equal = int(np.ceil(share * words))
+    changes = words - equal
+    if comb(words, changes) <= MOST_CHOICES and covers(masks, words, changes):
+        return masks
+    # The changed words part the equal ones into changes + 1 runs; the longest has this many words.
+    run = -(-equal // (changes + 1))
+    return ("1" * max(1, min(run, len(PLACES))),)
+
+
+def seeds_of(
+    words: np.ndarray, masks: tuple[str, ...], numbers: list[int] | None = None
+) -> list[np.ndarray]:
+    """For each mask (of ``numbers``) the seed hash at every word where the mask fits."""
     found = []
-    for number, mask in enumerate(masks):
+    for number in range(len(masks)) if numbers is None else numbers:
+        mask = masks[number]
         places = max(0, len(words) - len(mask) + 1)
         total = np.full(places, number, np.uint64)
         for offset in (i for i, bit in enumerate(mask) if bit == "1"):
@@ -62,8 +93,14 @@ def seeds_of(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     return found
 
 
-def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item, words binary, n, seeds array<struct<h, pos>>) per distinct text of the benchmark."""
+def _benchmark_seeds(
+    items: DataFrame, masks: tuple[str, ...], used: list[list[int]]
+) -> DataFrame:
+    """(item, members, item_words binary, n, seeds array<struct<h, pos>>) per text of the benchmark.
+
+    ``used`` has the numbers of the masks by n, the words of a text or as many as it is long.
+    """
+    most = len(used) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -74,7 +111,7 @@ def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
                 seeds.append(
                     [
                         {"h": h, "pos": pos}
-                        for found in seeds_of(each, masks)
+                        for found in seeds_of(each, masks, used[min(len(each), most)])
                         for pos, h in enumerate(found.view(np.int64).tolist())
                     ]
                 )
@@ -83,17 +120,18 @@ def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
                     batch.column(0),
                     batch.column(1),
                     pa.array([w.tobytes() for w in words], pa.binary()),
+                    pa.array([min(len(w), most) for w in words], pa.int64()),
                     pa.array(
                         seeds, pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
                     ),
                 ],
-                names=["item", "members", "item_words", "seeds"],
+                names=["item", "members", "item_words", "n", "seeds"],
             )
 
     return items.mapInArrow(
         run,
         f"item {items.schema['item'].dataType.simpleString()}, members long, item_words binary,"
-        " seeds array<struct<h long, pos int>>",
+        " n long, seeds array<struct<h long, pos int>>",
     )
 
 
@@ -118,9 +156,15 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def _passages(
-    rows: DataFrame, kind: str, bitmap, masks: tuple[str, ...], bits: int, margin: int
+    rows: DataFrame,
+    kind: str,
+    bitmap,
+    masks: tuple[str, ...],
+    numbers: list[int],
+    bits: int,
+    margin: int,
 ) -> DataFrame:
-    """One row per passage of a document around hits in the bitmap."""
+    """One row per passage of a document around hits in the bitmap; ``numbers`` of masks count."""
     span = max(map(len, masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +185,13 @@ def _passages(
             for key, row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = word_hashes(text.as_py(), known)
                 places, hashes = [], []
-                for found in seeds_of(words, masks):
+                for found in seeds_of(words, masks, numbers):
                     hit = passing(found)
                     places.append(hit)
                     hashes.append(found[hit])
-                place, hashed = np.concatenate(places), np.concatenate(hashes)
-                if not len(place):
+                if not any(map(len, places)):
                     continue
+                place, hashed = np.concatenate(places), np.concatenate(hashes)
                 order = np.argsort(place, kind="stable")
                 place, hashed = place[order], hashed[order].view(np.int64)
                 # Hits further apart than a passage reaches start a new one.
@@ -220,8 +264,11 @@ def contaminations(
     of a shorter item) are equal in a share of ``share``; the words compared reach ``overlap`` beyond
     the seeds found. Of several places the one with the most equal words counts, then the first.
 
-    Words are runs of word characters, case does not matter. Null and empty texts and items with
-    fewer words than the shortest mask (8) overlap with nothing. A null key is carried like any other;
+    Every such overlap is found: ``masks`` are used where they meet every choice of words that may
+    differ, and a shorter run of words elsewhere, as for short items.
+
+    Words are runs of word characters, case does not matter. Texts and items without a word overlap
+    with nothing; an item of one to four words must occur as it is. A null key is carried like any other;
     repeated rows give a row each; an empty table on either side gives no rows.
     """
     spark = rows.sparkSession
@@ -233,11 +280,16 @@ def contaminations(
         .agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("members"))
         .select("item", "members", "t")
     )
-    _benchmark_seeds(items, masks).withColumn("at", F.monotonically_increasing_id()).write.parquet(
+    by_length = [(), *(masks_for(masks, n, share) for n in range(1, overlap + 1))]
+    masks = tuple(dict.fromkeys(m for own in by_length for m in own))
+    used = [[masks.index(m) for m in own] for own in by_length]
+    _benchmark_seeds(items, masks, used).withColumn("at", F.monotonically_increasing_id()).write.parquet(
         f"{folder}/items"
     )
     stored = spark.read.parquet(f"{folder}/items")
     seeds = stored.select("at", F.explode("seeds").alias("s")).select("at", "s.h", "s.pos")
+    # Documents are looked through with the masks of the item lengths that there are.
+    numbers = sorted({i for r in stored.select("n").distinct().collect() for i in used[r["n"]]})
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds, filter_bits))
     numbered = rows.select(
         F.col(key).alias("key"),
@@ -245,7 +297,7 @@ def contaminations(
         F.monotonically_increasing_id().alias("row"),
     )
     kind = rows.schema[key].dataType.simpleString()
-    _passages(numbered, kind, bitmap, masks, filter_bits, overlap).write.parquet(
+    _passages(numbered, kind, bitmap, masks, numbers, filter_bits, overlap).write.parquet(
         f"{folder}/passages"
     )
     passages = spark.read.parquet(f"{folder}/passages")

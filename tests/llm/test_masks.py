@@ -1,0 +1,47 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from fleetlens.llm import decontaminate
+from tests.llm.test_decontaminate import overlaps, run
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_every_choice_of_changed_words_is_met(n):
+    masks = decontaminate.masks_for(decontaminate.MASKS, n, 0.8)
+    base = np.arange(100, 100 + n, dtype=np.uint64)
+    seeds = {(i, h) for i, found in enumerate(decontaminate.seeds_of(base, masks)) for h in found.tolist()}
+    for places in combinations(range(n), n - int(np.ceil(0.8 * n))):
+        changed = base.copy()
+        changed[list(places)] = 7
+        found = decontaminate.seeds_of(changed, masks)
+        assert any((i, h) in seeds for i, hashes in enumerate(found) for h in hashes.tolist())
+
+
+def test_the_masks_serve_thirteen_words():
+    assert decontaminate.masks_for(decontaminate.MASKS, 13, 0.8) == decontaminate.MASKS
+
+
+def test_items_of_every_length_with_all_allowed_changes(spark):
+    """One document per item and choice of changed words, up to one more than may differ."""
+    docs, items, want = [], [], set()
+    for n in (1, 3, 4, 5, 7, 8, 9, 10, 12, 13, 15):
+        item = [f"i{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for times in range(n - int(np.ceil(0.8 * n)) + 2):
+            for places in combinations(range(n), times):
+                text = ["a", "b", *(f"x{i}" if i in places else w for i, w in enumerate(item)), "c"]
+                if overlaps(text, item):
+                    want.add((len(docs), n))
+                docs.append((len(docs), " ".join(text)))
+    assert {(r["doc_id"], r["item_id"]) for r in run(spark, docs, items)} == want
+
+
+@pytest.mark.parametrize("overlap,share", [(20, 0.8), (6, 0.5), (13, 1.0), (40, 0.75)])
+def test_other_overlaps(spark, overlap, share):
+    words = [f"w{i}" for i in range(overlap)]
+    step = overlap / max(1, overlap - int(np.ceil(share * overlap)))
+    gone = {int(i * step) for i in range(overlap - int(np.ceil(share * overlap)))}
+    text = " ".join("x" if i in gone else w for i, w in enumerate(words))
+    assert len(run(spark, [(1, text)], [(1, " ".join(words))], overlap=overlap, share=share)) == 1
