@@ -14,7 +14,11 @@ from fleetlens.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language_id,
+    multiset_hash,
+    ordered_neighbours,
+    periodic_runs,
     resharding,
     revisits,
     simhash,
@@ -278,3 +282,121 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         "length",
         F.array_join(F.array_sort(lines), "\n").alias("headers"),
     )
+
+
+def with_made_run(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` edited where crc32 of the id as text is divisible by 10: from some word on, the
+    words repeat a period. A null id counts as empty."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = (h % 10 == 0) & (F.size(words) > 0)
+    g = F.floor(h / 10)
+    n = F.size("_words").cast("long")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.concat(
+        F.slice("_words", F.lit(1), a.cast("int")),
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), n - a - 1),
+            lambda i: F.element_at("_words", (a + i % p + 1).cast("int")),
+        ),
+    )
+    return (
+        rows.withColumn("_words", F.when(chosen, words))
+        .withColumn(
+            "text",
+            F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(made, " ")),
+        )
+        .drop("_words")
+    )
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words of every document, the longest one, and the text without repetitions."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic_runs.collapse_runs(with_made_run(docs))
+    # The longest run; of equal ones the first, then the one with the smallest period.
+    longest = F.array_min(
+        F.transform(
+            "runs",
+            lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")),
+        )
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.withColumn("_best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        (-F.col("_best.less")).alias("length"),
+        F.col("_best.period").alias("period"),
+        F.floor(-F.col("_best.less") * 1000 / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH clean AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+               CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM clean a JOIN clean b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ), positive AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score,
+               row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS n
+        FROM scored WHERE same
+    ), negative AS (
+        SELECT p.anchor_id, p.positive_id, s.other AS negative_id, p.positive_score,
+               s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                                  ORDER BY s.score DESC, s.other) AS n
+        FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+        WHERE p.n <= 5 AND 80 * p.positive_score <= 100 * s.score
+          AND 100 * s.score <= 100 * p.positive_score
+    )
+    SELECT anchor_id, positive_id, CAST(n AS INT) AS rank, negative_id, positive_score, negative_score
+    FROM negative WHERE n <= 5
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        hard_negatives.quantized(F.col("embedding")).alias("vector"),
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_document_fingerprint")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    paired = ordered_neighbours.with_next(
+        docs, "doc_id", ["text"], lambda rows: multiset_hash.with_fingerprints(rows)
+    )
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    edited = F.concat(F.left("text", size - half), F.left("next_text", half))
+    both = paired.withColumn("edited", edited).withColumn("edited_vector", multiset_hash.vector(F.col("edited")))
+    return both.select(
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset_hash.fingerprint(F.col("vector")).alias("fingerprint"),
+        multiset_hash.fingerprint(F.col("edited_vector")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        multiset_hash.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
