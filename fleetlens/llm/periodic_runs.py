@@ -254,10 +254,10 @@ def runs_of(
     """(text, start, end, period) of all runs, by text, start and period; starts count from the row's
     first word.
 
-    ``least`` is six or more, as three words must agree on one side of a boundary.
+    ``least`` is nine or more: then five words or more agree around a boundary, three of them on one side.
     """
-    if least < 6:
-        raise ValueError("least must be 6 or more")
+    if least < 9:
+        raise ValueError("least must be 9 or more")
     none = np.empty(0, np.int64)
     if len(ids) < least:
         return none, none, none, none
