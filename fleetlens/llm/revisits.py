@@ -157,12 +157,21 @@ def captures(pages: DataFrame) -> DataFrame:
     others are revisits; validators agree, disagree or are missing by the page_id.
     """
     p, i = F.col("page_id"), F.col("visit")
+    # Bodies are hashed and measured once a page; no visit carries one.
+    pages = pages.select(
+        "page_id",
+        "url",
+        F.md5("html").alias("first_digest"),
+        F.octet_length("html").alias("first_size"),
+        F.md5(F.concat("html", F.lit("<!-- 2 -->"))).alias("changed_digest"),
+        (F.octet_length("html") + len("<!-- 2 -->")).alias("changed_size"),
+    )
     visits = pages.withColumn("visit", F.explode(F.sequence(F.lit(0), (p % 4 + 1).cast("int"))))
     full = ((i == 0) & (p % 7 != 0)) | ((i == 3) & (p % 2 == 0))
-    body = F.when(i == 3, F.concat("html", F.lit("<!-- 2 -->"))).otherwise(F.col("html"))
+    size = F.when(i == 3, F.col("changed_size")).otherwise(F.col("first_size"))
     first = F.timestamp_seconds(F.lit(1_700_000_000) + (p % 1000) * 60)
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + (p % 1000) * 60 + i * 25_200)
-    digest = F.md5(F.when(full, body).otherwise(F.col("html")))
+    digest = F.when(full & (i == 3), F.col("changed_digest")).otherwise(F.col("first_digest"))
     quoted = F.concat(F.lit('"'), digest, F.lit('"'))
     etag = (
         F.when(p % 3 == 0, F.lit(None).cast("string"))
@@ -172,12 +181,11 @@ def captures(pages: DataFrame) -> DataFrame:
     )
     modified = F.when(full, ts).when(p % 13 == 0, F.lit(None)).otherwise(first)
     date = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-    size = F.octet_length(body).cast("string")
     headers = F.map_from_arrays(
         F.when(
             full, F.array(*map(F.lit, ("Content-Type", "Content-Length", "Date", "ETag", "Server")))
         ).otherwise(F.array(*map(F.lit, ("Cache-Control", "Content-Length", "Date", "ETag", "Server")))),
-        F.when(full, F.array(F.lit("text/html"), size, date, etag, F.lit("a"))).otherwise(
+        F.when(full, F.array(F.lit("text/html"), size.cast("string"), date, etag, F.lit("a"))).otherwise(
             F.array(F.lit("max-age=60"), F.lit("0"), date, etag, F.lit("b"))
         ),
     )
@@ -189,6 +197,6 @@ def captures(pages: DataFrame) -> DataFrame:
         etag.alias("etag"),
         modified.alias("last_modified"),
         digest.alias("digest"),
-        F.when(full, F.octet_length(body)).cast("long").alias("length"),
+        F.when(full, size).cast("long").alias("length"),
         headers.alias("headers"),
     )

@@ -7,7 +7,8 @@ Folder layout, written and read by Spark's own file formats, so it works on any
     MAGIC | ids (2 or 4 bytes each, little-endian) | keys | starts | displacements | slots | prints
           | footer: JSON with the sizes | its length, 4 bytes | line feed
 
-``manifest/``  Parquet, a row per shard: part, piece, first token, tokens, documents.
+``manifest/``  Parquet, a row per shard: part, piece, first token, tokens, documents, smallest and largest
+key, file name. Shards do not overlap but in one key, so the keys tell which files to open.
 
 Within a shard the index maps a key to its documents in constant time. A key's 64-bit hash picks a
 group; the group's displacement moves its keys to slots of their own (hash and displace); a group of
@@ -22,6 +23,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ END = 2
 #: Ids of one shard: 8 MB at two bytes an id.
 SHARD_TOKENS = 4 << 20
 #: Words remembered within a task.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Displacements worked out for all keys at once.
 TRIES = 48
 #: Marks that may end a word; no match of the splitting pattern takes a letter and one of them.
@@ -48,6 +50,8 @@ MARKS = ".,!?;:"
 UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 #: White space outside that set could join a run of it, so such texts are encoded as a whole.
 OTHER_SPACE = re.compile(r"[^\S \t\r\n]|[\x1c-\x1f\x85]")
+#: All white space but the space and the line feed.
+RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Letters below this code point are letters to every version of Unicode.
 LATIN = chr(0x250)
 
@@ -80,32 +84,48 @@ class UnitEncoder(dict):
         self.code = {2: "H", 4: "I"}[self.width]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.marks = {mark: self._library(mark) for mark in MARKS}
+        self.line, self.space = self._library("\n"), chr(self.letters[ord(" ")])
 
     def _library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and (piece.isascii() or max(piece) < LATIN):
-            # A space and letters are one match of the pattern, so the merges are all there is to do.
-            coded = f" {piece}".encode().decode("latin-1").translate(self.letters)
-            ids = array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
-        elif piece[-1:] in self.marks and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        # A line feed is a match of its own; a space belongs to the word behind it.
+        first = piece[:1] == "\n"
+        word = piece[1:] if first else piece
+        if word.isascii() and word.isalpha():
+            # Letters, with their space, are one match of the pattern, so the merges are all there is to do.
+            ids = self._merged(word if first else self.space + word)
+        elif word[-1:] in self.marks and word[:-1].isalpha():
+            # A word met for the first time is remembered without its mark.
+            known = piece[:-1] in self
+            ids = self[piece[:-1]] + self.marks[word[-1]]
+            if known:
+                self[piece] = ids
+            return ids
+        elif word.isalpha() and max(word) < LATIN:
+            coded = word if first else f" {word}"
+            ids = self._merged(coded.encode().decode("latin-1").translate(self.letters))
         else:
-            ids = self._library(piece if piece[:1] == "\n" else f" {piece}")
+            ids = self._library(word if first else f" {word}")
+        if first:
+            ids = self.line + ids
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def _merged(self, coded: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, as the library gives them, ``width`` bytes each."""
         if len(self) > REMEMBERED:
             self.clear()
         pieces = text.replace("\n", " \n").split(" ")
-        # As many words as pieces and no piece without a word: white space is single spaces and
-        # single line feeds only, so each piece ends where a match ends.
-        if len(text.split()) == len(pieces) and "" not in pieces and "\n" not in pieces:
+        # White space is single spaces and single line feeds only, and there is none at either end of a
+        # piece: so each piece ends where a match ends.
+        if "" not in pieces and "\n" not in pieces and not any(map(text.__contains__, RARE_SPACE)):
             return self._library(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
         if OTHER_SPACE.search(text):
             return self._library(text)
@@ -116,6 +136,10 @@ def key_bytes(key: str | None) -> bytes:
     return b"\0" if key is None else b"\1" + key.encode("utf-8", "surrogatepass")
 
 
+def key_text(key: bytes) -> str | None:
+    return None if key == b"\0" else key[1:].decode("utf-8", "surrogatepass")
+
+
 def _mixed(hashes: np.ndarray, seed) -> np.ndarray:
     x = hashes + (np.atleast_1d(np.asarray(seed, np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -227,20 +251,23 @@ class Shard:
         for name, length in self.head["sections"].items():
             self.section[name] = view[at : at + length]
             at += length
+        self.key_ends: np.ndarray | None = None
         self.ids = np.frombuffer(self.section["ids"], f"<u{self.head['width']}")
         self.starts = np.frombuffer(self.section["starts"], "<u8").astype(np.int64)
         self.moves = np.frombuffer(self.section["moves"], "<i4")
         self.slots = np.frombuffer(self.section["slots"], "<u4").reshape(-1, 2).astype(np.int64)
         self.prints = np.frombuffer(self.section["prints"], "<u2")
 
+    def key(self, number: int) -> bytes:
+        """The stored key of a document."""
+        if self.key_ends is None:
+            count = self.head["documents"]
+            sizes = np.frombuffer(self.section["keys"][: 4 * count], "<u4")
+            self.key_ends = np.cumsum(np.append(4 * count, sizes), dtype=np.int64)
+        return bytes(self.section["keys"][self.key_ends[number] : self.key_ends[number + 1]])
+
     def keys(self) -> list[bytes]:
-        count = self.head["documents"]
-        sizes = np.frombuffer(self.section["keys"][: 4 * count], "<u4").tolist()
-        at, out = 4 * count, []
-        for size in sizes:
-            out.append(bytes(self.section["keys"][at : at + size]))
-            at += size
-        return out
+        return [self.key(i) for i in range(self.head["documents"])]
 
     def find(self, keys: Sequence[bytes]) -> list[tuple[int, int]]:
         """(first document, documents) of each key; (0, 0) where the fingerprint says no."""
@@ -313,35 +340,45 @@ def write_ids(
     _manifest(spark, folder).write.parquet(f"{folder}/manifest")
 
 
-def _shards(spark: SparkSession, folder: str) -> DataFrame:
+def _shards(spark: SparkSession, folder: str, *files: str) -> DataFrame:
     # An empty task still writes an empty file.
+    paths = [f"{folder}/shards/{file}" for file in files] or f"{folder}/shards"
     return (
-        spark.read.format("binaryFile").load(f"{folder}/shards").filter("length > 0").select("content")
+        spark.read.format("binaryFile")
+        .load(paths)
+        .filter("length > 0")
+        .select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
     )
 
 
+HEADS = "part long, piece long, documents long, tokens long, first_key string, last_key string, file string"
+
+
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = []
-            for content in batch.column(0):
+            for content, file in zip(batch.column(0), batch.column(1)):
                 shard = Shard(content.as_py())
+                count = shard.head["documents"]
                 heads.append(
                     {
                         "part": shard.head["part"],
                         "piece": shard.head["piece"],
-                        "documents": shard.head["documents"],
+                        "documents": count,
                         "tokens": len(shard.ids),
+                        "first_key": key_text(shard.key(0)),
+                        "last_key": key_text(shard.key(count - 1)),
+                        "file": file.as_py(),
                     }
                 )
-            yield pa.RecordBatch.from_pylist(
-                heads,
-                schema=pa.schema([(n, pa.int64()) for n in ("part", "piece", "documents", "tokens")]),
-            )
+            kinds = [field.split() for field in HEADS.split(", ")]
+            schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in kinds])
+            yield pa.RecordBatch.from_pylist(heads, schema=schema)
 
-    heads = _shards(spark, folder).mapInArrow(
-        run, "part long, piece long, documents long, tokens long"
-    )
+    # The files are read once for their heads; the rest works on the small table.
+    _shards(spark, folder).mapInArrow(run, HEADS).write.parquet(f"{folder}/heads")
+    heads = spark.read.schema(HEADS).parquet(f"{folder}/heads")
     # Tokens before a shard: pieces before it in its part, parts before it in its block of 1,024
     # parts, and whole blocks, of which there are few.
     heads = heads.withColumn("block", F.floor(F.col("part") / 1024))
@@ -370,6 +407,9 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("b0") + F.col("p0") + F.col("s0")).alias("first_token"),
             "tokens",
             "documents",
+            "first_key",
+            "last_key",
+            "file",
         )
     )
 
@@ -390,7 +430,7 @@ def read_documents(spark: SparkSession, folder: str, kind: str = "bigint") -> Da
                 part, piece, rows = shard.head["part"], shard.head["piece"], []
                 stored = list(dict.fromkeys(shard.keys()))
                 for key, (first, count) in zip(stored, shard.find(stored)):
-                    name = None if key == b"\0" else key[1:].decode("utf-8", "surrogatepass")
+                    name = key_text(key)
                     for number in range(first, first + count):
                         ids = shard.document(number)
                         rows.append(
@@ -408,7 +448,7 @@ def read_documents(spark: SparkSession, folder: str, kind: str = "bigint") -> Da
                     [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
                 )
 
-    found = _shards(spark, folder).mapInArrow(
+    found = _shards(spark, folder).select("content").mapInArrow(
         run,
         "key string, part long, piece long, inner long, n_tokens long, ids_crc32 long",
     )
@@ -421,32 +461,70 @@ def read_documents(spark: SparkSession, folder: str, kind: str = "bigint") -> Da
     )
 
 
+def files_of(
+    spark: SparkSession, folder: str, keys: Sequence[object], most_files: int = 100_000
+) -> list[str]:
+    """Names of the shard files whose range of keys holds one of ``keys``: one a key, but for a key whose
+    documents fill several shards. More than ``most_files`` fail."""
+    asked = spark.sparkContext.broadcast(_sorted_keys(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_key = _comparable(asked.value)
+        for batch in batches:
+            low, high = (
+                [as_key(k) for k in batch.column(i).to_pylist()] for i in (0, 1)
+            )
+            wanted = [as_key(k) for k in asked.value]
+            held = [bisect_left(wanted, a) < bisect_right(wanted, b) for a, b in zip(low, high)]
+            yield batch.select(["file"]).filter(pa.array(held, pa.bool_()))
+
+    manifest = spark.read.parquet(f"{folder}/manifest").select("first_key", "last_key", "file")
+    found = manifest.mapInArrow(run, "file string").limit(most_files + 1).collect()
+    if len(found) > most_files:
+        raise ValueError(f"the keys lie in more than {most_files} shards; read all of them instead")
+    return [r["file"] for r in found]
+
+
+def _comparable(keys: Sequence[object]):
+    """The order of keys in the shards, null first: that of numbers if all keys are, else of UTF-8."""
+    if all(isinstance(k, int) for k in keys if k is not None):
+        return lambda k: (k is not None, int(k or 0))
+    return lambda k: (k is not None, str(k or "").encode("utf-8", "surrogatepass"))
+
+
+def _sorted_keys(keys: Sequence[object]) -> list[object]:
+    return sorted(dict.fromkeys(keys), key=_comparable(keys))
+
+
 def lookup(
     spark: SparkSession, folder: str, keys: Sequence[object], most_keys: int = 1_000_000
 ) -> DataFrame:
     """(key string, ids array<int>) of the documents with one of ``keys``; absent keys have no row.
 
-    The keys are a bounded list (more than ``most_keys`` fail) and are sent to the shards, each of
-    which answers from its index and compares the stored key of what the fingerprint lets pass.
+    The keys are a bounded list (more than ``most_keys`` fail) of whole numbers or of texts, as the column
+    was. The manifest names the files to open, at most one a key unless a key fills several. There each
+    key goes through the index to its slot, and only the stored key of that slot is compared.
     """
     if len(keys) > most_keys:
         raise ValueError(f"more than {most_keys} keys; ask in several calls")
-    wanted = [key_bytes(None if k is None else str(k)) for k in dict.fromkeys(keys)]
+    files = files_of(spark, folder, keys)
+    if not files:
+        return spark.createDataFrame([], "key string, ids array<int>")
+    wanted = [key_bytes(None if k is None else str(k)) for k in _sorted_keys(keys)]
     asked = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                shard = Shard(content.as_py())
-                stored, names, ids = shard.keys(), [], []
+                shard, names, ids = Shard(content.as_py()), [], []
                 for key, (first, count) in zip(asked.value, shard.find(asked.value)):
-                    for number in range(first, first + count):
-                        if stored[number] == key:
-                            names.append(None if key == b"\0" else key[1:].decode())
+                    if count and shard.key(first) == key:
+                        for number in range(first, first + count):
+                            names.append(key_text(key))
                             ids.append(shard.document(number).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array(ids, pa.list_(pa.int32()))],
                     names=["key", "ids"],
                 )
 
-    return _shards(spark, folder).mapInArrow(run, "key string, ids array<int>")
+    return _shards(spark, folder, *files).select("content").mapInArrow(run, "key string, ids array<int>")

@@ -87,9 +87,38 @@ def test_files_with_nulls_and_repeated_keys(spark, tmp_path, library):
         token_index.lookup(spark, folder, [1, 2], most_keys=1)
 
 
+def test_lookup_opens_the_files_of_its_keys_only(spark, tmp_path, library):
+    rows = [(i * 3, f"text {i} of many") for i in range(3000)] + [(-5, "below"), (9 * 10**18, "far above")]
+    folder = stored(spark, tmp_path, rows, "c", shard_tokens=200)
+    files = spark.read.parquet(f"{folder}/manifest").count()
+    keys = [0, 3, 900, 1500, 3003, 4500, 6000, 7500, 8997, -5]
+    opened = token_index.files_of(spark, folder, keys)
+    assert files > 40 and len(opened) == len(set(opened)) <= len(keys)
+    got = {int(r["key"]): r["ids"] for r in token_index.lookup(spark, folder, keys).collect()}
+    texts = dict(rows)
+    assert got == {k: [*library(texts[k]), 2] for k in keys}
+    assert token_index.lookup(spark, folder, [1, 2, -100]).count() == 0
+    # A key of two digits lies before one of one digit as text, not as a number.
+    assert token_index.lookup(spark, folder, [9, 12, 90]).count() == 3
+    with pytest.raises(ValueError):
+        token_index.files_of(spark, folder, keys, most_files=3)
+
+
+def test_text_keys(spark, tmp_path, library):
+    rows = spark.createDataFrame(
+        [(k, f"text of {k}") for k in [None, "", "a", "é", "z", "\U0001f600", "10", "9"]], "doc_id string, text string"
+    )
+    folder = f"file://{tmp_path}/d"
+    token_index.write_ids(rows, folder, PATH, shard_tokens=4)
+    keys = [None, "", "é", "\U0001f600", "9", "absent"]
+    got = {r["key"]: r["ids"] for r in token_index.lookup(spark, folder, keys).collect()}
+    assert got == {k: [*library(f"text of {k}"), 2] for k in keys[:-1]}
+
+
 def test_empty_table(spark, tmp_path):
     folder = stored(spark, tmp_path, [], "b")
     assert token_index.read_documents(spark, folder).count() == 0
+    assert token_index.lookup(spark, folder, [1, None]).count() == 0
 
 
 def test_query(spark, library):
