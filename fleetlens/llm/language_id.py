@@ -162,15 +162,17 @@ def fit(
     key: str = "doc_id",
     bits: int = 15,
     sample_rows: int = 3000,
-    most_classes: int = 64,
+    class_rows: int = 50,
+    most_classes: int = 256,
     calibration_share: float = 0.2,
 ) -> LanguageModel:
     """Learn from all rows with a text and a label.
 
     Document frequencies come from all of these rows; the weights from a hashed sample of at most
-    ``sample_rows`` of them, spread evenly over the ``most_classes`` most frequent labels. ``key``
-    only takes part in the draw of the sample. Without rows to learn from the model has no
-    class and predicts ``und`` for every text.
+    ``sample_rows`` of them, or ``class_rows`` for each label if that is more, spread evenly over all
+    labels. Every label is learned; more than ``most_classes`` fail, as the model would not fit. ``key`` only
+    takes part in the draw of the sample. Without rows to learn from the model has no class
+    and predicts ``und`` for every text.
     """
     known = rows.select(
         F.col(text).cast("string").alias("text"),
@@ -178,9 +180,10 @@ def fit(
         F.col(key).cast("string").alias("key"),
     ).filter("text is not null and label is not null")
     counted = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    classes = {
-        r["label"]: r["n"] for r in counted.orderBy(F.desc("n"), "label").limit(most_classes).collect()
-    }
+    classes = {r["label"]: r["n"] for r in counted.limit(most_classes + 1).collect()}
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} labels to learn")
+    sample_rows = max(sample_rows, class_rows * len(classes))
     names, size = sorted(classes), 1 << bits
     if not names:
         empty = np.zeros((size, 0), np.float32)

@@ -119,7 +119,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     flags = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The sample is drawn from the labels and has 6,000 rows at most, so the texts stay in place.
     sample = F.broadcast(toxicity.draw(flags, "toxic", grades=2, most=6000))
-    model = toxicity.fit_flags(docs.join(sample, "doc_id"), flag="toxic")
+    model = toxicity.fit_flags(toxicity.one_text(docs.join(sample, "doc_id"), "toxic"), flag="toxic")
     return toxicity.predict(docs, model).select(
         "doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic")
     )
@@ -179,15 +179,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     out = work_folder(spark, "reshard")
     old_shard = F.crc32(F.coalesce("source", F.lit(""))) % 32
-    resharding.write_layout(docs, f"{out}/old", old_shard, size)
+    schema = resharding.write_layout(docs, f"{out}/old", old_shard, size)
+    crc = F.crc32(F.coalesce("text", F.lit("")))
     order = ["doc_id", "text_crc32"]
     stored = resharding.reshard(
-        spark, f"{out}/old", f"{out}/new", 40, ["doc_id"], id_chunk("doc_id"), size
+        spark, f"{out}/old", f"{out}/new", 40, ["doc_id", crc], id_chunk("doc_id"), size, schema
     )
     rows = stored.select(
         "doc_id",
         size.alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        crc.alias("text_crc32"),
         F.lit("rows").alias("law"),
         F.col(resharding.SHARD).cast("int").alias("shard"),
     )

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.text_features import lists_of, word_prefixes
 
+#: Examples that are fitted at most; more fail.
+MOST_EXAMPLES = 20_000
+
 
 @dataclass(frozen=True)
 class OrdinalModel:
@@ -165,6 +168,17 @@ def draw(
     return drawn.drop("_grade", "_draw")
 
 
+def one_text(rows: DataFrame, grade: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of rows with equal keys the one whose text has the smallest hash, combined before the shuffle.
+
+    Texts fetched for a sample of keys stay as many as the keys, however often a key is repeated.
+    """
+    first = F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"), F.col(grade).alias("g")))
+    return rows.groupBy(key).agg(first.alias("_f")).select(
+        key, F.col("_f.t").alias(text), F.col("_f.g").alias(grade)
+    )
+
+
 def _examples(
     rows: DataFrame, text: str, grade: str, key: str, bits: int
 ) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -188,7 +202,10 @@ def _examples(
         F.xxhash64(F.col(key).cast("string")).alias("draw"),
         F.col(text).cast("string").alias("text"),
     ).filter("grade is not null and text is not null")
-    found = known.mapInArrow(run, "grade int, draw long, at array<int>, x array<float>").toArrow()
+    found = known.mapInArrow(run, "grade int, draw long, at array<int>, x array<float>")
+    found = found.limit(MOST_EXAMPLES + 1).toArrow()
+    if found.num_rows > MOST_EXAMPLES:
+        raise ValueError(f"more than {MOST_EXAMPLES} examples; draw a sample first")
     grades, draws = found["grade"].to_pylist(), found["draw"].to_pylist()
     places, values = lists_of(found["at"]), lists_of(found["x"])
     order = sorted(range(len(draws)), key=lambda i: (draws[i], grades[i], len(places[i])))

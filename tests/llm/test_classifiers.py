@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import language_id, queries, text_features, toxicity
 
@@ -134,3 +137,114 @@ def test_draw_is_bounded_and_even(spark):
     again = toxicity.draw(rows.repartition(7), "g", grades=2, most=160).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert toxicity.draw(rows.limit(0), "g").count() == 0
+
+
+def test_every_label_is_learned(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(70)]
+    rows = [(i * 40 + n, f"{w} {w}{w} " * 5, f"l{i:02}") for i, w in enumerate(words) for n in range(12 if i else 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    assert len(model.classes) == 70
+    out = language_id.predict(table, model).select("lang", "lang_pred").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95
+    with pytest.raises(ValueError):
+        language_id.fit(table, most_classes=69)
+
+
+def test_a_repeated_id_is_one_example(spark):
+    docs = spark.range(3000).selectExpr("1L as doc_id", "concat('text ', id) as text").unionByName(
+        spark.createDataFrame([(2, "good"), (2, None), (3, None)], "doc_id long, text string")
+    )
+    flags = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.one_text(docs.join(flags, "doc_id"), "toxic").collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == [(1, 1), (2, 0), (3, 0)]
+    again = toxicity.one_text(docs.repartition(5).join(flags, "doc_id"), "toxic").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_too_many_examples_fail(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_EXAMPLES", 10)
+    rows = spark.range(11).selectExpr("id as doc_id", "'a word' as text", "1 as toxic")
+    with pytest.raises(ValueError):
+        toxicity.fit_flags(rows)
+
+
+def bucket(value, bits):
+    value ^= value >> 29
+    return (value * text_features.MULTIPLIER % (1 << 64)) >> (64 - bits)
+
+
+def slow_ngrams(text, bits):
+    """Counts of hashed character n-grams, one n-gram at a time in plain integers."""
+    points, counts = [ord(c) for c in text.lower()], {}
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * text_features.BASE + points[i + k] + k + 1) % (1 << 64)
+            counts[bucket(h, bits)] = counts.get(bucket(h, bits), 0) + 1
+    return counts
+
+
+def slow_language(text, model):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    x = {b: (1 + math.log(n)) * model.idf[b] for b, n in slow_ngrams(text, model.bits).items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    z = [
+        (model.bias[c] + sum(v / norm * float(model.weights[b, c]) for b, v in x.items())) / model.temperature
+        for c in range(len(model.classes))
+    ]
+    top = max(z)
+    p = [math.exp(v - top) for v in z]
+    best = max(range(len(p)), key=p.__getitem__)
+    return model.classes[best], p[best] / sum(p)
+
+
+def test_language_scores_against_brute_force(spark):
+    docs = queries.table(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~queries.held_out("doc_id")))
+    rows = docs.filter(F.length("text") < 3000)
+    out = language_id.predict(rows, model).collect()
+    query = {r["doc_id"]: r for r in queries.QUERIES["op7_language_id"](spark, SMALL).collect()}
+    assert len(out) > 100
+    for r in out:
+        label, score = slow_language(r["text"], model)
+        assert (r["lang_pred"], r["score"]) == (label, pytest.approx(score, abs=1e-5))
+        assert (query[r["doc_id"]]["lang_pred"], query[r["doc_id"]]["score"]) == (label, pytest.approx(score, abs=1e-5))
+
+
+def slow_severity(text, model):
+    """Expected severity from a dictionary of words and prefixes."""
+    words, word = [], ""
+    for c in [*(text or "").lower(), " "]:
+        if c.isalpha() if ord(c) < text_features.LATIN else True:
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    counts = {}
+    for w in words:
+        # A whole word and a prefix of it are different features.
+        for n in (n for n in (4, 5, 6, 7) if n < len(w)):
+            h = sum(ord(c) * text_features.BASE**i for i, c in enumerate(w[:n]))
+            b = bucket((h + n * 0xABCDEF12345) % (1 << 64), model.bits)
+            counts[b] = counts.get(b, 0) + 1
+        b = bucket(sum(ord(c) * text_features.BASE**i for i, c in enumerate(w)) % (1 << 64), model.bits)
+        counts[b] = counts.get(b, 0) + 1
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    scale = 4 / max(1, len(words)) ** (1 / 3)
+    z = sum(weights.get(b, 0.0) * math.log1p(n) * scale for b, n in counts.items())
+    over = [1 / (1 + math.exp(-max(-40, min(40, z - t)))) for t in model.thresholds]
+    return sum(over), sum(p >= 0.5 for p in over)
+
+
+def test_severity_against_brute_force(spark):
+    docs = queries.table(spark, FOLDER, "documents").select("doc_id", "text")
+    flags = queries.table(spark, FOLDER, "labels").select("doc_id", "toxic")
+    model = toxicity.fit_flags(toxicity.one_text(docs.join(flags, "doc_id"), "toxic"))
+    out = toxicity.predict(docs.filter("doc_id < 400"), model).collect()
+    assert sum(r["grade"] > 0 for r in out) > 0
+    for r in out:
+        severity, grade = slow_severity(r["text"], model)
+        assert r["severity"] == pytest.approx(severity, abs=1e-6) and r["grade"] == grade
