@@ -10,7 +10,7 @@ character) is split by the ``regex`` library and each match is encoded on its ow
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -75,6 +75,17 @@ def encode_text(enc: tiktoken.Encoding, pattern, text: str, block: int = BLOCK)
     return ids
 
 
+def _encoded(enc: tiktoken.Encoding, split: regex.Pattern, text: str | None, block: int) -> np.ndarray:
+    return np.asarray(encode_text(enc, split, text or "", block), np.int32)
+
+
+def _lists(arrays: Iterable[np.ndarray]) -> pa.ListArray:
+    arrays = list(arrays)
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def encode(
     rows: DataFrame,
     ranks: str,
@@ -95,13 +106,7 @@ def encode(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc, split = encoder(shared.value, pattern), regex.compile(pattern)
         for batch in batches:
-            lists = [
-                np.asarray(encode_text(enc, split, t.as_py() or "", block), np.int32)
-                for t in batch
-            ]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield _lists(_encoded(enc, split, t.as_py(), block) for t in batch)
 
     return rows.withColumn(ids, run(F.col(text).cast("string")))
 
@@ -129,3 +134,35 @@ def decode(
             )
 
     return rows.withColumn(out, run(F.col(ids)))
+
+
+def round_trip(
+    rows: DataFrame,
+    ranks: str,
+    text: str = "text",
+    ids: str = "ids",
+    out: str = "bytes",
+    pattern: str = public_tokenizers.PATTERN,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``rows`` with both columns of ``encode`` and ``decode``: the ids, and the bytes these ids decode to.
+
+    Both are made in one pass, so the ids go through one Python worker, not two.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+
+    @F.arrow_udf("struct<ids: array<int>, bytes: binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc, split = encoder(shared.value, pattern), regex.compile(pattern)
+        for batch in batches:
+            lists, decoded = [], []
+            for t in batch:
+                found = encode_text(enc, split, t.as_py() or "", block)
+                lists.append(np.asarray(found, np.int32))
+                decoded.append(enc.decode_bytes(found))
+            yield pa.StructArray.from_arrays(
+                [_lists(lists), pa.array(decoded, pa.binary())], names=["ids", "bytes"]
+            )
+
+    found = rows.withColumn("_bpe", run(F.col(text).cast("string")))
+    return found.withColumns({ids: F.col("_bpe.ids"), out: F.col("_bpe.bytes")}).drop("_bpe")

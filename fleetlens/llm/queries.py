@@ -51,8 +51,7 @@ def held_out(key: str) -> Column:
 
 
 def bpe_digests(rows: DataFrame, ranks: str) -> DataFrame:
-    ids = byte_bpe.encode(rows.select("doc_id", "text"), ranks)
-    return byte_bpe.decode(ids.select("doc_id", "ids"), ranks).select(
+    return byte_bpe.round_trip(rows.select("doc_id", "text"), ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

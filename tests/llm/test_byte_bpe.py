@@ -62,6 +62,17 @@ def test_tables(spark, enc):
     assert byte_bpe.encode(table.limit(0), RANKS).count() == 0
 
 
+def test_one_pass_gives_what_two_give(spark):
+    rows = [(i, t, "x") for i, t in enumerate([*TEXTS, None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, bytes string")
+    once = byte_bpe.round_trip(table, RANKS)
+    twice = byte_bpe.decode(byte_bpe.encode(table, RANKS), RANKS)
+    assert sorted(once.columns) == sorted(twice.columns)
+    names = once.columns
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.select(*names).collect()))
+    assert byte_bpe.round_trip(table.limit(0), RANKS).count() == 0
+
+
 def test_raw_bytes_need_not_be_text(spark, enc):
     ids = enc.encode_ordinary("🙂漢")
     table = spark.createDataFrame([(ids[:1],), (None,), ([],)], "ids array<int>")
