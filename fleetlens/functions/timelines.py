@@ -10,7 +10,7 @@ a null key or chunk belong to no timeline: they keep their own values and see no
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,16 +93,24 @@ def running_sums(
     )
 
 
-def sweep(
-    events: DataFrame, keys: Sequence[str], at: str, chunk: Column, sums: Sequence[str]
+def spans_where(
+    events: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    chunk: Column,
+    sums: Sequence[str],
+    inside: Callable[[Mapping[str, Column]], Column],
 ) -> DataFrame:
-    """(keys, ``at``, ``until``, sums): what is in force from each position with an event to the next one.
+    """(keys, ``at``, ``until``): the stretches on which ``inside`` holds, a test of the sums in force.
 
-    An event adds to ``sums`` from ``at`` on. Events of one position are added up before the shuffle.
-    ``until`` is null behind the last position.
+    An event adds to ``sums`` from ``at`` on; all sums begin at zero. Events of one position are added up before
+    the shuffle. Stretches that touch are one; ``until`` is null if a stretch does not end.
     """
     points = events.groupBy(*keys, at).agg(*[F.sum(c).alias(f"_d_{c}") for c in sums])
     summed = running_sums(points, keys, [at], chunk, {c: f"_d_{c}" for c in sums})
-    summed = summed.drop(*[f"_d_{c}" for c in sums])
-    followed = neighbour(summed, keys, [at], chunk, [at], "_behind")
-    return followed.withColumn("until", F.col(f"_behind.{at}")).drop("_behind")
+    now = inside({c: F.col(c) for c in sums})
+    # What held just before is known from the sums without this position's events.
+    then = inside({c: F.col(c) - F.col(f"_d_{c}") for c in sums})
+    turns = summed.select(*keys, at, now.alias("_now"), then.alias("_then")).filter("_now <> _then")
+    spans = neighbour(turns, keys, [at], chunk, [at], "_next")
+    return spans.filter("_now").select(*keys, at, F.col(f"_next.{at}").alias("until"))

@@ -1,7 +1,7 @@
 """Sets of transaction ids per source, as intervals of consecutive ids.
 
 A replica that has applied ids 1 to 1,000,000 is one row, and each gap costs one more. Union, difference and
-gaps are sweeps over the ends of intervals, and a test whether ids are in a set carries the last interval
+gaps are passes over the ends of intervals, and a test whether ids are in a set carries the last interval
 forward; a source with most of all ids is cut into chunks of ids (see ``timelines``).
 
 A set is a table (keys, low, high) of disjoint intervals that do not touch, both ends included. Rows with a null
@@ -10,13 +10,14 @@ key or id are in no set.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ranking import CHUNK, number_chunk
-from fleetlens.functions.timelines import carry_forward, neighbour, sweep
+from fleetlens.functions.timelines import carry_forward, spans_where
+from fleetlens.session import work_folder
 
 SOURCE = ("source",)
 #: Ids in a chunk.
@@ -32,19 +33,23 @@ def transaction_set(
 ) -> DataFrame:
     """The ids of ``changes`` as a set; replays count once.
 
-    Each chunk of ids is compacted for itself, so only intervals are shuffled a second time.
+    Each chunk of ids is compacted for itself, and the pieces are written below the session's folder for
+    intermediate tables, so the ids are read once and all that follows works on intervals.
     """
     ids = _known(changes.select(*keys, F.col(seq).cast("long").alias("low")), [*keys, "low"])
     ids = ids.withColumn(CHUNK, number_chunk("low", width)).distinct()
     place = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy("low"))
     islands = ids.withColumn("_island", F.col("low") - place).groupBy(*keys, CHUNK, "_island")
     pieces = islands.agg(F.min("low").alias("low"), F.max("low").alias("high"))
-    return merged(pieces.select(*keys, "low", "high"), keys, width)
+    pieces = pieces.select(*keys, "low", "high")
+    folder = work_folder(changes.sparkSession, "transactions")
+    pieces.write.parquet(folder)
+    return merged(changes.sparkSession.read.schema(pieces.schema).parquet(folder), keys, width)
 
 
 def merged(intervals: DataFrame, keys: Sequence[str] = SOURCE, width: int = WIDTH) -> DataFrame:
     """The set of all ids in ``intervals``, which may overlap and touch."""
-    return _where(_ends(intervals, keys, "held"), keys, width, ["held"], F.col("held") > 0)
+    return _where(_ends(intervals, keys, "held"), keys, width, ["held"], lambda n: n["held"] > 0)
 
 
 def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = SOURCE, width: int = WIDTH) -> DataFrame:
@@ -56,14 +61,13 @@ def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = SOURCE, width: int =
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = SOURCE, width: int = WIDTH) -> DataFrame:
     """Ids in ``a`` that are not in ``b``: what a replica with ``b`` lacks of a primary with ``a``."""
     both = _ends(a, keys, "left").unionByName(_ends(b, keys, "right"), allowMissingColumns=True)
-    return _where(both, keys, width, ["left", "right"], (F.col("left") > 0) & (F.col("right") == 0))
+    return _where(both, keys, width, ["left", "right"], lambda n: (n["left"] > 0) & (n["right"] == 0))
 
 
 def gaps(held: DataFrame, keys: Sequence[str] = SOURCE, width: int = WIDTH) -> DataFrame:
     """Intervals of ids missing between the smallest and the largest id of each key."""
-    swept = sweep(_ends(held, keys, "held"), keys, "at", number_chunk("at", width), ["held"])
-    return swept.filter("held = 0 AND until IS NOT NULL").select(
-        *keys, F.col("at").alias("low"), (F.col("until") - 1).alias("high")
+    return _where(_ends(held, keys, "held"), keys, width, ["held"], lambda n: n["held"] == 0).filter(
+        "high IS NOT NULL"
     )
 
 
@@ -101,17 +105,13 @@ def _ends(intervals: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
 
 
 def _where(
-    events: DataFrame, keys: Sequence[str], width: int, counts: Sequence[str], inside: Column
+    events: DataFrame,
+    keys: Sequence[str],
+    width: int,
+    counts: Sequence[str],
+    inside: Callable[[Mapping[str, Column]], Column],
 ) -> DataFrame:
-    """Intervals on which ``inside`` holds, neighbouring pieces joined."""
+    """Intervals of ids on which ``inside`` holds."""
     chunk = number_chunk("at", width)
-    swept = sweep(events.fillna(0, list(counts)), keys, "at", chunk, counts)
-    marked = neighbour(
-        swept.select(*keys, "at", inside.alias("in")), keys, ["at"], chunk, ["in"], "_before", before=True
-    )
-    # An interval begins where the answer turns to yes and ends before it next turns.
-    turns = marked.filter(F.col("in") != F.coalesce(F.col("_before.in"), F.lit(False)))
-    spans = neighbour(turns, keys, ["at"], chunk, ["at"], "_next")
-    return spans.filter("in").select(
-        *keys, F.col("at").alias("low"), (F.col("_next.at") - 1).alias("high")
-    )
+    spans = spans_where(events.fillna(0, list(counts)), keys, "at", chunk, counts, inside)
+    return spans.select(*keys, F.col("at").alias("low"), (F.col("until") - 1).alias("high"))

@@ -7,14 +7,21 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens import fixed_values as fv
 from fleetlens.operators import changes as batch_changes
 from fleetlens.plans.registry import query
 from fleetlens.plans.run_queries import APPLIED, CHANGES, HORIZON, POLLS, READINESS
 from fleetlens.plans.status_queries import LATEST
 from fleetlens.plans.views import Fleet
 from fleetlens.session import work_folder
-from fleetlens.streaming.changes import SnapshotSink, stream_dedup_changes
-from fleetlens.streaming.health import HealthSink, ReadinessSink, finished_chunks
+from fleetlens.streaming.changes import AppliedSink, SnapshotSink, stream_dedup_changes
+from fleetlens.streaming.health import (
+    HealthSink,
+    ReadinessSink,
+    finished_chunks,
+    first_good_poll,
+    stream_good_polls,
+)
 from fleetlens.streaming.status import CurrentStatusSink, stream_latest_status
 
 DELAY = "1 hour"
@@ -179,3 +186,71 @@ def apply(f: Fleet) -> DataFrame:
     sink = SnapshotSink(f"{folder}/versions", f.v_base, "node_id")
     last = in_pieces(f, rows, folder, lambda s: run_batches(s, sink, folder))
     return batch_changes.live_rows(sink.snapshot(f.spark, last))
+
+
+@query(
+    "ss3_stream_ready_in_time",
+    f"""
+    SELECT s.node_id, s.start_id, s.ts, min(p.ts) IS NOT NULL AS ready, min(p.ts) AS ready_ts,
+           CASE WHEN min(p.ts) IS NOT NULL THEN '{fv.POLL_MESSAGES["start"][0]}'
+                ELSE '{fv.POLL_MESSAGES["start"][1]}' END AS message
+    FROM {{v_start}} AS s
+    LEFT JOIN {{v_poll}} AS p ON p.node_id = s.node_id AND p.ok AND p.ts > s.ts
+                             AND p.ts <= s.ts + INTERVAL {HORIZON} SECOND
+    GROUP BY s.node_id, s.start_id, s.ts""",
+)
+def ready_in_time(f: Fleet) -> DataFrame:
+    """Readiness bounded by time only, from a join of two streams."""
+    folder = work_folder(f.spark, "ready-in-time")
+    rows = f.events.select(
+        F.col("user_id").alias("node_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("start_id"),
+        (F.col("event_type") == "signup").alias("is_start"),
+        (F.col("event_type") == "view").alias("ok"),
+    )
+
+    def run(stream: DataFrame) -> int:
+        starts = stream.filter("is_start OR node_id IS NULL").select("node_id", "start_id", "ts")
+        polls = stream.select("node_id", "ts", "ok")
+        written = (
+            stream_good_polls(starts, polls, DELAY, HORIZON)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{folder}/met")
+        )
+        written.awaitTermination()
+        return -1
+
+    in_pieces(f, rows, folder, run, end=True)
+    met = f.spark.read.schema("node_id long, start_id long, ts timestamp, poll_ts timestamp").parquet(
+        f"{folder}/met"
+    )
+    return first_good_poll(met).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("ts", "ready_ts")}
+    )
+
+
+@query(
+    "ss4_stream_applied_sets",
+    "SELECT DISTINCT source, seq, true AS is_input_row FROM {v_replayed}",
+)
+def applied_sets(f: Fleet) -> DataFrame:
+    """Each change once, with intervals of ids for state; each must be a whole row of the input."""
+    folder = work_folder(f.spark, "applied")
+    rows = f.lineitem.select(
+        F.col("l_linenumber").alias("source"),
+        F.col("l_orderkey").alias("seq"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        "l_partkey",
+        "l_quantity",
+    )
+    kind = rows.schema["source"].dataType.simpleString()
+    sink = AppliedSink(f"{folder}/sink", f"source {kind}")
+    in_pieces(f, rows, folder, lambda s: run_batches(s, sink, folder))
+    kept = f.spark.read.schema(rows.schema).parquet(f"{folder}/sink/rows/batch=*")
+    given = rows.distinct().withColumn("is_input_row", F.lit(True))
+    return kept.join(given, rows.columns, "left").select(
+        "source", "seq", F.coalesce("is_input_row", F.lit(False)).alias("is_input_row")
+    )

@@ -14,14 +14,25 @@ from fleetlens.functions.ranking import number_chunk
 from fleetlens.operators.nodes import node_defaults
 
 
+def _last_wins(pairs: Column) -> Column:
+    """A map whose keys come once: of repeated keys the last value stays, as in the managed tool."""
+    keys = F.map_keys(pairs)
+    entries = F.filter(
+        F.map_entries(pairs),
+        lambda e, i: i + F.array_position(F.reverse(keys), e["key"]) == F.size(keys),
+    )
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(entries)).otherwise(pairs)
+
+
 def _parsed(text: Column) -> Column:
-    """Struct of the text and a map of its keys to their values as text; null for no JSON object.
+    """Array of one struct: the text, and a map of its keys to their values as text; null for no JSON object.
 
     Presence, unknown keys and values all come from that one map. It is exploded, not projected:
     filters are not pushed below an explode, so each text is parsed once however many columns
     and filters use it.
     """
-    return F.struct(text.alias("_text"), F.from_json(text, "map<string,string>").alias("_d"))
+    parsed = F.array(F.from_json(text, "map<string,string>"))
+    return F.transform(parsed, lambda d: F.struct(text.alias("_text"), _last_wins(d).alias("_d")))
 
 
 def _secret_hash(secret: Column, salt: str) -> Column:
@@ -44,7 +55,7 @@ def decode_documents(raw: DataFrame, engine: str, salt: str, network: str) -> Da
     primary gives none, missing secondaries give an empty list. ``reject_reason`` is set for text
     that is no JSON object and for secondaries that are null or no list.
     """
-    parsed = raw.select("cluster_id", F.inline(F.array(_parsed(F.col("doc")))))
+    parsed = raw.select("cluster_id", F.inline(_parsed(F.col("doc"))))
     defaults = fv.document_defaults(engine, network)
 
     def present(key: str) -> Column:
@@ -90,8 +101,8 @@ def load_cluster_docs(
 def check_nodes(docs: DataFrame, salt: str, network: str) -> DataFrame:
     """All node records of decoded documents, with a ``reject_reason`` for the bad ones.
 
-    ``pos`` is 0 for the primary and counts the secondaries from 1. To store good and bad rows
-    from one pass, write this table partitioned by the reason.
+    ``pos`` is 0 for the primary and counts the secondaries from 1. ``store_nodes`` keeps good and bad
+    rows from one pass.
     """
     listed = (
         docs.filter(F.col("reject_reason").isNull())
@@ -103,7 +114,7 @@ def check_nodes(docs: DataFrame, salt: str, network: str) -> DataFrame:
         )
         .filter((F.col("pos") > 0) | F.col("node_json").isNotNull())
         .select(
-            "cluster_id", "pos", F.inline(F.array(_parsed(F.col("node_json"))))
+            "cluster_id", "pos", F.inline(_parsed(F.col("node_json")))
         )
         .withColumnsRenamed({"_text": "node_json", "_d": "_n"})
         .withColumn("_keys", F.map_keys("_n"))
@@ -166,6 +177,20 @@ def decode_nodes(docs: DataFrame, salt: str, network: str) -> tuple[DataFrame, D
     return good, rejected.select("cluster_id", "pos", "node_json", "reject_reason")
 
 
+def store_nodes(docs: DataFrame, path: str, salt: str, network: str) -> tuple[DataFrame, DataFrame]:
+    """Write the nodes of decoded documents below ``path`` and read them back as ``decode_nodes`` does.
+
+    Documents are scanned and parsed once; good and rejected rows lie in folders of their own.
+    """
+    bad = F.col("reject_reason").isNotNull()
+    checked = node_defaults(check_nodes(docs, salt, network)).drop("effective_server_id")
+    checked.withColumn("rejected", bad).write.partitionBy("rejected").parquet(path)
+    stored = docs.sparkSession.read.schema(checked.schema.add("rejected", "boolean")).parquet(path)
+    good = stored.filter(~F.col("rejected")).drop("node_json", "reject_reason", "rejected")
+    rejected = stored.filter("rejected").select("cluster_id", "pos", "node_json", "reject_reason")
+    return good, rejected
+
+
 def encode_cluster_docs(clusters: DataFrame, nodes: DataFrame, width: int = 4096) -> DataFrame:
     """One JSON text per cluster with its nodes in order and nulls written out.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.changes import apply_changes, as_snapshot, latest_changes
-from fleetlens.streaming.versions import VersionedTable
+from fleetlens.operators import transactions
+from fleetlens.operators.changes import apply_changes, as_snapshot, dedup_changes, latest_changes
+from fleetlens.streaming.versions import BucketedTable, VersionedTable
 
 
 def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 1) -> DataFrame:
@@ -28,50 +29,57 @@ def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 1) -> Data
 class SnapshotSink:
     """``foreachBatch`` sink that keeps a table current from a stream of changes.
 
-    The latest change per key lies in ``buckets`` buckets by key. A batch writes new versions of the
-    buckets that its changes fall into, and a small index names the version of each bucket; the base
-    stays as it is and ``snapshot`` merges both. A batch that runs again starts from the same index
-    and overwrites its own version, so nothing is applied twice.
-
-    Outdated versions stay until ``fold``: it writes the snapshot as a table, from which a new
+    The latest change per key lies in a ``BucketedTable``; the base stays as it is and ``snapshot`` merges
+    both. Outdated versions stay until ``fold``: it writes the snapshot as a table, from which a new
     sink with a new path and checkpoint goes on; ``last_seq`` keeps replayed changes harmless.
     """
 
     def __init__(self, path: str, base: DataFrame, *keys: str, buckets: int = 64):
         self.base = base if "last_seq" in base.columns else as_snapshot(base)
-        self.path, self.keys, self.buckets = path, keys, buckets
+        self.path, self.keys = path, keys
         fields = [f for f in self.base.schema if f.name not in ("last_seq", "deleted")]
-        self.schema = T.StructType(fields).add("seq", "long").add("op", "string")
-        self.index = VersionedTable(f"{path}/index", "bucket int, version long")
-
-    def _delta(self, spark: SparkSession, index: DataFrame) -> DataFrame:
-        """The rows of the bucket versions in ``index``, which has a row per bucket at most."""
-        if index.isEmpty():
-            return spark.createDataFrame([], T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())]))
-        stored = T.StructType([*self.schema]).add("version", "long").add("bucket", "integer")
-        rows = spark.read.schema(stored).parquet(f"{self.path}/delta")
-        return rows.join(F.broadcast(index), ["bucket", "version"]).drop("version")
+        schema = T.StructType(fields).add("seq", "long").add("op", "string")
+        self.delta = BucketedTable(path, schema, keys, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
-        changes = batch.select(*self.schema.names, bucket)
-        index = self.index.read(spark, batch_id - 1)
-        touched = changes.select("bucket").distinct()
-        before = self._delta(spark, index.join(touched, "bucket", "left_semi"))
-        latest = latest_changes(before.unionByName(changes), *self.keys)
-        latest.write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/delta/version={batch_id}"
+        self.delta.update(
+            batch_id, batch, lambda old, new: latest_changes(old.unionByName(new), *self.keys)
         )
-        now = touched.withColumn("version", F.lit(batch_id).cast("long"))
-        self.index.write(batch_id, index.join(touched, "bucket", "left_anti").unionByName(now))
 
     def snapshot(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The table after batch ``batch_id``, with tombstones."""
-        delta = self._delta(spark, self.index.read(spark, batch_id)).drop("bucket")
-        return apply_changes(self.base, delta, *self.keys)
+        return apply_changes(self.base, self.delta.read(spark, batch_id), *self.keys)
 
     def fold(self, spark: SparkSession, batch_id: int, target: str) -> DataFrame:
         """Write the snapshot after batch ``batch_id`` to ``target`` as the base of a new sink."""
         self.snapshot(spark, batch_id).write.parquet(target)
         return spark.read.parquet(target)
+
+
+class AppliedSink:
+    """``foreachBatch`` sink that passes each change once, however late a replay comes.
+
+    What was passed is kept as intervals of ids per source, not id by id: state grows with the gaps, not with
+    the history, and needs no delay after which replays would pass again. New rows go to ``{path}/rows``;
+    ``applied`` and ``gaps`` tell what a source has sent and what is missing in between.
+    """
+
+    def __init__(self, path: str, source: str = "source int", width: int = transactions.WIDTH):
+        self.path, self.keys, self.width = path, [f.split()[0] for f in source.split(",")], width
+        self.sets = VersionedTable(f"{path}/applied", f"{source}, low long, high long")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        known = self.sets.read(batch.sparkSession, batch_id - 1)
+        once = dedup_changes(held, [*self.keys, "seq"])
+        fresh = transactions.contains(once, known, self.keys, width=self.width).filter("NOT applied")
+        fresh.drop("applied").write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        seen = transactions.transaction_set(held, self.keys, width=self.width)
+        self.sets.write(batch_id, transactions.union(known, seen, self.keys, self.width))
+        held.unpersist()
+
+    def applied(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return self.sets.read(spark, batch_id)
+
+    def gaps(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return transactions.gaps(self.applied(spark, batch_id), self.keys, self.width)

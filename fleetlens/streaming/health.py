@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import time_chunk
+from fleetlens.functions.scalars import is_true
 from fleetlens.operators.probes import NODE, changes_of_health, readiness, with_streaks
-from fleetlens.streaming.versions import VersionedTable
+from fleetlens.streaming.versions import BucketedTable, VersionedTable
 
 NODE_SCHEMA = "node_id long"
 
@@ -35,17 +36,23 @@ def _names(node: str) -> list[str]:
 
 
 def finished_chunks(
-    rows: DataFrame, delay: str, chunk_seconds: int = 3600, keys: Sequence[str] = NODE
+    rows: DataFrame,
+    delay: str,
+    chunk_seconds: int = 3600,
+    keys: Sequence[str] = NODE,
+    pieces: int = 32,
 ) -> DataFrame:
-    """One row per (node, time chunk) that the watermark has passed, with the chunk's ``rows``.
+    """Rows of each (node, time chunk) that the watermark has passed, as ``pieces`` rows at most.
 
-    Run it in append mode. A chunk is one row, so ``chunk_seconds`` bounds its size; rows without a
-    time belong to no chunk.
+    Run it in append mode. Rows of a chunk are dealt to its pieces by a hash of ``seq``, and all pieces of a chunk
+    come out together, so a burst of one node is spread over as many rows of Spark's state and as
+    many tasks. Rows without a time belong to no chunk.
     """
     payload = [c for c in rows.columns if c not in keys]
+    piece = F.pmod(F.xxhash64("seq"), F.lit(pieces)).alias("_piece")
     return (
         rows.withWatermark("ts", delay)
-        .groupBy(*keys, F.window("ts", f"{chunk_seconds} seconds").alias("_chunk"))
+        .groupBy(*keys, F.window("ts", f"{chunk_seconds} seconds").alias("_chunk"), piece)
         .agg(F.collect_list(F.struct(*payload)).alias("rows"))
         .select(*keys, F.col("_chunk.end").alias("until"), "rows")
     )
@@ -71,12 +78,13 @@ class HealthSink:
     ):
         self.path, self.retries, self.chunk_seconds = path, retries, chunk_seconds
         self.keys = _names(node)
-        self.state = VersionedTable(f"{path}/state", f"{node}, streak long, oks long")
+        self.state = BucketedTable(f"{path}/state", f"{node}, streak long, oks long", self.keys)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, spark = self.keys, batch.sparkSession
-        final = _opened(batch, keys)
-        carry = self.state.read(spark, batch_id - 1)
+        final = _opened(batch, keys).persist()
+        # Only nodes with finished chunks go on from what was carried.
+        carry = self.state.read(spark, batch_id - 1).join(final.select(*keys).distinct(), keys, "left_semi")
         chunk = time_chunk(final, "ts", self.chunk_seconds)
         marked = with_streaks(final, chunk, carry, keys).persist()
         changes_of_health(marked, self.retries, keys).write.mode("overwrite").parquet(
@@ -88,8 +96,9 @@ class HealthSink:
             F.col("_l.streak").cast("long").alias("streak"),
             (F.col("_l.oks_before") + F.col("_l.ok").cast("int")).alias("oks"),
         )
-        self.state.write(batch_id, carry.join(last, keys, "left_anti").unionByName(last))
+        self.state.replace(batch_id, last)
         marked.unpersist()
+        final.unpersist()
 
 
 class ReadinessSink:
@@ -115,12 +124,14 @@ class ReadinessSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        held = batch.persist()
         # Append mode gives out all chunks up to the watermark, so all rows before the end of any
         # chunk seen are final.
-        clock = self.clock.read(spark, batch_id - 1).unionByName(batch.select("until"))
+        clock = self.clock.read(spark, batch_id - 1).unionByName(held.select("until"))
         self.clock.write(batch_id, clock.agg(F.max("until").alias("until")))
         until = self.clock.read(spark, batch_id).first().until
-        self._settle(_opened(batch, self.keys), batch_id, until)
+        self._settle(_opened(held, self.keys), batch_id, until)
+        held.unpersist()
 
     def flush(self, spark: SparkSession, last_batch_id: int) -> None:
         """End of input: what is still open is settled in a batch of its own."""
@@ -148,3 +159,41 @@ class ReadinessSink:
         if until is not None:
             polls = polls.filter(F.col("ts") + horizon >= F.lit(until))
         self.rows.write(batch_id, still_open.unionByName(polls))
+
+
+def stream_good_polls(
+    starts: DataFrame,
+    polls: DataFrame,
+    delay: str,
+    horizon_seconds: int = fv.READY_HORIZON_SECONDS,
+    keys: Sequence[str] = NODE,
+) -> DataFrame:
+    """(keys, start_id, ts, poll_ts) of each start and good poll after it within the horizon, or one null.
+
+    A left outer join of two streams by time: ``starts`` (keys, start_id, ts) and ``polls`` (keys, ts, ok). Both
+    have a watermark of ``delay``; a start without a good poll comes out when both have passed its horizon,
+    and Spark drops what neither needs any more. Run it in append mode. ``first_good_poll``
+    settles the starts. A row with a null key moves the watermark of both sides.
+    """
+    clock = F.col(keys[0]).isNull()
+    # Keys are compared as a struct: Spark would drop null keys below the watermark, and clock rows with them.
+    left = starts.withWatermark("ts", delay).withColumn("_key", F.struct(*keys))
+    right = (
+        polls.filter(is_true(F.col("ok")) | clock)
+        .select(F.struct(*keys).alias("_poll_key"), F.col("ts").alias("poll_ts"))
+        .withWatermark("poll_ts", delay)
+    )
+    near = (
+        (F.col("_key") == F.col("_poll_key"))
+        & (F.col("poll_ts") > F.col("ts"))
+        & (F.col("poll_ts") <= F.col("ts") + F.expr(f"INTERVAL {horizon_seconds} SECONDS"))
+    )
+    return left.join(right, near, "left_outer").select(*keys, "start_id", "ts", "poll_ts")
+
+
+def first_good_poll(met: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
+    """(keys, start_id, ts, ready, ready_ts, message) of each start in ``met``, as ``stream_good_polls`` gives it."""
+    seen, not_seen = fv.POLL_MESSAGES["start"]
+    found = met.dropna(subset=[*keys]).groupBy(*keys, "start_id", "ts").agg(F.min("poll_ts").alias("ready_ts"))
+    ready = F.col("ready_ts").isNotNull()
+    return found.withColumns({"ready": ready, "message": F.when(ready, seen).otherwise(not_seen)})

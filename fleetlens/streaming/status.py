@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.streaming.versions import VersionedTable
+from fleetlens.streaming.versions import BucketedTable
 
 
 def stream_latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
@@ -22,17 +22,16 @@ def stream_latest_status(reports: DataFrame, keys: Sequence[str] = ("node_id",))
 
 
 class CurrentStatusSink:
-    """``foreachBatch`` sink that keeps one current row per node from the stream in update mode."""
+    """``foreachBatch`` sink that keeps one current row per node from the stream in update mode.
 
-    def __init__(self, path: str, schema: str, keys: Sequence[str] = ("node_id",)):
-        self.table = VersionedTable(path, schema)
-        self.keys = list(keys)
+    A batch writes only the buckets of the nodes that it reports.
+    """
+
+    def __init__(self, path: str, schema: str, keys: Sequence[str] = ("node_id",), buckets: int = 64):
+        self.table = BucketedTable(path, schema, keys, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, columns = batch.sparkSession, batch.columns
-        before = self.table.read(spark, batch_id - 1).select(*columns)
-        kept = before.join(batch, self.keys, "left_anti")
-        self.table.write(batch_id, kept.unionByName(batch))
+        self.table.replace(batch_id, batch)
 
     def current(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return self.table.read(spark, batch_id)

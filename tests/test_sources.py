@@ -228,3 +228,34 @@ def test_status_tree(spark):
     assert one["secondaries"]["total_nodes"] == 4 and one["secondaries"]["remote"][0]["mysql_version"] == 'v"8'
     assert one["primary"]["node_type"] == "local_binary" and two["cluster"] is None
     assert three == {"cluster_name": None, "primary": None, "secondaries": {"docker": [], "remote": [], "total_nodes": 0}, "cluster": None}
+
+
+def test_the_last_of_repeated_keys_wins(spark):
+    text = '{"cluster_name":"a","cluster_name":"b","mysql_version":"1","mysql_version":null,"secondaries":[]}'
+    row = decode(spark, text).first()
+    assert row["cluster_name"] == "b" and row["mysql_version"] is None and row["reject_reason"] is None
+    node = '{"node_id":2,"hostname":"x","role":"secondary","node_type":"cloud","node_type":"remote_machine","port":1,"port":2}'
+    good, rejected = documents.decode_nodes(decode(spark, '{"secondaries":[%s]}' % node), SALT, NETWORK)
+    assert rejected.count() == 0 and good.first()["port"] == 2
+    # Three times one key, and a repeated key between others.
+    many = decode(spark, '{"base_dir":"1","cluster_name":"x","base_dir":"2","mysql_version":"v","base_dir":"3"}').first()
+    assert (many["base_dir"], many["cluster_name"], many["mysql_version"]) == ("3", "x", "v")
+
+
+def test_good_and_rejected_nodes_are_stored_in_one_pass(spark, tmp_path):
+    node = {"node_id": 2, "hostname": "h", "role": "secondary", "node_type": "remote_machine"}
+    texts = [json.dumps({"secondaries": [node, {**node, "role": "x"}, {**node, "zone": 1}]}), "no json", "{}"]
+    raw = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "cluster_id string, doc string")
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    docs = documents.decode_documents(raw.mapInArrow(counted, raw.schema), ENGINE, SALT, NETWORK)
+    good, rejected = documents.store_nodes(docs, str(tmp_path / "nodes"), SALT, NETWORK)
+    plain = documents.decode_nodes(documents.decode_documents(raw, ENGINE, SALT, NETWORK), SALT, NETWORK)
+    assert sorted(map(tuple, good.select(*plain[0].columns).collect()), key=str) == sorted(map(tuple, plain[0].collect()), key=str)
+    assert sorted(map(tuple, rejected.collect())) == sorted(map(tuple, plain[1].collect())) and rejected.count() == 2
+    assert scans.value == 3

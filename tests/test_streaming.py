@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import changes, probes, status
 from fleetlens.sources import logs
-from fleetlens.streaming.changes import SnapshotSink, stream_dedup_changes
+from fleetlens.streaming.changes import AppliedSink, SnapshotSink, stream_dedup_changes
 from fleetlens.streaming.health import (
     HealthSink,
     ReadinessSink,
     finished_chunks,
+    first_good_poll,
     probe_schema,
+    stream_good_polls,
     timeline_schema,
 )
 from fleetlens.streaming.status import CurrentStatusSink, stream_latest_status
@@ -149,6 +151,12 @@ def test_current_status_ignores_late_reports(spark, tmp_path):
     assert rows_of(current) == rows_of(expected)
     sink(spark.createDataFrame(rows[:0], PROBE_SCHEMA), last + 1)
     assert rows_of(sink.current(spark, last + 1)) == rows_of(expected)
+    # One node's report rewrites one bucket.
+    sink(spark.createDataFrame([(3, START + timedelta(days=9), 9_999, True)], PROBE_SCHEMA), last + 2)
+    written = spark.read.parquet(f"{folder}/current/rows")
+    assert written.filter(F.col("version") == last + 2).select("bucket").distinct().count() == 1
+    newest = {r["node_id"]: r["seq"] for r in sink.current(spark, last + 2).collect()}
+    assert newest[3] == 9_999 and len(newest) == expected.count()
 
 
 @pytest.mark.parametrize("salts", [1, 4])
@@ -195,7 +203,7 @@ def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
         sink(batch, i)
         sink(batch, i)
     assert live(sink.snapshot(spark, 3)) == replay(base, rows)
-    written = spark.read.parquet(str(tmp_path / "delta")).groupBy("version").agg(F.countDistinct("bucket"))
+    written = spark.read.parquet(str(tmp_path / "rows")).groupBy("version").agg(F.countDistinct("bucket"))
     counts = dict(tuple(r) for r in written.collect())
     assert counts[1] == 1 < counts[0]
 
@@ -214,3 +222,63 @@ def test_log_stream(spark, tmp_path):
     query.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("parsed")).collect()
     assert [(r.level, r.message) for r in rows] == [("ERROR", "bad"), (None, "noise")]
+
+
+def test_a_burst_of_one_node_is_dealt_to_many_state_rows(spark, tmp_path):
+    """A third of all rows come from one node in one hour; no state row holds a large part of them."""
+    rows = [(1 if i % 3 == 0 else i + 10, START + timedelta(seconds=i % 3000), i, i % 5 > 0) for i in range(6000)]
+    stream = write_files(spark, rows + [end_of_input(None)], PROBE_SCHEMA, str(tmp_path / "in"), 1)
+    held = []
+
+    def sink(batch, batch_id):
+        held.extend(r["n"] for r in batch.filter("node_id = 1").selectExpr("size(rows) AS n").collect())
+
+    run(finished_chunks(stream, LAG, 3600), sink, str(tmp_path))
+    assert sum(held) == 2000 and len(held) == 32 and max(held) < 120
+    again = write_files(spark, rows + [end_of_input(None)], PROBE_SCHEMA, str(tmp_path / "in2"), 1)
+    folder = str(tmp_path / "out")
+    run(finished_chunks(again, LAG, 3600), HealthSink(folder), folder)
+    got = spark.read.schema(CHANGES_SCHEMA).parquet(f"{folder}/changes/batch=*")
+    expected = probes.health_changes(spark.createDataFrame(rows, PROBE_SCHEMA))
+    assert rows_of(got) == rows_of(expected)
+
+
+def test_applied_sets_pass_each_change_once_however_late(spark, tmp_path):
+    seeded = random.Random(9)
+    kind = "source int, seq long, note string"
+    sent = [(seeded.choice([1, 1, 1, 2]), seeded.randrange(400), "n") for _ in range(500)]
+    sink = AppliedSink(str(tmp_path), width=64)
+    batches = [sent[:200], sent[200:], sent[:50], [], [(2, 10**9, "far"), (None, 1, "no source"), (1, None, "no id")]]
+    for i, part in enumerate(batches):
+        batch = spark.createDataFrame(part, kind)
+        sink(batch, i)
+        sink(batch, i)
+    got = [(r["source"], r["seq"]) for r in spark.read.schema(kind).parquet(f"{tmp_path}/rows/batch=*").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, {r[:2] for part in batches for r in part}))
+    held = {(r["source"], i) for r in sink.applied(spark, 4).collect() for i in range(r["low"], r["high"] + 1)}
+    assert held == {r[:2] for part in batches for r in part if None not in r[:2]}
+    holes = {(r["source"], i) for r in sink.gaps(spark, 4).filter("high < 1000").collect() for i in range(r["low"], r["high"] + 1)}
+    assert not holes & held and all(any((s, j) in held for j in range(i)) for s, i in holes)
+
+
+def test_readiness_by_time_only(spark, tmp_path):
+    rows = [(n, ts, seq, seq % 7 == 0, ok) for n, ts, seq, ok in timeline(10, 700)]
+    stream = write_files(spark, rows, TIMELINE_SCHEMA, str(tmp_path / "in"), 4)
+    spark.createDataFrame([end_of_input(None, None)], TIMELINE_SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    starts = stream.filter("is_start OR node_id IS NULL").withColumnRenamed("seq", "start_id")
+    polls = stream.filter("NOT is_start OR node_id IS NULL").select("node_id", "ts", "ok")
+    query = (
+        stream_good_polls(starts, polls, LAG, 60)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    got = first_good_poll(spark.read.parquet(str(tmp_path / "out"))).select("node_id", "start_id", "ready_ts")
+    expected = []
+    for n, ts, seq, start, _ in rows:
+        if start:
+            good = [t for m, t, _, s, ok in rows if m == n and not s and ok and ts < t <= ts + timedelta(seconds=60)]
+            expected.append((n, seq, min(good, default=None)))
+    assert rows_of(got) == sorted(expected, key=str) and any(x[2] is None for x in expected)
