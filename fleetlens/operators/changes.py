@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _sums(rows: DataFrame) -> list[Column]:
+def row_hash(rows: DataFrame) -> Column:
+    """A 64-bit hash of a whole row."""
     # A hash skips nulls, so where they are is hashed with the values; nested values as text.
     nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
     values = [
@@ -18,7 +19,11 @@ def _sums(rows: DataFrame) -> list[Column]:
         else F.col(f.name)
         for f in rows.schema
     ]
-    digest = F.xxhash64(*values, *[F.col(c).isNull() for c in rows.columns])
+    return F.xxhash64(*values, *[F.col(c).isNull() for c in rows.columns])
+
+
+def _sums(rows: DataFrame) -> list[Column]:
+    digest = row_hash(rows)
     return [
         F.count(F.lit(1)).alias("row_count"),
         F.bit_xor(digest).alias("hash_xor"),

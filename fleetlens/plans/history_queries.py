@@ -1,13 +1,14 @@
-"""Queries on transaction sets and on histories of status and settings."""
+"""Queries on transaction sets, hash trees and histories of status and settings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators import history, transactions
+from fleetlens.operators import hash_tree, history, transactions
 from fleetlens.plans.registry import query
 from fleetlens.plans.views import Fleet
+from fleetlens.session import work_folder
 
 # Islands of consecutive ids in plain SQL.
 ISLANDS = """
@@ -193,3 +194,63 @@ DRIFT_SIDES = {
 def drift_periods(f: Fleet) -> DataFrame:
     sides = [f.spark.sql(DRIFT_SIDES[name], events=f.events) for name in ("wanted", "found")]
     return history.drift_periods(*sides)
+
+
+# A copy of orders with lost and altered rows; the remainders only vary the content.
+REPLICA = """
+    SELECT o_orderkey, o_custkey,
+           CASE WHEN o_custkey % 499 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+           o_totalprice, o_orderdate, o_orderpriority
+    FROM {orders} AS o WHERE o_orderkey % 997 <> 5"""
+ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} AS o"
+# Each level costs a pass, so the tree is low and wide; its top may have several nodes.
+RANGE, FANOUT, HEIGHT = 64, 256, 2
+
+
+def _both_sides(f: Fleet) -> tuple[DataFrame, DataFrame]:
+    return f.spark.sql(ORDERS, orders=f.orders), f.spark.sql(REPLICA, orders=f.orders)
+
+
+@query(
+    "rp1_differing_ranges",
+    f"""
+    WITH a AS ({ORDERS}), b AS ({REPLICA}),
+    d AS ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+    n AS (SELECT DISTINCT CAST(floor(o_orderkey / {RANGE}) AS BIGINT) AS node FROM d)
+    SELECT node * {RANGE} AS low, node * {RANGE} + {RANGE - 1} AS high,
+           (SELECT count(*) FROM a WHERE o_orderkey BETWEEN node * {RANGE} AND node * {RANGE} + {RANGE - 1})
+             AS source_rows,
+           (SELECT count(*) FROM b WHERE o_orderkey BETWEEN node * {RANGE} AND node * {RANGE} + {RANGE - 1})
+             AS copy_rows
+    FROM n""",
+)
+def differing_ranges(f: Fleet) -> DataFrame:
+    """Key ranges in which a copy differs from its source, found from the roots of two stored trees."""
+    trees = [
+        hash_tree.store_tree(
+            hash_tree.grow(hash_tree.leaf_hashes(rows, "o_orderkey", RANGE), FANOUT, HEIGHT),
+            work_folder(f.spark, "tree"),
+        )
+        for rows in _both_sides(f)
+    ]
+    return hash_tree.differing_ranges(*trees, FANOUT, HEIGHT).select(
+        (F.col("node") * RANGE).alias("low"),
+        (F.col("node") * RANGE + (RANGE - 1)).alias("high"),
+        F.col("left_rows").alias("source_rows"),
+        F.col("right_rows").alias("copy_rows"),
+    )
+
+
+# A folder per range, so the ranges of a copy are larger than the leaves that are only compared.
+COPY_RANGES = 32
+
+
+@query("rp1_repaired_copy", ORDERS)
+def repaired_copy(f: Fleet) -> DataFrame:
+    """A copy with lost and altered rows, after its differing ranges were copied anew."""
+    source, replica = _both_sides(f)
+    width = (f.orders.agg(F.max("o_orderkey")).first()[0] or 0) // COPY_RANGES + 1
+    copy = hash_tree.RangedCopy(work_folder(f.spark, "ranged"), replica.schema, "o_orderkey", width)
+    for rows in (replica, source):
+        copy.update(rows, hash_tree.leaf_hashes(rows, "o_orderkey", width))
+    return copy.read(f.spark)
