@@ -209,9 +209,10 @@ class RangedCopy:
         version = (self._listed(spark).agg(F.max("version")).first()[0] or 0) + 1
         folder = f"{self.path}/rows/_version={version}"
         node = floor_div(F.col(self.key), self.width)
+        # Rows of a range come together, and Spark splits a range that is far larger than others.
         in_ranges(source.select(*self.schema.names), self.key, self.width, todo).withColumn(
             "_part", self._part(node)
-        ).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(folder)
+        ).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(folder)
         back = self._stored(spark).filter(F.col("_version") == version).select(*self.schema.names)
         written = leaf_hashes(back, self.key, self.width)
         same = F.col("node").eqNullSafe(F.col("_node"))
