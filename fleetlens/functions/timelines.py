@@ -88,8 +88,9 @@ def running_sums(
     )
     found = chunked.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
     joined = found.join(before, [*keys, CHUNK], "left")
+    own = [] if CHUNK in rows.columns else [CHUNK]
     return joined.withColumns({n: F.col(n) + F.coalesce(f"_in_{n}", F.lit(0)) for n in sums}).drop(
-        CHUNK, *[f"_in_{n}" for n in sums]
+        *own, *[f"_in_{n}" for n in sums]
     )
 
 
@@ -100,17 +101,28 @@ def spans_where(
     chunk: Column,
     sums: Sequence[str],
     inside: Callable[[Mapping[str, Column]], Column],
+    tasks: int | None = None,
 ) -> DataFrame:
     """(keys, ``at``, ``until``): the stretches on which ``inside`` holds, a test of the sums in force.
 
     An event adds to ``sums`` from ``at`` on; all sums begin at zero. Events of one position are added up before
     the shuffle. Stretches that touch are one; ``until`` is null if a stretch does not end.
+
+    With ``tasks`` the chunks are dealt to that many tasks at once, whatever the session's settings; no position
+    may then have very many events.
     """
-    points = events.groupBy(*keys, at).agg(*[F.sum(c).alias(f"_d_{c}") for c in sums])
+    added, kept = [F.sum(c).alias(f"_d_{c}") for c in sums], []
+    if tasks:
+        dealt = events.withColumn(CHUNK, chunk).repartition(tasks, *keys, CHUNK)
+        points, chunk, kept = dealt.groupBy(*keys, CHUNK, at).agg(*added), F.col(CHUNK), [CHUNK]
+    else:
+        points = events.groupBy(*keys, at).agg(*added)
     summed = running_sums(points, keys, [at], chunk, {c: f"_d_{c}" for c in sums})
     now = inside({c: F.col(c) for c in sums})
     # What held just before is known from the sums without this position's events.
     then = inside({c: F.col(c) - F.col(f"_d_{c}") for c in sums})
-    turns = summed.select(*keys, at, now.alias("_now"), then.alias("_then")).filter("_now <> _then")
+    turns = summed.select(*keys, at, *kept, now.alias("_now"), then.alias("_then")).filter("_now <> _then")
+    if tasks:
+        turns = turns.repartition(tasks, *keys, CHUNK)
     spans = neighbour(turns, keys, [at], chunk, [at], "_next")
     return spans.filter("_now").select(*keys, at, F.col(f"_next.{at}").alias("until"))

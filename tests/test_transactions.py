@@ -81,3 +81,25 @@ def test_a_source_with_most_ids_is_cut(spark):
     assert sorted((r.low, r.high) for r in held.collect())[:2] == [(0, 4), (6, 100_004)]
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert "_chunk" in plan
+
+
+def test_no_task_holds_more_as_a_table_grows(spark, monkeypatch):
+    """Tasks follow the rows, not the session's number of shuffle partitions (8 here)."""
+    monkeypatch.setattr(tx, "TASK_ROWS", 500)
+    table = spark.range(40_000).select(F.lit(1).alias("source"), (F.col("id") * 2).alias("seq"))
+    every = tx.transaction_set(table, width=64)
+    for found, left in (
+        (tx.difference(every, tx.transaction_set(table.filter("seq % 8 = 0"), width=64), width=64), 30_000),
+        (tx.union(every, every, width=64), 40_000),
+        (tx.gaps(every, width=64), 39_999),
+    ):
+        sizes = found.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == left
+        assert len(sizes) > 40 and max(r["count"] for r in sizes) < 2_500
+
+
+@pytest.mark.parametrize("start", [-(1 << 62), (1 << 62) + 1])
+def test_huge_ids_and_stretches_over_many_chunks(spark, start):
+    numbers = [i for i in range(600) if i % 97 and i not in (63, 64, 128, 191, 192, 193)]
+    held = tx.transaction_set(rows(spark, [(1, start + i) for i in numbers]), width=64)
+    assert ids(held) == {(1, start + i) for i in numbers}
