@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fleetlens.operators import transactions
 from fleetlens.operators.changes import apply_changes, as_snapshot, dedup_changes, latest_changes
-from fleetlens.streaming.versions import BucketedTable, VersionedTable
+from fleetlens.streaming.versions import BucketedTable, VersionedTable, adaptive
 
 
 def stream_dedup_changes(changes: DataFrame, delay: str, salts: int = 1) -> DataFrame:
@@ -69,14 +69,21 @@ class AppliedSink:
         self.sets = VersionedTable(f"{path}/applied", f"{source}, low long, high long")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        known = self.sets.read(batch.sparkSession, batch_id - 1)
-        once = dedup_changes(held, [*self.keys, "seq"])
-        fresh = transactions.contains(once, known, self.keys, width=self.width).filter("NOT applied")
-        fresh.drop("applied").write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
-        seen = transactions.transaction_set(held, self.keys, width=self.width)
-        self.sets.write(batch_id, transactions.union(known, seen, self.keys, self.width))
-        held.unpersist()
+        spark = batch.sparkSession
+        # Like the tables of a sink, two folders take turns.
+        staged = VersionedTable(f"{self.path}/staged", batch.schema)
+        staged.write(batch_id, batch)
+        with adaptive(spark):
+            held, known = staged.read(spark, batch_id), self.sets.read(spark, batch_id - 1)
+            tasks = transactions.tasks_for(held) + transactions.tasks_for(known)
+            once = dedup_changes(held, [*self.keys, "seq"])
+            found = transactions.contains(once, known, self.keys, width=self.width, tasks=tasks)
+            target = f"{self.path}/rows/batch={batch_id}"
+            found.filter("NOT applied").drop("applied").write.mode("overwrite").parquet(target)
+            # What was not passed again is in the set already.
+            fresh = spark.read.schema(batch.schema).parquet(target)
+            seen = transactions.transaction_set(fresh, self.keys, width=self.width)
+            self.sets.write(batch_id, transactions.union(known, seen, self.keys, self.width))
 
     def applied(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return self.sets.read(spark, batch_id)

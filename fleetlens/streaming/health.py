@@ -18,7 +18,7 @@ from fleetlens import fixed_values as fv
 from fleetlens.functions.ranking import time_chunk
 from fleetlens.functions.scalars import is_true
 from fleetlens.operators.probes import NODE, changes_of_health, readiness, with_streaks
-from fleetlens.streaming.versions import BucketedTable, VersionedTable
+from fleetlens.streaming.versions import BucketedTable, VersionedTable, adaptive
 
 NODE_SCHEMA = "node_id long"
 
@@ -82,23 +82,27 @@ class HealthSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, spark = self.keys, batch.sparkSession
-        final = _opened(batch, keys).persist()
-        # Only nodes with finished chunks go on from what was carried.
-        carry = self.state.read(spark, batch_id - 1).join(final.select(*keys).distinct(), keys, "left_semi")
-        chunk = time_chunk(final, "ts", self.chunk_seconds)
-        marked = with_streaks(final, chunk, carry, keys).persist()
-        changes_of_health(marked, self.retries, keys).write.mode("overwrite").parquet(
-            f"{self.path}/changes/batch={batch_id}"
-        )
-        newest = F.max(F.struct("ts", "seq", "streak", "oks_before", "ok")).alias("_l")
-        last = marked.groupBy(*keys).agg(newest).select(
-            *keys,
-            F.col("_l.streak").cast("long").alias("streak"),
-            (F.col("_l.oks_before") + F.col("_l.ok").cast("int")).alias("oks"),
-        )
-        self.state.replace(batch_id, last)
-        marked.unpersist()
-        final.unpersist()
+        rows = _opened(batch, keys)
+        staged = VersionedTable(f"{self.path}/staged", rows.schema)
+        staged.write(batch_id, rows)
+        with adaptive(spark):
+            final = staged.read(spark, batch_id)
+            # Only nodes with finished chunks go on from what was carried.
+            known = self.state.read(spark, batch_id - 1)
+            carry = known.join(final.select(*keys).distinct(), keys, "left_semi")
+            chunk = time_chunk(final, "ts", self.chunk_seconds)
+            marked = with_streaks(final, chunk, carry, keys).persist()
+            changes_of_health(marked, self.retries, keys).write.mode("overwrite").parquet(
+                f"{self.path}/changes/batch={batch_id}"
+            )
+            newest = F.max(F.struct("ts", "seq", "streak", "oks_before", "ok")).alias("_l")
+            last = marked.groupBy(*keys).agg(newest).select(
+                *keys,
+                F.col("_l.streak").cast("long").alias("streak"),
+                (F.col("_l.oks_before") + F.col("_l.ok").cast("int")).alias("oks"),
+            )
+            self.state.replace(batch_id, last)
+            marked.unpersist()
 
 
 class ReadinessSink:
@@ -124,14 +128,20 @@ class ReadinessSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        held = batch.persist()
-        # Append mode gives out all chunks up to the watermark, so all rows before the end of any
-        # chunk seen are final.
-        clock = self.clock.read(spark, batch_id - 1).unionByName(held.select("until"))
-        self.clock.write(batch_id, clock.agg(F.max("until").alias("until")))
-        until = self.clock.read(spark, batch_id).first().until
-        self._settle(_opened(held, self.keys), batch_id, until)
-        held.unpersist()
+        staged = VersionedTable(f"{self.path}/staged", batch.schema)
+        staged.write(batch_id, batch)
+        with adaptive(spark):
+            held = staged.read(spark, batch_id)
+            # Append mode gives out all chunks up to the watermark, so all rows before the end of any
+            # chunk seen are final.
+            clock = self.clock.read(spark, batch_id - 1).unionByName(held.select("until"))
+            self.clock.write(batch_id, clock.agg(F.max("until").alias("until")))
+            if held.isEmpty():
+                # The clock stands still, so what is open stays open.
+                self.rows.write(batch_id, self.rows.read(spark, batch_id - 1))
+                return
+            until = self.clock.read(spark, batch_id).first().until
+            self._settle(_opened(held, self.keys), batch_id, until)
 
     def flush(self, spark: SparkSession, last_batch_id: int) -> None:
         """End of input: what is still open is settled in a batch of its own."""

@@ -7,13 +7,30 @@ result, nothing piles up, and there is nothing to delete. Batch numbers of a che
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Sizes the tasks of a sink's own jobs by their data: a stream with state turns that off for its batches.
+
+    The stream's number of tasks is fixed with its state, so each small step of a sink would take as many.
+    The batch itself has to be evaluated before.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class VersionedTable:
     def __init__(self, path: str, schema: str | T.StructType):
         self.path = path
@@ -69,17 +86,18 @@ class BucketedTable:
         spark = rows.sparkSession
         # The batch is evaluated once, though its rows are read for their buckets too.
         self.staged.write(version, rows.select(*self.schema.names))
-        rows = self.staged.read(spark, version)
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
-        new = rows.select(*self.schema.names, bucket)
-        index = self.index.read(spark, version - 1)
-        touched = new.select("bucket").distinct()
-        before = self._rows(spark, index.join(touched, "bucket", "left_semi"), version - 1)
-        merge(before, new).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/rows/version={version}"
-        )
-        now = touched.withColumn("version", F.lit(version).cast("long"))
-        self.index.write(version, index.join(touched, "bucket", "left_anti").unionByName(now))
+        with adaptive(spark):
+            rows = self.staged.read(spark, version)
+            bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+            new = rows.select(*self.schema.names, bucket)
+            index = self.index.read(spark, version - 1)
+            touched = new.select("bucket").distinct()
+            before = self._rows(spark, index.join(touched, "bucket", "left_semi"), version - 1)
+            merge(before, new).write.mode("overwrite").partitionBy("bucket").parquet(
+                f"{self.path}/rows/version={version}"
+            )
+            now = touched.withColumn("version", F.lit(version).cast("long"))
+            self.index.write(version, index.join(touched, "bucket", "left_anti").unionByName(now))
 
     def replace(self, version: int, rows: DataFrame) -> None:
         """Batch ``version``: ``rows``, one per key, take the place of the rows with their keys."""

@@ -282,3 +282,42 @@ def test_readiness_by_time_only(spark, tmp_path):
             good = [t for m, t, _, s, ok in rows if m == n and not s and ok and ts < t <= ts + timedelta(seconds=60)]
             expected.append((n, seq, min(good, default=None)))
     assert rows_of(got) == sorted(expected, key=str) and any(x[2] is None for x in expected)
+
+
+def test_steps_of_a_sink_are_sized_by_their_data(spark, tmp_path):
+    """A batch of a stream with state runs without adaptive execution; a sink's own jobs have it again."""
+    seen = []
+
+    class Sink(ReadinessSink):
+        def _settle(self, final, batch_id, until, flush=False):
+            seen.append((batch_id, final.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+            super()._settle(final, batch_id, until, flush)
+            seen.append((batch_id, final.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+
+    rows = [(n, ts, seq, seq % 11 == 0, ok) for n, ts, seq, ok in timeline(2, 400)]
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    write_files(spark, rows, TIMELINE_SCHEMA, source, 2)
+    stream = write_files(spark, [end_of_input(None, None)], TIMELINE_SCHEMA, source, 1)
+    sink = Sink(folder, horizon_seconds=90, chunk_seconds=30)
+    last = run(finished_chunks(stream, LAG, 30), sink, folder)
+    assert {on for _, on in seen} == {"true"}
+    # A batch without a finished chunk settles nothing and keeps what is open.
+    settled = {batch for batch, _ in seen}
+    assert 0 not in settled and len(settled) < last + 1
+    held = rows_of(sink.rows.read(spark, last))
+    sink(spark.createDataFrame([], finished_schema()), last + 1)
+    assert rows_of(sink.rows.read(spark, last + 1)) == held
+
+
+def finished_schema():
+    return "node_id long, until timestamp, rows array<struct<ts: timestamp, seq: long, is_start: boolean, ok: boolean>>"
+
+
+def test_a_change_passed_before_does_not_go_into_the_set_again(spark, tmp_path):
+    kind = "source int, seq long, note string"
+    sink = AppliedSink(str(tmp_path))
+    sink(spark.createDataFrame([(1, i, "n") for i in range(50)], kind), 0)
+    sink(spark.createDataFrame([(1, i, "n") for i in range(40, 60)] * 3, kind), 1)
+    assert spark.read.schema(kind).parquet(f"{tmp_path}/rows/batch=1").count() == 10
+    assert rows_of(sink.applied(spark, 1)) == [(1, 0, 59)]
+    assert (tmp_path / "staged").exists()
