@@ -136,10 +136,6 @@ class ReadinessSink:
             # chunk seen are final.
             clock = self.clock.read(spark, batch_id - 1).unionByName(held.select("until"))
             self.clock.write(batch_id, clock.agg(F.max("until").alias("until")))
-            if held.isEmpty():
-                # The clock stands still, so what is open stays open.
-                self.rows.write(batch_id, self.rows.read(spark, batch_id - 1))
-                return
             until = self.clock.read(spark, batch_id).first().until
             self._settle(_opened(held, self.keys), batch_id, until)
 
