@@ -11,8 +11,8 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 100)
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each node's larger
     (then smaller) neighbours are linked to its smallest neighbour, until the graph is a set of
-    stars. A step never makes more edges than it read. Each round is written below ``folder``, which
-    cuts the lineage and outlives lost executors; only a count and a checksum reach the driver.
+    stars. A step never makes more edges than it read. Each step is written below ``folder``, which
+    cuts the lineage, keeps plans small and outlives lost executors; only a count and a checksum reach the driver.
     """
     spark = edges.sparkSession
     current = edges.filter("a <> b").select(
@@ -21,7 +21,10 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 100)
     before = None
     for at in range(most_rounds):
         path = f"{folder}/round-{at}"
-        _small_star(_large_star(current)).write.parquet(path)
+        large = _large_star(current)
+        large.write.parquet(f"{folder}/large-{at}")
+        large = spark.read.schema(large.schema).parquet(f"{folder}/large-{at}")
+        _small_star(large).write.parquet(path)
         current = spark.read.parquet(path)
         now = current.agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b"))
